@@ -1,0 +1,26 @@
+"""Dense ranks inside groups of which one may hold most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def rank_within(df: DataFrame, group: str, key: str, name: str = "rank") -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... inside each ``group``, in an order fixed by the hash of ``key`` (unique in the group).
+
+    A group is spread over as many slices as there are shuffle partitions. Each slice is numbered by itself and shifted by the sizes of
+    the slices before it, so no task ever holds a whole group.
+    """
+    slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    spread = df.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+    sizes = spread.groupBy(group, "_slice").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(group, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    own = Window.partitionBy(group, "_slice").orderBy(F.xxhash64(key, F.lit(1)), key)
+    return (
+        spread.withColumn("_own", F.row_number().over(own) - 1)
+        .join(shift, [group, "_slice"])
+        .withColumn(name, F.col("_own") + F.col("_shift"))
+        .drop("_slice", "_own", "_shift")
+    )
