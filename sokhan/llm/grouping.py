@@ -32,14 +32,14 @@ def call_keys(calls: DataFrame) -> DataFrame:
     """(call_id, account, case_no, parent) of ``calls`` (id, client_metadata_json).
 
     Unreadable or null JSON, filler and probe records have null keys; placeholders are no codes and give null. Accounts are the letters
-    AC with at least four digits, cases CS with at least eight, not all of one digit.
+    AC with at least four digits, cases CS, a year and at least four digits; a number of one repeated digit (0000000) is a placeholder.
     """
     j = F.col("client_metadata_json")
     path = lambda p: F.get_json_object(j, p)
     readable = F.try_parse_json(j).isNotNull() & path("$.filler").isNull() & ~F.coalesce(path("$.call.request_id").startswith("probe"), F.lit(False))
     account = _code(path("$.customer.account"), r"AC\d{4,}")
     case = _code(path("$.crm.case_no"), r"CS\d{8,}")
-    real = lambda c: F.when(~c.rlike(r"^[A-Z]+(\d)\1*$"), c)
+    real = lambda c: F.when(~c.rlike(r"^(AC|CS\d{4})(\d)\2*$"), c)
     return calls.filter(F.col("id").isNotNull()).select(
         F.col("id").alias("call_id"),
         F.when(readable, real(account)).alias("account"),
