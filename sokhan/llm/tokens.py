@@ -44,7 +44,7 @@ def token_counter(path: str = TOKENIZER) -> Callable[[str], tuple[int, str]]:
             sizes.clear()
             topics.clear()
             odd.clear()
-        for w in words - sizes.keys():
+        for w in [w for w in words if w not in sizes]:
             sizes[w] = len(encode(" " + w))
             if not w or w[0].isspace() or w[-1].isspace():
                 odd.add(w)
