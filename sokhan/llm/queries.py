@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from sokhan.llm.canonical import canonical_changes
 from sokhan.llm.consensus import Consensus
+from sokhan.llm.defects import Defects
 from sokhan.llm.grouping import call_groups, call_splits
 from sokhan.llm.mixing import Mixture
+from sokhan.llm.names import link_names, mentions
 from sokhan.llm.overlap import Overlaps
 from sokhan.llm.packing import pack_all, pack_report
 from sokhan.llm.splitting import split_oversized
@@ -59,6 +61,16 @@ def p2_annotators(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "judge_registry").select("model", "kind").join(Consensus(table(spark, d, "judge_items")).annotators(), "model", "left")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Broken answers with their first defect."""
+    return Defects(table(spark, d, "predictions")).first()
+
+
+def p3_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All defects of all answers."""
+    return Defects(table(spark, d, "predictions")).labels()
+
+
 def _long_fields(spark: SparkSession, d: str) -> DataFrame:
     field = lambda name, t, key, text: t.select(F.lit(name).alias("field_name"), F.col(key).alias("item_id"), F.col(text).alias("text"))
     return field("segments.text_whisper", table(spark, d, "segments"), "id", "text_whisper").unionByName(field("train.source", table(spark, d, "train"), "window_id", "source"))
@@ -95,6 +107,11 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return call_splits(table(spark, d, "call_meta"), table(spark, d, "train"), targets)
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of registered people and firms."""
+    return link_names(mentions(table(spark, d, "call_meta"), table(spark, d, "train")), table(spark, d, "crm_people"))
+
+
 def _capacities(spark: SparkSession, d: str) -> list[tuple[str, int]]:
     return [(r.pack_name, r.capacity_tokens) for r in table(spark, d, "pack_sizes").orderBy("capacity_tokens").collect()]
 
@@ -126,7 +143,7 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p8_packs, p8_report, p9_mix, p9_report)
+    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report)
 }
 
 SQL: dict[str, str] = {
