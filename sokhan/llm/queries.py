@@ -15,6 +15,7 @@ from sokhan.llm.mixing import Mixture
 from sokhan.llm.names import link_names, mentions
 from sokhan.llm.overlap import Overlaps
 from sokhan.llm.packing import pack_all, pack_report
+from sokhan.llm.reading import ReadingLevels
 from sokhan.llm.splitting import split_oversized
 from sokhan.llm.tokens import sized
 from sokhan.sources.tables import table
@@ -141,9 +142,28 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
+def _levels(spark: SparkSession, d: str) -> ReadingLevels:
+    return ReadingLevels(table(spark, d, "documents"), table(spark, d, "grade_samples"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The grade of every Persian document of at least 20 words."""
+    return _levels(spark, d).levels().select("doc_id", "grade")
+
+
+def p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Grade, mean level and certainty per document."""
+    return _levels(spark, d).levels()
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean level per grade."""
+    return _levels(spark, d).profile()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report)
+    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
 }
 
 SQL: dict[str, str] = {
