@@ -1,4 +1,4 @@
-"""All queries of the reference's operators and their SQL."""
+"""All queries of the transcript operators and their SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from sokhan.plans import transcripts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**transcripts.QUERIES}
+SQL: dict[str, str] = {**transcripts.SQL}

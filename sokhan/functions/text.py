@@ -139,8 +139,9 @@ def span_similarity(a: Column, b: Column) -> Column:
 
 def occurrences(ws: Column) -> Column:
     """Each word with the number of its occurrence so far: as a set, these are the multiset of the words."""
-    order = F.array_sort(ws)
-    return F.transform(order, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(order, w)).cast("string")))
+    # the sorted array is bound once; an occurrence's number is its distance from the first of its kind
+    numbered = lambda o: F.transform(o, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(o, w)).cast("string")))
+    return F.get(F.transform(F.array(F.array_sort(ws)), numbered), F.lit(0))
 
 
 def shared_words(a: Column, b: Column) -> Column:

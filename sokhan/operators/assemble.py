@@ -28,6 +28,12 @@ def route(calls: Column, seed: int, ratio: float) -> Column:
     return T.hash_fraction(F.concat(F.lit(f"{seed}:"), calls)) < F.lit(ratio)
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean to 4 decimals over millionths as whole numbers, so it doesn't depend on the order in which tasks add; null if all are."""
+    whole = F.sum(F.floor(value * 1e6 + 0.5))
+    return F.floor(whole / F.count(value) / 1e6 * 1e4 + 0.5) / 1e4
+
+
 def assemble_channels(segments: DataFrame) -> DataFrame:
     """One transcript per (call_id, channel): texts in order of start, then id, joined by spaces, with unweighted means of the segments' scores.
 
@@ -37,9 +43,9 @@ def assemble_channels(segments: DataFrame) -> DataFrame:
     g = segments.groupBy("call_id", "channel").agg(
         F.array_sort(F.collect_list(turn)).alias("turns"),
         F.count("*").alias("n_turns"),
-        F.round(F.avg("conf_mean"), 4).alias("conf_mean"),
-        F.round(F.min("conf_min"), 4).alias("conf_min"),
-        F.round(F.avg("wer_whisper"), 4).alias("wer_whisper"),
+        exact_mean(F.col("conf_mean")).alias("conf_mean"),
+        F.min("conf_min").alias("conf_min"),
+        exact_mean(F.col("wer_whisper")).alias("wer_whisper"),
     )
     joined = lambda c: F.array_join(F.transform("turns", lambda t: F.coalesce(t[c], F.lit(""))), " ")
     return g.select("call_id", "channel", "n_turns", joined("text_whisper").alias("text_whisper"), joined("text_raw").alias("text_soniox"), joined("text").alias("text"), "conf_mean", "conf_min", "wer_whisper")
