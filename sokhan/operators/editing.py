@@ -92,7 +92,7 @@ def gold_vs_predicted(gold: DataFrame, predicted: DataFrame, keys: list[str]) ->
     """One row: tp, n_gold, n_predicted, precision, recall of distinct edits, and the share of windows whose edits agree entirely."""
     g, p = gold.select("window_id", *keys).distinct().withColumn("g", F.lit(1)), predicted.select("window_id", *keys).distinct().withColumn("p", F.lit(1))
     both = g.join(p, ["window_id", *keys], "full")
-    per = both.groupBy("window_id").agg(F.count_if("g = 1 and p = 1").alias("tp"), F.count("g").alias("n_gold"), F.count("p").alias("n_predicted"))
+    per = both.groupBy("window_id").agg(F.count_if((F.col("g") == 1) & (F.col("p") == 1)).alias("tp"), F.count("g").alias("n_gold"), F.count("p").alias("n_predicted"))
     return per.agg(
         F.sum("tp").alias("tp"), F.sum("n_gold").alias("n_gold"), F.sum("n_predicted").alias("n_predicted"),
         F.expr("try_divide(sum(tp), sum(n_predicted))").alias("precision"), F.expr("try_divide(sum(tp), sum(n_gold))").alias("recall"),

@@ -13,7 +13,8 @@ IGNORED = -100
 def char_spans(ws: Column) -> Column:
     """(start, end) of each word in the text of the words joined by single spaces."""
     sums = F.aggregate(ws, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.try_element_at(acc, F.lit(-1)) + F.length(w) + 1)))
-    return F.transform(ws, lambda w, i: F.struct(F.get(sums, i).alias("a"), (F.get(sums, i) + F.length(w)).alias("z")))
+    bound = F.transform(F.array(sums), lambda at: F.transform(ws, lambda w, i: F.struct(F.get(at, i).alias("a"), (F.get(at, i) + F.length(w)).alias("z"))))
+    return F.get(bound, F.lit(0))
 
 
 def examples(rows: DataFrame, key: str, prompt: Column, target: Column, masked: Column, weighted: Column, most: int, weight: float, eos_weight: float = 1.0, short: int = 3) -> DataFrame:

@@ -38,7 +38,7 @@ def threshold_report(scored: DataFrame, thresholds: tuple[float, ...]) -> DataFr
 def score_bins(scored: DataFrame) -> DataFrame:
     """(bin, n, fixes, breaks, neutral, net): candidates per score bin by their effect; empty bins appear."""
     b = F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int")
-    g = scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.count_if("effect > 0").alias("fixes"), F.count_if("effect < 0").alias("breaks"), F.count_if("effect = 0").alias("neutral"), F.sum("effect").alias("net"))
+    g = scored.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.count_if(F.col("effect") > 0).alias("fixes"), F.count_if(F.col("effect") < 0).alias("breaks"), F.count_if(F.col("effect") == 0).alias("neutral"), F.sum("effect").alias("net"))
     bins = scored.sparkSession.range(len(BINS)).select(F.col("id").cast("int").alias("bin"))
     return bins.join(g, "bin", "left").select("bin", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "fixes", "breaks", "neutral", "net")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def readings(spark: SparkSession, path: str, schema: str, time: str, late: str = "1 hour") -> DataFrame:
     """A stream over the files of a folder, with a watermark on event time."""
-    return spark.readStream.schema(schema).parquet(path).withWatermark(time, late)
+    return spark.readStream.schema(schema).parquet(path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
 def window_digest(stream: DataFrame, time: str, width: str, *by: str) -> DataFrame:
