@@ -85,12 +85,16 @@ def _half_space(m: re.Match, text: str) -> str:
 
 
 def _settle(run: str, context: str) -> str:
-    """The canonical form of one unstable run."""
-    run = _compat.sub(lambda m: " " if m.group().isspace() and len(m.group()) == 1 else unicodedata.normalize("NFKC", m.group()), run)
-    run = _invisible.sub("", run)
-    run = unicodedata.normalize("NFC", run).translate(_arabic).replace("هٔ", "ۀ")
-    run = _latin_word.sub(lambda m: _imitations(m, context), run).translate(_to_persian)
-    return _joiner.sub(lambda m: _half_space(m, run), run)
+    """The canonical form of one unstable run; what one step brings together may compose in the next, so steps go on until nothing changes."""
+    while True:
+        new = _compat.sub(lambda m: " " if m.group().isspace() and len(m.group()) == 1 else unicodedata.normalize("NFKC", m.group()), run)
+        new = _invisible.sub("", new)
+        new = unicodedata.normalize("NFC", new).translate(_arabic).replace("هٔ", "ۀ")
+        new = _latin_word.sub(lambda m: _imitations(m, context), new).translate(_to_persian)
+        new = _joiner.sub(lambda m, t=new: _half_space(m, t), new)
+        if new == run:
+            return run
+        run = new
 
 
 def canonicalize(text: str | None) -> str | None:
@@ -122,14 +126,14 @@ def needs_check(text: Column) -> Column:
 def canonical_changes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Rows (key, field_name, value, canonical) for every stored value that isn't in the consistent form.
 
-    One row for each distinct key, field and value, so rows delivered twice count once. Null and empty values are stable. Columns
+    One row for each distinct key, field and value, so rows delivered twice count once. Null and empty values are stable; rows with a null key are left out. Columns
     of ``df`` other than ``key`` and ``fields`` are not read. Texts of any length are processed whole. An empty table gives an
     empty result.
     """
     flagged = (
         df.select(F.col(key).alias("_key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields))).alias("_v"))
         .select("_key", "_v.field_name", "_v.value")
-        .filter(needs_check(F.col("value")))
+        .filter(needs_check(F.col("value")) & F.col("_key").isNotNull())
     )
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

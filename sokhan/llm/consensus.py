@@ -18,6 +18,8 @@ from sokhan.materialize import materialize
 CLASSES = ("A", "B", "either", "neither")
 #: Weight, in labels, of the belief that an annotator is as good as the average one.
 PRIOR = 4.0
+#: The same for the average annotator.
+BELIEF = 20.0
 ROUNDS, TOLERANCE = 12, 0.01
 
 
@@ -63,8 +65,10 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
             break
         mass = [sum(r[f"g{c}"] for r in pooled) + 1e-9 for c in range(k)]
         total = sum(mass)
-        share = {(r.vote, c): (r[f"g{c}"] + 0.01) / (mass[c] + 0.01 * k) for r in pooled for c in range(k)}
-        rest = {(r.vote, c): (sum(r[f"g{d}"] for d in range(k) if d != c) + 0.01) / (total - mass[c] + 0.01 * k) for r in pooled for c in range(k)}
+        # the average annotator, itself held to name the class rather than another until labels tell
+        belief = lambda v, c: BELIEF * (0.7 if v == c else 0.3 / (k - 1))
+        share = {(r.vote, c): (r[f"g{c}"] + belief(r.vote, c)) / (mass[c] + BELIEF) for r in pooled for c in range(k)}
+        rest = {(r.vote, c): sum(r[f"g{d}"] + belief(r.vote, d) for d in range(k) if d != c) / (total - mass[c] + BELIEF * (k - 1)) for r in pooled for c in range(k)}
         log_prior = [F.lit(math.log(mass[c] / (total - mass[c] + 1e-9))) for c in range(k)]
 
         def pick(table: dict, c: int) -> Column:

@@ -4,7 +4,7 @@ Calls tied by an account, a case or a parent call form components (alternating l
 key a star round its smallest call, so no key emits pairs of its members). Method for the splits: largest differencing. The weights
 of the components are combined, extreme with extreme, into many equal bins, and whole bins go to the splits by target share.
 Only the histogram of weights reaches the driver: a number of components that every bin gets alike is dealt out at once, the rest, fewer than
-one per bin and weight, is differenced; components take planned bins by their rank within their weight.
+two per bin and weight, is differenced; components take planned bins by their rank within their weight.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sokhan.llm.ranking import rank_within
 from sokhan.materialize import materialize
 
-BINS = 200
+BINS = 100
 _DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
 
 
@@ -113,11 +113,11 @@ def difference(weights: list[float], bins: int) -> list[list[int]]:
 def plan_bins(histogram: list[tuple[int, int]], bins: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
     """((weight, first rank, last rank, bin) for the ranks that aren't dealt out alike, load of each bin).
 
-    A component of rank r < bins * (n // bins) of its weight goes to bin r % bins.
+    Of each weight, n // bins - 1 components go to every bin alike, a component of rank r to bin r % bins; the rest, less than 2 * bins, is differenced.
     """
     load, rest = [0] * bins, []
     for w, n in sorted(histogram, reverse=True):
-        share = n // bins
+        share = max(0, n // bins - 1)
         load = [x + w * share for x in load]
         rest += [(w, r) for r in range(share * bins, n)]
     plan = []

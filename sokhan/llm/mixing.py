@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sokhan.llm.ranking import rank_within
@@ -108,9 +108,8 @@ class Mixture:
         asked = spark.createDataFrame(self.targets, "source_name string, target_share double, max_repeats int")
         there = self.sizes.groupBy(F.col("source").alias("source_name")).agg(F.sum("n_tokens").alias("available_tokens"))
         drawn = self.draw().groupBy("source_name").agg(F.count("*").alias("drawn_documents"), F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("drawn_tokens"))
-        whole = drawn.agg(F.sum("drawn_tokens").alias("_all"))
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        joined = asked.join(there, "source_name", "left").join(drawn, "source_name", "left").join(F.broadcast(whole))
+        joined = asked.join(there, "source_name", "left").join(drawn, "source_name", "left").withColumn("_all", F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))))
         return joined.select(
             "source_name", "target_share", "max_repeats", zero("available_tokens"), zero("drawn_documents"), zero("drawn_tokens"),
             F.coalesce(F.expr("try_divide(drawn_tokens, _all)"), F.lit(0.0)).alias("actual_share"),

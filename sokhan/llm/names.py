@@ -269,7 +269,7 @@ def mentions(calls: DataFrame, windows: DataFrame) -> DataFrame:
     names = F.array(F.get_json_object(j, "$.customer.name"), F.get_json_object(j, "$.crm.owner_name"))
     a = calls.filter(F.try_parse_json(j).isNotNull()).select(F.col("id").alias("record_id"), F.posexplode(names).alias("mention_no", "name"))
     b = windows.select(F.col("window_id").alias("record_id"), F.posexplode("crm_names").alias("mention_no", "name"))
-    return a.unionByName(b).filter(F.trim("name") != "").distinct()
+    return a.unionByName(b).filter((F.trim("name") != "") & F.col("record_id").isNotNull()).distinct()
 
 
 def link_names(mentioned: DataFrame, register: DataFrame, share: float = SHARE, least: int = COUNT) -> DataFrame:

@@ -81,12 +81,12 @@ def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
     """Distinct (field_name, item_id, text, max_chars, overlap_chars) with more code points than the field's limit.
 
     ``items``: (field_name, item_id, text); other columns aren't read. ``limits`` is a fixed table of a row per field. A null text is
-    never oversized; rows delivered twice count once; fields without a limit are left out.
+    never oversized; items without an id are left out; rows delivered twice count once; fields without a limit are left out.
     """
     return (
         items.select("field_name", "item_id", "text")
         .join(F.broadcast(limits.select("field_name", "max_chars", "overlap_chars")), "field_name")
-        .filter(F.length("text") > F.col("max_chars"))
+        .filter((F.length("text") > F.col("max_chars")) & F.col("item_id").isNotNull())
         .dropDuplicates(["field_name", "item_id", "text"])
     )
 
