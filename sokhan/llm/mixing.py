@@ -92,15 +92,31 @@ class Mixture:
         self.copies = {c: min(w / cells[c], repeats[c[0]]) for c, w in self.weights.items()}
 
     def draw(self) -> DataFrame:
-        """(doc_id, source_name, n_tokens, copies): documents with at least one copy."""
+        """(doc_id, source_name, n_tokens, copies): documents with at least one copy.
+
+        The strata of a source, cells by size class, are gone through from the largest documents to the smallest; each is given the whole number
+        of extra copies that brings the source's tokens nearest to their aim so far, so smaller documents make up for larger ones. Inside
+        a stratum the copies are spread evenly over hash ranks.
+        """
         spark = self.sizes.sparkSession
-        rates = spark.createDataFrame([(*c, float(r)) for c, r in self.copies.items()] or [("", "", "", 0.0)], "source string, lang string, topic string, rate double")
-        classed = self.sizes.join(F.broadcast(rates), ["source", "lang", "topic"]).withColumn("_stratum", F.concat_ws("|", "source", "lang", "topic", F.floor(F.log2("n_tokens") * 2).cast("string")))
-        ranked = rank_within(classed, "_stratum", "doc_id", "_rank")
-        part = F.col("rate") - F.floor("rate")
-        phase = F.pmod(F.xxhash64("_stratum"), F.lit(10_007)) / F.lit(10_007.0)
-        extra = F.floor((F.col("_rank") + 1) * part + phase) - F.floor(F.col("_rank") * part + phase)
-        return ranked.select("doc_id", F.col("source").alias("source_name"), "n_tokens", (F.floor("rate") + extra).cast("int").alias("copies")).filter("copies > 0")
+        size = F.floor(F.log2("n_tokens") * 2).cast("int")
+        classed = self.sizes.withColumn("_size", size)
+        strata = classed.groupBy("source", "lang", "topic", "_size").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()
+        carry: dict[str, float] = defaultdict(float)
+        rows = []
+        for r in sorted(strata, key=lambda r: (-r["_size"], r.source, r.lang, r.topic)):
+            rate = self.copies.get((r.source, r.lang, r.topic), 0.0)
+            whole = int(rate)
+            aim, mean = r.t * (rate - whole), r.t / r.n
+            extra = min(r.n, max(0, round((aim + carry[r.source]) / mean))) if rate > whole else 0
+            carry[r.source] += aim - extra * mean
+            rows.append((r.source, r.lang, r.topic, r["_size"], whole, extra, r.n))
+        table = spark.createDataFrame(rows or [("", "", "", 0, 0, 0, 1)], "source string, lang string, topic string, _size int, _whole int, _extra long, _n long")
+        keyed = classed.join(F.broadcast(table), ["source", "lang", "topic", "_size"]).withColumn("_stratum", F.concat_ws("|", "source", "lang", "topic", F.col("_size").cast("string")))
+        ranked = rank_within(keyed, "_stratum", "doc_id", "_rank")
+        upto = lambda r: F.floor(r * F.col("_extra") / F.col("_n"))
+        copies = F.col("_whole") + upto(F.col("_rank") + 1) - upto(F.col("_rank"))
+        return ranked.select("doc_id", F.col("source").alias("source_name"), "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
         """(source_name, target_share, max_repeats, available_tokens, drawn_documents, drawn_tokens, actual_share): a row per target."""
