@@ -166,7 +166,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
 }
 
+_CODE = lambda path: f"upper(regexp_replace(translate(json_extract_string(j, '{path}'), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))"
+_DIGITS = lambda c, k: f"len(list_distinct(string_split(substr({c}, {k}), ''))) > 1"
+
 SQL: dict[str, str] = {
+    "p6_found": f"""
+        WITH RECURSIVE raw AS (SELECT DISTINCT id, CASE WHEN json_valid(client_metadata_json) THEN client_metadata_json END AS j FROM call_meta),
+        flag AS (SELECT id, j, j IS NOT NULL AND (json_extract(j, '$.filler') IS NOT NULL OR coalesce(starts_with(json_extract_string(j, '$.call.request_id'), 'probe'), false)) AS unreal FROM raw),
+        k AS (SELECT id, unreal, {_CODE('$.customer.account')} AS a, {_CODE('$.crm.case_no')} AS c, lower(trim(json_extract_string(j, '$.call.parent_id'))) AS p FROM flag),
+        r AS (SELECT * FROM k WHERE NOT unreal),
+        e AS (SELECT x.id AS u, y.id AS v FROM r x JOIN r y ON x.a = y.a WHERE regexp_full_match(x.a, 'AC[0-9]{{4,}}') AND {_DIGITS('x.a', 3)}
+              UNION SELECT x.id, y.id FROM r x JOIN r y ON x.c = y.c WHERE regexp_full_match(x.c, 'CS[0-9]{{8,}}') AND {_DIGITS('x.c', 7)}
+              UNION SELECT x.id, y.id FROM r x JOIN r y ON x.p = lower(y.id) UNION SELECT y.id, x.id FROM r x JOIN r y ON x.p = lower(y.id)),
+        reach AS (SELECT DISTINCT u AS id, u AS root FROM e UNION SELECT e.v, reach.root FROM reach JOIN e ON reach.id = e.u)
+        SELECT id AS call_id, min(root) AS group_id FROM reach GROUP BY id HAVING count(*) > 1""",
     "p4_found": """
         SELECT DISTINCT l.field_name, i.item_id
         FROM (SELECT 'segments.text_whisper' AS field_name, id AS item_id, text_whisper AS t FROM segments
