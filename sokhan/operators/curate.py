@@ -64,6 +64,13 @@ def ratio_targets(n_a: int, n_b: int, share: float) -> tuple[int, int]:
     return (a, n_b) if a <= n_a else (n_a, min(round((1 - share) / share * n_a), n_b))
 
 
+def row_frequencies(rows: DataFrame, key: str, words: Column, freq: DataFrame) -> DataFrame:
+    """``rows`` with ``known``, an array of (word, freq) of those of the row's ``words`` that are in ``freq`` (word, freq); keys are unique. Joins only."""
+    said = rows.select(key, F.explode(F.array_distinct(words)).alias("word"))
+    known = said.join(freq.select("word", "freq"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "freq")).alias("known"))
+    return rows.join(known, key, "left")
+
+
 def word_frequency(df: DataFrame, words: Column) -> DataFrame:
     """(word, freq) over all rows; counts are combined before the shuffle."""
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))

@@ -123,16 +123,17 @@ def glue_table(freq: DataFrame, rare: int, common: int) -> DataFrame:
     return scored.groupBy("word").agg(F.max_by(F.struct("first", "second"), F.struct("score", -F.col("i"))).alias("x")).select("word", "x.first", "x.second")
 
 
-def snap_names(rows: DataFrame, freq: dict[str, int], least: float = 0.75, rare: int = 20, pair_rare: int = 500) -> DataFrame:
-    """(key, start, end, original, replacement, similarity) of (key, source, names): words, or pairs of words, that are near misses of a name.
+def snap_names(rows: DataFrame, least: float = 0.75, rare: int = 20, pair_rare: int = 500) -> DataFrame:
+    """(key, start, end, original, replacement, similarity) of (key, source, names, known): words, or pairs of words, that are near misses of a name.
 
-    ``freq``: counts of the words above ``rare`` only, so its size is bounded by their number in the corpus / ``rare``.
+    ``known``: array of (word, freq) of the row's words, those at or below ``rare`` may be left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for key, source, names in zip(b.key, b.source, b.names):
+            for key, source, names, known in zip(b.key, b.source, b.names, b.known):
+                freq = {x["word"]: x["freq"] for x in (known if known is not None else ())}
                 names = [] if names is None else list(names)
                 squashed = {A.squash((c,)): c for c in names}
                 ws, i = (source or "").split() if names else [], 0
@@ -151,4 +152,4 @@ def snap_names(rows: DataFrame, freq: dict[str, int], least: float = 0.75, rare:
                     i += 1
             yield pd.DataFrame(out, columns=["key", "start_word", "end_word", "original", "replacement", "similarity"])
 
-    return rows.select("key", "source", "names").mapInPandas(run, "key string, start_word int, end_word int, original string, replacement string, similarity double")
+    return rows.select("key", "source", "names", "known").mapInPandas(run, "key string, start_word int, end_word int, original string, replacement string, similarity double")

@@ -58,16 +58,21 @@ def count_row(source: str, hyp: str, ref: str, freq: dict[str, int] | None = Non
     )
 
 
-def row_counters(rows: DataFrame, keys: list[str], freq: dict[str, int] | None = None) -> DataFrame:
-    """``keys`` and COUNTERS for each row of (keys, source, hyp, ref); null texts count as empty. Every pair is aligned in one pass over its texts."""
+def row_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and COUNTERS for each row of (keys, source, hyp, ref) and, for the recoverable rates, known (array of word and freq); null texts count as empty.
+
+    Every pair is aligned in one pass over its texts; frequencies come with the row, so no vocabulary is sent to the tasks.
+    """
+    with_freq = "known" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [count_row(s or "", h or "", r or "", freq) for s, h, r in zip(b.source, b.hyp, b.ref)]
+            known = [{x["word"]: x["freq"] for x in (ks if ks is not None else ())} for ks in b.known] if with_freq else [None] * len(b)
+            got = [count_row(s or "", h or "", r or "", f) for s, h, r, f in zip(b.source, b.hyp, b.ref, known)]
             yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(got, columns=COUNTERS)], axis=1)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "source", "hyp", "ref").mapInPandas(run, kinds + ", " + ", ".join(f"{c} long" for c in COUNTERS))
+    return rows.select(*keys, "source", "hyp", "ref", *["known"] * with_freq).mapInPandas(run, kinds + ", " + ", ".join(f"{c} long" for c in COUNTERS))
 
 
 def rates(counted: DataFrame, by: list[str], weight: float = 0.5) -> DataFrame:

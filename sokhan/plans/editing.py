@@ -38,15 +38,17 @@ def q13_exact_hallucination_premature(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("run", "eval_slice").agg(F.count("*").alias("n"), *(F.count_if(c).alias(c) for c in ("exact", "hallucinated", "premature", "changed")))
 
 
-def _frequent(spark: SparkSession, d: str, least: int) -> dict[str, int]:
-    """Counts of words that occur more than ``least`` times; there are at most words / least of them."""
-    freq = C.word_frequency(seg(spark, d), T.words(F.col("text")))
-    return {r.word: r.freq for r in freq.filter(F.col("freq") > least).collect()}
+def _frequent(spark: SparkSession, d: str, least: int) -> DataFrame:
+    """Words that occur more than ``least`` times."""
+    return C.word_frequency(seg(spark, d), T.words(F.col("text"))).filter(F.col("freq") > least)
 
 
 def q17_score_all(spark: SparkSession, d: str) -> DataFrame:
     """All rates of each run and slice; every pair is aligned once."""
-    return K.rates(K.row_counters(_corrections(spark, d), ["run", "eval_slice"], _frequent(spark, d, 1)), ["run", "eval_slice"])
+    rows = _corrections(spark, d)
+    ws = T.words(T.normalize_lenient(F.coalesce(F.col("ref"), F.lit(""))))
+    parts = F.concat(ws, F.flatten(F.transform(ws, lambda w: F.split(w, T.ZWNJ))))
+    return K.rates(K.row_counters(C.row_frequencies(rows, "pred_id", parts, _frequent(spark, d, 1)), ["run", "eval_slice"]), ["run", "eval_slice"])
 
 
 def q17b_entity_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +101,7 @@ def q23_clitic_join(spark: SparkSession, d: str) -> DataFrame:
 
 def q26_crm_snap(spark: SparkSession, d: str) -> DataFrame:
     rows = win(spark, d).select(F.col("window_id").alias("key"), "source", F.array_distinct(F.filter(F.flatten(F.transform(F.coalesce("crm_names", F.array().cast("array<string>")), T.words)), lambda w: F.length(w) >= 3)).alias("names"))
-    return E.snap_names(rows, _frequent(spark, d, 20))
+    return E.snap_names(C.row_frequencies(rows, "key", T.words(F.coalesce(F.col("source"), F.lit(""))), _frequent(spark, d, 20)))
 
 
 def q27_whole_span(spark: SparkSession, d: str) -> DataFrame:

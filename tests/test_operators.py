@@ -97,7 +97,9 @@ def test_cut_windows_never_cut_a_span():
 
 def test_snap_guards(spark):
     rows = spark.createDataFrame([("k", "به من نمونه پور زفری", ["بهمن", "نمونه‌پور", "ظفری"]), ("n", None, None)], "key string, source string, names array<string>")
-    got = {(r.start_word, r.replacement) for r in editing.snap_names(rows, {"به": 900, "من": 900}).collect()}
+    freq = spark.createDataFrame([("به", 900), ("من", 900), ("دیگر", 5)], "word string, freq long")
+    known = curate.row_frequencies(rows, "key", F.split("source", " "), freq)
+    got = {(r.start_word, r.replacement) for r in editing.snap_names(known).collect()}
     assert got == {(2, "نمونه‌پور"), (4, "ظفری")}
 
 
