@@ -188,6 +188,35 @@ def passages(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, co
     return evaluation.join(own, "norm_id", "left").mapInPandas(pick, "norm_id long, norm string, starts array<int>, lengths array<int>")
 
 
+def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE) -> DataFrame:
+    """(eval_id, spans): of each evaluation text every run of ``size`` words that occurs in any training text, however common, as array<struct<a, z>> in order; inputs are (norm_id, norm), distinct.
+
+    A text of fewer than 2 * size words has n // 4 + 1 disjoint runs of up to four words instead. Texts without a match are left out.
+    """
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _slices(batches):
+            n = b.norm.str.count(" ").to_numpy() + 1
+            short = n < 2 * size
+            which, at, h = passage_hashes(b.norm[~short], size)
+            yield pd.DataFrame({"h": h, "eval_id": b.norm_id[~short].to_numpy()[which], "a": at, "z": at + size})
+            for q in range(1, 2 * size if short.any() else 1):
+                which, at, h = passage_hashes(b.norm[short], q)
+                edges = [{(m * k // (m // 4 + 1), m * (k + 1) // (m // 4 + 1)) for k in range(m // 4 + 1)} for m in n[short].tolist()]
+                ok = np.array([(a, a + q) in edges[w] for w, a in zip(which.tolist(), at.tolist())], bool)
+                yield pd.DataFrame({"h": h[ok], "eval_id": b.norm_id[short].to_numpy()[which[ok]], "a": at[ok], "z": at[ok] + q})
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _slices(batches):
+            for q in lengths:
+                yield pd.DataFrame({"h": np.unique(passage_hashes(b.norm, q)[2])})
+
+    own = materialize(evaluation.mapInPandas(runs, "h long, eval_id long, a int, z int"))
+    lengths = sorted(r.q for r in own.select((F.col("z") - F.col("a")).alias("q")).distinct().collect())
+    seen = training.select("norm").mapInPandas(known, "h long").distinct()
+    return own.join(seen, "h", "left_semi").groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans"))
+
+
 HITS = "eval_id long, train_id long, starts array<int>, ends array<int>"
 _BITS = 1024
 
@@ -303,11 +332,12 @@ class Overlaps:
 
     def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, common: int = COMMON, shard: int = SHARD, share: float = SHARE):
         self.ev, self.tr = materialize(_folded_rows(evaluation)), materialize(_folded_rows(training))
-        texts = self.ev.select("norm_id", "norm").dropDuplicates(["norm_id"])
-        train_texts = self.tr.select("norm_id", "norm").dropDuplicates(["norm_id"])
-        picked = materialize(passages(texts, train_texts, size, common))
+        self.size = size
+        self.texts = self.ev.select("norm_id", "norm").dropDuplicates(["norm_id"])
+        self.train_texts = self.tr.select("norm_id", "norm").dropDuplicates(["norm_id"])
+        picked = materialize(passages(self.texts, self.train_texts, size, common))
         tasks = max(int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-        self.hits = materialize(scan(picked, train_texts, picked.count(), tasks, shard, share))
+        self.hits = materialize(scan(picked, self.train_texts, picked.count(), tasks, shard, share))
 
     def pairs(self) -> DataFrame:
         """(train_key, train_source, eval_key, eval_source): every pair of near-same records, copies included."""
@@ -318,15 +348,14 @@ class Overlaps:
 
     def coverage(self) -> DataFrame:
         """(key, source, n_words, covered_words, coverage, n_train_texts): per evaluation record the share of its words inside passages matched in any training text."""
-        spans = self.hits.filter("train_id is null").select("eval_id", F.explode(F.arrays_zip("starts", "ends")).alias("s")).select("eval_id", F.col("s.starts").alias("a"), F.col("s.ends").alias("z")).distinct()
-        merged = spans.groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans"))
+        merged = covered_runs(self.texts, self.train_texts, self.size)
         covered = F.aggregate(
             "spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
             lambda acc, s: F.struct(F.greatest(acc["end"], s["z"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["z"] - F.greatest(s["a"], acc["end"]))).alias("n")),
             lambda acc: acc["n"],
         )
-        texts = self.hits.groupBy("eval_id").agg(F.count("train_id").alias("n_train_texts"))
-        covered = merged.select("eval_id", covered.alias("covered_words")).join(texts, "eval_id")
+        texts = self.hits.filter("train_id is not null").groupBy("eval_id").agg(F.count("*").alias("n_train_texts"))
+        covered = merged.select("eval_id", covered.alias("covered_words")).join(texts, "eval_id", "full")
         records = self.ev.select(F.col("norm_id").alias("eval_id"), "key", "source", F.size(F.split("norm", " ")).alias("n_words"))
         return records.join(covered, "eval_id", "left").select(
             "key", "source", "n_words", F.coalesce("covered_words", F.lit(0)).alias("covered_words"),

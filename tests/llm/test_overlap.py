@@ -70,3 +70,18 @@ def test_odd_rows(spark):
     for a, b in ((empty, df), (df, empty), (empty, empty)):
         o = Overlaps(a, b)
         assert o.pairs().count() == 0 and o.report().count() == 0
+
+
+def test_coverage_counts_common_runs(spark):
+    rng = random.Random(3)
+    text = [f"w{i}" for i in range(40)]
+    train = []
+    for i in range(40):
+        w = list(text)
+        w[rng.randrange(40)] = f"x{i}"
+        train.append((f"t{i}", "train", " ".join(w)))
+    train += [("s1", "train", "p q r s t")]
+    ev = [("e", "v", " ".join(text)), ("half", "v", " ".join(text[:20] + [f"y{i}" for i in range(20)])), ("short", "v", "k p q r s t"), ("none", "v", "u v")]
+    got = {r.key: (r.covered_words, r.n_words) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(train, S)).coverage().collect()}
+    # the short text's runs are (k p q) and (r s t)
+    assert got == {"e": (40, 40), "half": (20, 40), "short": (3, 6), "none": (0, 2)}
