@@ -1,23 +1,27 @@
 """Problem 1: the same or near-same records across splits.
 
-Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts; matched intervals are merged into
-coverage per evaluation record, and a training text is set against an evaluation record where passages match.
+Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts, and a training text is set against
+an evaluation record where a passage matches; the runs of evaluation words that occur in any training text are merged into coverage.
 
-Passages. Every run of ``PASSAGE`` words of an evaluation text that occurs in the training texts is a possible passage. Runs that
-occur in more than ``COMMON`` distinct training texts (announcements, stock phrases) tell nothing as long as the text has a rarer
-run, for a rare run that lies inside a longer common stretch matches wherever the stretch does. A text that has common
-runs only keeps its least common ones, however common. Texts of fewer than 2 * PASSAGE words are cut into so many disjoint passages
-that no allowed number of differences can touch all of them. No partner is ever capped.
+Passages. A text is searched for by disjoint runs of up to ``LONGEST`` words, one more than the differences allowed, so that every near-same text
+holds at least one of them unchanged, however common they are: no partner is ever left out. Since more differences are allowed from a
+longer text, there are two sets, one for training texts that aren't longer and one for longer ones. Of all such sets the one is taken that
+matches the fewest texts of a sample of the training texts; the sample bears on the effort alone.
+
+Coverage. Every run of ``PASSAGE`` words of an evaluation text that occurs in a training text counts, however common. Texts of fewer than
+2 * PASSAGE words are cut into disjoint runs instead.
 
 Scale. Equal texts are one row with its members kept aside, so a text that fills a third of a table is scanned once. Evaluation
 records are hashed into shards of bounded size; each automaton is built from the rows at the head of its partition and the training
-texts stream past it, so memory is bounded by the shard. Nothing is collected or broadcast.
+texts stream past it, so memory is bounded by the shard. Only the sample, of bounded size, is collected, and its counts broadcast. Text pairs
+with a common passage are compared, and their number grows with the product of the tables.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +33,10 @@ from sokhan.llm.canonical import canonicalize
 from sokhan.materialize import materialize
 
 PASSAGE = 6
-COMMON = 8
 SHARE = 0.2
 SHARD = 25_000
+#: Passages for the search: words of the longest, training texts that tell how usual a run is, slots for their counts, words that are planned at once.
+LONGEST, SAMPLE, SLOTS, BLOCK = 8, 5_000, 1 << 22, 128
 
 # Letter forms and digits that count as the same when texts are compared.
 _FOLD = {ord(a): b for a, b in zip("آأإٱؤئۀة", "ااااویهه")} | {0x6F0 + i: chr(48 + i) for i in range(10)} | {0x660 + i: chr(48 + i) for i in range(10)}
@@ -98,25 +103,35 @@ def near_same(a: str, b: str, share: float = SHARE) -> bool:
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 
 
-def passage_hashes(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every run of ``size`` words of every text: the text's index, the run's first word, a 64-bit hash."""
+def _word_hashes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of every text, and a 64-bit hash of each word, text after text."""
     words = [t.split(" ") if t else [] for t in texts]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     if not lengths.sum():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return lengths, np.empty(0, np.uint64)
     codes, vocabulary = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
-    h = pd.util.hash_array(vocabulary.astype(object), categorize=False)[codes]
-    which = np.repeat(np.arange(len(words)), lengths)
-    at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return lengths, pd.util.hash_array(vocabulary.astype(object), categorize=False)[codes]
+
+
+def _run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` neighbours of ``h``, across the ends of texts too."""
+    n = max(0, len(h) - size + 1)
     acc = np.zeros(n, np.uint64)
     for k in range(size):
         x = (h[k : k + n] ^ (h[k : k + n] >> np.uint64(29))) * _PRIMES[k % 8]
         acc = (acc << np.uint64(7) | acc >> np.uint64(57)) ^ x ^ (x >> np.uint64(32))
-    ok = which[:n] == which[size - 1 :]
-    return which[:n][ok], at[:n][ok], acc[ok].view(np.int64)
+    return acc.view(np.int64)
+
+
+def passage_hashes(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every run of ``size`` words of every text: the text's index, the run's first word, a 64-bit hash."""
+    lengths, h = _word_hashes(texts)
+    acc = _run_hashes(h, size)
+    n = len(acc)
+    which = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ok = which[:n] == which[size - 1 : size - 1 + n]
+    return which[:n][ok], at[:n][ok], acc[ok]
 
 
 def _folded_rows(df: DataFrame) -> DataFrame:
@@ -137,55 +152,113 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.D
             yield b.iloc[i : i + rows]
 
 
-def passages(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, common: int = COMMON) -> DataFrame:
-    """(norm_id, norm, starts, lengths): the passages of each distinct evaluation text; inputs are (norm_id, norm), distinct."""
+def allowed(n: int, share: float = SHARE) -> tuple[int, int]:
+    """Most differences of a text of ``n`` words from a near-same one: from one that isn't longer, from a longer one."""
+    m = n
+    while m + 1 - int(share * (m + 1) + 1e-9) <= n:
+        m += 1
+    return int(share * n + 1e-9), int(share * m + 1e-9)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _slices(batches):
-            which, _, h = passage_hashes(b.norm, size)
-            order = np.argsort(h, kind="stable")
-            which, h = which[order], h[order]
-            # a run counts once for each text it occurs in
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (which[1:] != which[:-1])
-            h, n = np.unique(h[first], return_counts=True)
-            yield pd.DataFrame({"h": h, "n": n})
 
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def usual_runs(sample: pd.Series, longest: int = LONGEST) -> np.ndarray:
+    """How often runs of 1 .. ``longest`` words occur in ``sample``, by the low bits of their hash: an estimate."""
+    lengths, h = _word_hashes(sample)
+    which, out = np.repeat(np.arange(len(lengths)), lengths), np.zeros(SLOTS, np.int64)
+    for q in range(1, longest + 1):
+        acc = _run_hashes(h, q)
+        n = len(acc)
+        out += np.bincount(acc[which[:n] == which[q - 1 : q - 1 + n]] & (SLOTS - 1), minlength=SLOTS)
+    return np.minimum(out, 65_535).astype(np.uint16)
+
+
+def cheapest_runs(costs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, needs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For stretches of ``sizes`` words from ``starts`` on, the disjoint runs of the least sum of costs, as many as each of ``needs`` says.
+
+    ``costs[q - 1, i]`` is that of the ``q`` words from word i on. For each of ``needs`` (the stretch, the run's first word in it, its length).
+    """
+    rows, width = np.arange(len(sizes)), int(sizes.max())
+    end = np.arange(width + 1)
+    cost = []
+    for q in range(1, len(costs) + 1):
+        first = (starts[:, None] + end - q).clip(0, costs.shape[1] - 1)
+        cost.append(np.where((end >= q) & (end <= sizes[:, None]), costs[q - 1][first], np.float32(np.inf)))
+    best, took, where = np.zeros((len(sizes), width + 1), np.float32), [None], [None]
+    for _ in range(max(int(n.max()) for n in needs)):
+        new, how = np.full_like(best, np.inf), np.zeros(best.shape, np.int8)
+        for q, c in enumerate(cost[:width], 1):
+            x = best[:, : width + 1 - q] + c[:, q:]
+            better = x < new[:, q:]
+            np.copyto(new[:, q:], x, where=better)
+            np.copyto(how[:, q:], np.int8(q), where=better)
+        best = np.minimum.accumulate(new, axis=1)
+        how[best < new] = 0
+        took.append(how)
+        where.append(np.maximum.accumulate(np.where(how > 0, end, 0).astype(np.int16), axis=1))
+    out = []
+    for need in needs:
+        at, found = sizes.astype(np.int64), []
+        for p in range(int(need.max()), 0, -1):
+            on = rows[need >= p]
+            last = where[p][on, at[on]].astype(np.int64)
+            q = took[p][on, last].astype(np.int64)
+            at[on] = last - q
+            found.append((on, last - q, q))
+        out.append(tuple(map(np.concatenate, zip(*found))))
+    return out
+
+
+def pick(texts: pd.Series, usual: np.ndarray, share: float = SHARE, longest: int = LONGEST) -> list[tuple[list, list]]:
+    """Passages (starts, lengths) of every text, first to be sought in texts that aren't longer, then in longer ones.
+
+    They are disjoint and one more than the differences allowed, so a near-same text holds one of them unchanged.
+    """
+    lengths, h = _word_hashes(texts)
+    costs = np.full((longest, len(h)), 0, np.float32)
+    for q in range(1, longest + 1):
+        acc = _run_hashes(h, q)
+        # of runs that the sample lacks the longer is the rarer
+        costs[q - 1, : len(acc)] = usual[acc & (SLOTS - 1)] + np.float32(0.5 / q)
+    wanted = {n: [k + 1 for k in allowed(n, share)] for n in set(lengths.tolist())}
+    text, start, size, needs = [], [], [], ([], [])
+    for i, (n, first) in enumerate(zip(lengths.tolist(), (np.cumsum(lengths) - lengths).tolist())):
+        parts = -(-n // BLOCK)
+        for k in range(parts):
+            a, z = n * k // parts, n * (k + 1) // parts
+            text.append(i)
+            start.append((first, a))
+            size.append(z - a)
+            for need, whole in zip(needs, wanted[n]):
+                need.append(whole * (k + 1) // parts - whole * k // parts)
+    text, start, size, needs = np.array(text), np.array(start).reshape(-1, 2), np.array(size), [np.array(x) for x in needs]
+    found = [[], []]
+    order = np.argsort(size, kind="stable")
+    for k in range(0, len(order), 256):
+        some = order[k : k + 256]
+        for kind, (row, at, q) in enumerate(cheapest_runs(costs, start[some].sum(1), size[some], [x[some] for x in needs])):
+            found[kind].append((text[some][row], start[some][row, 1] + at, q))
+    out = []
+    for parts in found:
+        which, at, q = map(np.concatenate, zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
+        order = np.lexsort((at, which))
+        cuts = np.cumsum(np.bincount(which, minlength=len(texts)))[:-1] if len(texts) else []
+        out.append((np.split(at[order], cuts), np.split(q[order], cuts)))
+    return out
+
+
+def passages(evaluation: DataFrame, training: DataFrame, share: float = SHARE) -> DataFrame:
+    """(norm_id, norm, n_words, starts, lengths, more_starts, more_lengths): the passages of each distinct evaluation text; inputs are (norm_id, norm), distinct."""
+    total = training.count()
+    # a bounded sample tells how usual a run is; that decides on the effort alone, never on what is found
+    few = training.filter(F.pmod(F.xxhash64("norm_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(total, 1)))))
+    sample = few.select(F.substring("norm", 1, 2_000).alias("norm")).limit(2 * SAMPLE).toPandas()
+    usual = evaluation.sparkSession.sparkContext.broadcast(usual_runs(sample.norm))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            which, at, h = passage_hashes(b.norm, size)
-            yield pd.DataFrame({"h": h, "norm_id": b.norm_id.to_numpy()[which], "at": at})
+            (starts, lengths), (more_starts, more_lengths) = pick(b.norm, usual.value, share)
+            yield b[["norm_id", "norm"]].assign(n_words=b.norm.str.count(" ") + 1, starts=starts, lengths=lengths, more_starts=more_starts, more_lengths=more_lengths)
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            starts, lengths = [], []
-            for norm, rare, other in zip(b.norm, b.rare, b.other):
-                n = norm.count(" ") + 1
-                if n < 2 * size:
-                    parts = n // 4 + 1
-                    edge = [n * k // parts for k in range(parts + 1)]
-                    starts.append(edge[:-1])
-                    lengths.append(list(np.diff(edge)))
-                    continue
-                at = [] if rare is None else sorted(rare)
-                if not at and other is not None and len(other):
-                    least = min(r["n"] for r in other)
-                    at = sorted(r["at"] for r in other if r["n"] == least)
-                starts.append(at)
-                lengths.append([size] * len(at))
-            out = b[["norm_id", "norm"]].assign(starts=starts, lengths=lengths)
-            yield out[out.starts.map(len) > 0]
-
-    seen = training.select("norm").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    is_rare = F.col("n") <= common
-    own = (
-        evaluation.mapInPandas(runs, "h long, norm_id long, at int")
-        .join(seen, "h")
-        .groupBy("norm_id")
-        .agg(F.collect_list(F.when(is_rare, F.col("at"))).alias("rare"), F.collect_list(F.when(~is_rare, F.struct("n", "at"))).alias("other"))
-        .select("norm_id", "rare", F.when(F.size("rare") == 0, F.col("other")).alias("other"))
-    )
-    return evaluation.join(own, "norm_id", "left").mapInPandas(pick, "norm_id long, norm string, starts array<int>, lengths array<int>")
+    return evaluation.select("norm_id", "norm").mapInPandas(cut, "norm_id long, norm string, n_words int, starts array<int>, lengths array<int>, more_starts array<int>, more_lengths array<int>")
 
 
 def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE) -> DataFrame:
@@ -217,7 +290,7 @@ def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE
     return own.join(seen, "h", "left_semi").groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans"))
 
 
-HITS = "eval_id long, train_id long, starts array<int>, ends array<int>"
+HITS = "eval_id long, train_id long"
 _BITS = 1024
 
 
@@ -230,56 +303,44 @@ def _bits(words: list[str]) -> int:
 
 
 def scan(picked: DataFrame, training: DataFrame, n_eval: int, tasks: int, shard: int = SHARD, share: float = SHARE) -> DataFrame:
-    """HITS of two kinds: with a train_id, an evaluation text and a training text that are near-same; without, the intervals (in words of the evaluation text) that one task's training texts matched, merged."""
+    """HITS: an evaluation text and a training text that are near-same."""
     shards = max(1, -(-n_eval // shard))
     chunks = max(1, -(-tasks // shards))
+    lists = ("starts", "lengths", "more_starts", "more_lengths")
     each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    ev = picked.select(F.lit(0).alias("kind"), "norm_id", "norm", "starts", "lengths", F.pmod("norm_id", F.lit(shards)).cast("int").alias("shard"), each.alias("chunk"))
+    ev = picked.select(F.lit(0).alias("kind"), "norm_id", "norm", "n_words", *lists, F.pmod("norm_id", F.lit(shards)).cast("int").alias("shard"), each.alias("chunk"))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
     tr = training.select(
-        F.lit(1).alias("kind"), "norm_id", "norm", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("lengths"),
+        F.lit(1).alias("kind"), "norm_id", "norm", F.lit(0).alias("n_words"), *(F.lit(None).cast("array<int>").alias(c) for c in lists),
         every.alias("shard"), F.pmod(F.xxhash64("norm_id"), F.lit(chunks)).cast("int").alias("chunk"),
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
-        here, auto, vocabulary, ids, norms, masks, spans, posts = None, None, {}, [], [], [], [], {}
+        here, auto, vocabulary, ids, norms, bits, sizes, least, alike, posts = None, None, {}, [], [], [], [], [], {}, {}
         started = False
 
-        def covered() -> list[tuple]:
-            """What the training texts of this task matched in each evaluation text."""
-            out = []
-            for k, mask in enumerate(spans):
-                if mask:
-                    runs = [m.span() for m in re.finditer("1+", bin(mask)[:1:-1])]
-                    out.append((ids[k], None, [a for a, _ in runs], [z for _, z in runs]))
-            return out
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            e, t, a, z = zip(*rows) if rows else ((), (), (), ())
-            # whole numbers of 64 bits, some of them null, must not pass through floats
-            return pd.DataFrame({"eval_id": pd.array(e, dtype="Int64"), "train_id": pd.array(t, dtype="Int64"), "starts": pd.Series(a, dtype=object), "ends": pd.Series(z, dtype=object)})
-
         for b in batches:
             out = []
-            for kind, i, norm, starts, lengths, s, c in zip(b.kind, b.norm_id, b.norm, b.starts, b.lengths, b.shard, b.chunk):
+            for kind, i, norm, *passages, s, c in zip(b.kind, b.norm_id, b.norm, *(b[x] for x in lists), b.shard, b.chunk):
                 if (s, c) != here:
-                    out += covered()
-                    here, auto, vocabulary, ids, norms, masks, spans, posts, started = (s, c), None, {}, [], [], [], [], {}, False
+                    here, auto, vocabulary, ids, norms, bits, sizes, least, alike, posts, started = (s, c), None, {}, [], [], [], [], [], {}, {}, False
                 words = norm.split(" ")
+                size = len(words)
                 if kind == 0:
+                    # evaluation texts come from short to long, so a range of lengths is a range of numbers
                     k = len(ids)
                     ids.append(i)
                     norms.append(norm)
-                    masks.append((_bits(words), len(words), hash(norm.replace(" ", ""))))
-                    spans.append(0)
-                    own: dict[str, int] = {}
-                    for a, n in zip(map(int, starts), map(int, lengths)):
-                        code = "".join([vocabulary.setdefault(w, chr(256 + len(vocabulary) + (len(vocabulary) >= 0xD700) * 0x900)) for w in words[a : a + n]])
-                        own[code] = own.get(code, 0) | ((1 << n) - 1) << a
-                    for code, mask in own.items():  # a passage that a text repeats is posted once
-                        posts[code] = (*posts[code], (k, mask)) if code in posts else ((k, mask),)
+                    bits.append(_bits(words))
+                    sizes.append(size)
+                    least.append(size - int(share * size + 1e-9))
+                    alike.setdefault(hash(norm.replace(" ", "")), []).append(k)
+                    own = "".join([vocabulary.setdefault(w, chr(256 + len(vocabulary) + (len(vocabulary) >= 0xD700) * 0x900)) for w in words])
+                    for longer in (0, 1):
+                        for code in {own[a : a + n] for a, n in zip(passages[2 * longer].tolist(), passages[2 * longer + 1].tolist())}:
+                            posts.setdefault(code, ([], []))[longer].append(k)
                     continue
                 if not started:
                     started = True
@@ -290,35 +351,37 @@ def scan(picked: DataFrame, training: DataFrame, n_eval: int, tasks: int, shard:
                         auto.make_automaton()
                 if auto is None:
                     continue
-                met, mine, threes, size = set(), None, None, len(words)
-                for _, post in auto.iter("".join([vocabulary.get(w, "\x01") for w in words])):
-                    for k, mask in post:
-                        spans[k] |= mask
-                        if k in met:
-                            continue
-                        met.add(k)
-                        if mine is None:
-                            mine, bare, bag = _bits(words), hash(norm.replace(" ", "")), set(words)
-                        theirs, length, squashed = masks[k]
-                        most = int(share * max(size, length) + 1e-9)
-                        # words that one text lacks of the other are differences: in bits, which never overstates them, then in words
-                        near = (mine & ~theirs).bit_count() <= most and (theirs & ~mine).bit_count() <= most
-                        if near and length > 100:
-                            theirs = norms[k].split(" ")
-                            other = set(theirs)
-                            near = len(bag - other) <= most and len(other - bag) <= most
-                            if near:  # a difference spoils three runs of three words at most
-                                threes = threes or set(zip(words, words[1:], words[2:]))
-                                near = len(threes - set(zip(theirs, theirs[1:], theirs[2:]))) <= 3 * most
-                        if (near or bare == squashed) and near_same(norm, norms[k], share):
-                            out.append((ids[k], i, None, None))
-            yield frame(out)
-        yield frame(covered())
+                low, mid, high = bisect_left(sizes, size - int(share * size + 1e-9)), bisect_left(sizes, size), bisect_right(least, size)
+                met = set()
+                for _, (same, longer) in auto.iter("".join([vocabulary.get(w, "\x01") for w in words])):
+                    if same:
+                        met.update(same[bisect_left(same, mid) : bisect_left(same, high)])
+                    if longer:
+                        met.update(longer[bisect_left(longer, low) : bisect_left(longer, mid)])
+                mine, threes, bag, found = _bits(words), None, set(words), set()
+                lack = ~mine
+                for k in met:
+                    theirs, most = bits[k], int(share * max(size, sizes[k]) + 1e-9)
+                    # words that one text lacks of the other are differences: in bits, which never overstates them, then in words
+                    near = (theirs & lack).bit_count() <= most and (mine & ~theirs).bit_count() <= most
+                    if near and sizes[k] > 100:
+                        theirs = norms[k].split(" ")
+                        other = set(theirs)
+                        near = len(bag - other) <= most and len(other - bag) <= most
+                        if near:  # a difference spoils three runs of three words at most
+                            threes = threes or set(zip(words, words[1:], words[2:]))
+                            near = len(threes - set(zip(theirs, theirs[1:], theirs[2:]))) <= 3 * most
+                    if near and near_same(norm, norms[k], share):
+                        found.add(k)
+                # texts equal but for spacing need not have a word in common, nor similar lengths
+                found.update(k for k in alike.get(hash(norm.replace(" ", "")), ()) if near_same(norm, norms[k], share))
+                out += [(ids[k], i) for k in found]
+            yield pd.DataFrame(out, columns=["eval_id", "train_id"]).astype("int64")
 
     return (
         ev.unionByName(tr)
         .repartitionByRange(shards * chunks, F.col("shard") * chunks + F.col("chunk"))
-        .sortWithinPartitions("shard", "chunk", "kind")
+        .sortWithinPartitions("shard", "chunk", "kind", "n_words")
         .mapInPandas(run, HITS)
     )
 
@@ -330,18 +393,18 @@ class Overlaps:
     strings. Empty inputs give empty results.
     """
 
-    def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, common: int = COMMON, shard: int = SHARD, share: float = SHARE):
+    def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, shard: int = SHARD, share: float = SHARE):
         self.ev, self.tr = materialize(_folded_rows(evaluation)), materialize(_folded_rows(training))
         self.size = size
         self.texts = self.ev.select("norm_id", "norm").dropDuplicates(["norm_id"])
         self.train_texts = self.tr.select("norm_id", "norm").dropDuplicates(["norm_id"])
-        picked = materialize(passages(self.texts, self.train_texts, size, common))
+        picked = materialize(passages(self.texts, self.train_texts, share))
         tasks = max(int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
         self.hits = materialize(scan(picked, self.train_texts, picked.count(), tasks, shard, share))
 
     def pairs(self) -> DataFrame:
         """(train_key, train_source, eval_key, eval_source): every pair of near-same records, copies included."""
-        same = self.hits.filter("train_id is not null").select("eval_id", "train_id")
+        same = self.hits.select("eval_id", "train_id")
         ev = self.ev.select(F.col("norm_id").alias("eval_id"), F.col("key").alias("eval_key"), F.col("source").alias("eval_source"))
         tr = self.tr.select(F.col("norm_id").alias("train_id"), F.col("key").alias("train_key"), F.col("source").alias("train_source"))
         return same.join(ev, "eval_id").join(tr, "train_id").select("train_key", "train_source", "eval_key", "eval_source").distinct()
@@ -354,7 +417,7 @@ class Overlaps:
             lambda acc, s: F.struct(F.greatest(acc["end"], s["z"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), s["z"] - F.greatest(s["a"], acc["end"]))).alias("n")),
             lambda acc: acc["n"],
         )
-        texts = self.hits.filter("train_id is not null").groupBy("eval_id").agg(F.count("*").alias("n_train_texts"))
+        texts = self.hits.groupBy("eval_id").agg(F.count("*").alias("n_train_texts"))
         covered = merged.select("eval_id", covered.alias("covered_words")).join(texts, "eval_id", "full")
         records = self.ev.select(F.col("norm_id").alias("eval_id"), "key", "source", F.size(F.split("norm", " ")).alias("n_words"))
         return records.join(covered, "eval_id", "left").select(

@@ -85,3 +85,36 @@ def test_coverage_counts_common_runs(spark):
     got = {r.key: (r.covered_words, r.n_words) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(train, S)).coverage().collect()}
     # the short text's runs are (k p q) and (r s t)
     assert got == {"e": (40, 40), "half": (20, 40), "short": (3, 6), "none": (0, 2)}
+
+
+def test_families_of_near_copies_are_found_whole(spark):
+    rng = random.Random(5)
+    train, ev = [], []
+    for f, n in enumerate((12, 50, 120)):
+        base = [f"f{f}w{i}" for i in range(50)]
+        for i in range(n):
+            w = list(base)
+            for k in rng.sample(range(50), 5):
+                w[k] = f"x{f}a{i}a{k}"
+            train.append((f"t{f}_{i}", "train", " ".join(w)))
+        for i in range(6):  # two changed as the copies are, two shorter, two longer
+            w = list(base)
+            for k in sorted(rng.sample(range(50), 4), reverse=True):
+                w[k : k + 1] = [[f"y{k}"], [], [w[k], f"y{k}"]][i % 3]
+            ev.append((f"e{f}_{i}", "v", " ".join(w)))
+    want = {(a, b) for a, _, s in train for b, _, t in ev if near_same(comparable(s), comparable(t))}
+    got = {(r.train_key, r.eval_key) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(train, S)).pairs().collect()}
+    assert len(want) > 500 and got == want
+
+
+def test_evenly_spread_differences(spark):
+    # a difference in every fourth or fifth word of the shorter text leaves no run of six words
+    rows, ev = [], []
+    for n in (1, 4, 5, 7, 16, 40, 60, 300):
+        base = [f"n{n}w{i}" for i in range(n)]
+        ev.append((f"e{n}", "v", " ".join(base)))
+        rows += [(f"c{n}", "t", " ".join("x" if i % 5 == 4 else w for i, w in enumerate(base))), (f"d{n}", "t", " ".join(w for i, w in enumerate(base) if i % 5 != 4))]
+        rows.append((f"i{n}", "t", " ".join(w + " y" if i % 4 == 3 else w for i, w in enumerate(base))))
+    want = {(a, b) for a, _, s in rows for b, _, t in ev if near_same(s, t)}
+    got = {(r.train_key, r.eval_key) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(rows, S)).pairs().collect()}
+    assert len(want) > 15 and got == want
