@@ -118,3 +118,14 @@ def test_evenly_spread_differences(spark):
     want = {(a, b) for a, _, s in rows for b, _, t in ev if near_same(s, t)}
     got = {(r.train_key, r.eval_key) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(rows, S)).pairs().collect()}
     assert len(want) > 15 and got == want
+
+
+def test_texts_equal_but_for_spacing(spark):
+    long = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    glued = " ".join(a + b for a, b in zip(long[::2], long[1::2]))
+    shifted = " ".join([long[0], *(a + b for a, b in zip(long[1:-1:2], long[2::2])), long[-1]])
+    train = [("t1", "t", "a b c d e"), ("t2", "t", " ".join(long)), ("t3", "t", shifted), ("t4", "t", "ab cd f")]
+    ev = [("e1", "v", "ab c de"), ("e2", "v", glued), ("e3", "v", "abcd"), ("e4", "v", "a‌b cd f")]
+    want = {(a, b) for a, _, s in train for b, _, t in ev if near_same(comparable(s), comparable(t))}
+    got = {(r.train_key, r.eval_key) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(train, S)).pairs().collect()}
+    assert got == want == {("t1", "e1"), ("t2", "e2"), ("t3", "e2"), ("t4", "e4")}
