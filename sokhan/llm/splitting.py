@@ -1,7 +1,8 @@
 """Problem 4: splitting oversized items at natural boundaries.
 
 Method: recursive bisection. A stretch longer than the limit minus the overlap is cut at the strongest boundary near its
-midpoint, both halves are treated alike, and at last every piece but the first gets the overlap, the characters just before it.
+midpoint, or else at the boundary nearest to it, and inside a word only where the stretch has no boundary; both halves are treated
+alike, and at last every piece but the first gets the overlap, the characters just before it.
 Items within the limit are left out by a length filter in the JVM, so only oversized texts reach Python.
 """
 
@@ -31,7 +32,7 @@ def _glued(text: str, cut: int) -> bool:
 
 
 def cut_points(text: str, limit: int, overlap: int, near: float = 0.25) -> list[int]:
-    """Starts of the pieces of ``text``, 0 first. ``near``: how far from the midpoint a boundary is looked for, as a share of the length."""
+    """Starts of the pieces of ``text``, 0 first. ``near``: how far from the midpoint the strongest boundary is looked for, as a share of the length."""
     room = limit - overlap
     if limit <= 0 or overlap < 0 or room <= 0:
         raise ValueError("the overlap must be smaller than the limit")
@@ -54,6 +55,13 @@ def cut_points(text: str, limit: int, overlap: int, near: float = 0.25) -> list[
                 k = bisect_left(ends, mid, i, j)
                 cut = min(ends[max(i, k - 1) : min(j, k + 1)] or [ends[i]], key=lambda e: abs(e - mid))
                 break
+        if not cut:  # no boundary near the midpoint: the nearest of any kind, the stronger where two are as near
+            beside = []
+            for ends in places:
+                i, j = bisect_right(ends, a), bisect_left(ends, b)
+                k = bisect_left(ends, mid, i, j)
+                beside += ends[max(i, k - 1) : min(j, k + 1)]
+            cut = min(beside, key=lambda e: abs(e - mid), default=0)
         if not cut:
             cut = int(mid)
             while cut > a + 1 and _glued(text, cut):

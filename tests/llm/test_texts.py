@@ -53,6 +53,13 @@ def test_cuts_at_the_strongest_boundary():
         cut_points("abc", 3, 3)
 
 
+def test_cuts_at_a_far_boundary_rather_than_inside_a_word():
+    text = "a" * 20 + " " + "b" * 58 + " " + "c" * 20
+    # the spaces stand at a fifth and four fifths, the middle half is unbroken
+    assert cut_points(text, 84, 0) == [0, 21] and cut_points(text, 60, 0) == cut_points(text, 62, 2) == [0, 21, 80]
+    assert cut_points("a" * 100, 60, 0) == [0, 50]
+
+
 def test_oversized_items(spark):
     limits = spark.createDataFrame([("f", 10, 2)], "field_name string, max_chars int, overlap_chars int")
     rows = [("f", "a", "x" * 11), ("f", "a", "x" * 11), ("f", "b", "x" * 10), ("f", "c", None), ("f", None, "x" * 50), ("g", "d", "x" * 50), ("f", "e", "😀" * 10), ("f", "l", "word " * 40_000)]
