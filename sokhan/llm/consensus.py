@@ -3,12 +3,14 @@
 Method: bipartite message passing on label edges, one class against the rest. An item tells each of its annotators how likely each class
 is in the light of the *other* annotators; an annotator tells each of its items how much its label speaks for each class against the
 rest, in the light of its *other* items. A round is one aggregation by item, one by annotator and label (both combined before the
-shuffle) and joins on their results; it is written to the shared folder. Rounds end when no message moves by more than a tolerance.
+shuffle) and joins on their results; it is written to the shared folder. Rounds end when no message moves by more than a tolerance; if
+that doesn't come within ``ROUNDS``, a warning tells.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ CLASSES = ("A", "B", "either", "neither")
 PRIOR = 4.0
 #: The same for the average annotator.
 BELIEF = 20.0
-ROUNDS, TOLERANCE = 12, 0.01
+ROUNDS, TOLERANCE = 100, 0.01
 
 
 def clean_verdict(verdict: Column) -> Column:
@@ -97,6 +99,8 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
         edges = edges.select("id", "model", "vote", *(f"p{c}" for c in range(k)))
         if moved is not None and moved < tolerance:
             break
+    else:
+        warnings.warn(f"messages have not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
     if items is None:
         items = labels.select("id", F.lit(0).alias("n_labels"), *(F.lit(0.0).alias(f"s{c}") for c in range(k))).limit(0)
     return materialize(items), edges

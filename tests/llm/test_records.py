@@ -1,7 +1,9 @@
 import json
 import random
+import warnings
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sokhan.llm.consensus import Consensus
@@ -35,6 +37,17 @@ def test_consensus_beats_majority(spark):
     assert min(v for k, v in rel.items() if k.startswith("good")) > max(v for k, v in rel.items() if k.startswith("bad"))
 
 
+def test_messages_settle_or_a_warning_tells(spark):
+    rng = random.Random(4)
+    rows = [(n, f"i{n // 5}", f"m{n % 5}", rng.choice(["A", "B", "either", "neither"])) for n in range(400)]
+    log = spark.createDataFrame(rows, "line_no long, id string, model string, verdict string")
+    with pytest.warns(RuntimeWarning, match="not settled after 2 rounds"):
+        Consensus(log, rounds=2)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        Consensus(log)
+
+
 def test_which_lines_count(spark):
     rows = [(1, "x", "m", "A"), (2, "x", "m", "B."), (3, "x", "m", None), (4, "y", "m", "unsure"), (5, "y", "m", "?"), (6, "z", None, "A"), (7, None, "m", "A"), (8, "w", "m", "A"), (8, "w", "m", "A"), (9, "w", "m", "unsure"), (10, "v", "k", " NEITHER ")]
     df = spark.createDataFrame(rows, LOG).withColumn("vote", F.lit(1)).withColumn("n", F.lit(2))
