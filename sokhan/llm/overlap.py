@@ -11,10 +11,11 @@ matches the fewest texts of a sample of the training texts; the sample bears on
 Coverage. Every run of ``PASSAGE`` words of an evaluation text that occurs in a training text counts, however common. Texts of fewer than
 2 * PASSAGE words are cut into disjoint runs instead.
 
-Scale. Equal texts are one row with its members kept aside, so a text that fills a third of a table is scanned once. Evaluation
-records are hashed into shards of bounded size; each automaton is built from the rows at the head of its partition and the training
-texts stream past it, so memory is bounded by the shard. Only the sample, of bounded size, is collected, and its counts broadcast. Text pairs
-with a common passage are compared, and their number grows with the product of the tables.
+Scale. Equal texts are one row with its members kept aside, so a text that fills a third of a table is scanned once. Near-same texts have
+similar lengths, so evaluation texts are sharded by their length and, where a length has many, by hash, and a training text is sent to
+the shards of its lengths only, in chunks of bounded size. Each automaton is built from the rows at the head of its unit and the training texts stream
+past it, so memory is bounded by the shard and a task by shard and chunk. Only the sample, of bounded size, is collected, and its
+counts broadcast. Text pairs with a common passage are compared, and their number grows with the product of the tables.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sokhan.llm.canonical import canonicalize
@@ -34,7 +36,8 @@ from sokhan.materialize import materialize
 
 PASSAGE = 6
 SHARE = 0.2
-SHARD = 25_000
+#: Evaluation texts of an automaton, training texts that stream past one, bands of lengths for every e-fold length.
+SHARD, CHUNK, BANDS = 25_000, 50_000, 8
 #: Passages for the search: words of the longest, training texts that tell how usual a run is, slots for their counts, words that are planned at once.
 LONGEST, SAMPLE, SLOTS, BLOCK = 8, 5_000, 1 << 22, 128
 
@@ -135,14 +138,16 @@ def passage_hashes(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _folded_rows(df: DataFrame) -> DataFrame:
-    """(key, source, text) -> (key, source, norm, norm_id); blank texts are dropped, for they have no words to compare."""
+    """(key, source, text) -> (key, source, norm, norm_id, n_words); blank texts are dropped, for they have no words to compare."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["norm"] = [comparable(t) for t in b.text]
             yield b.loc[b.norm != "", ["key", "source", "norm"]]
 
-    return df.select("key", "source", "text").filter("key is not null and text is not null").mapInPandas(fold, "key string, source string, norm string").withColumn("norm_id", F.xxhash64("norm"))
+    return df.select("key", "source", "text").filter("key is not null and text is not null").mapInPandas(fold, "key string, source string, norm string").withColumns(
+        {"norm_id": F.xxhash64("norm"), "n_words": F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1}
+    )
 
 
 def _slices(batches: Iterator[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.DataFrame]:
@@ -246,11 +251,11 @@ def pick(texts: pd.Series, usual: np.ndarray, share: float = SHARE, longest: int
 
 
 def passages(evaluation: DataFrame, training: DataFrame, share: float = SHARE) -> DataFrame:
-    """(norm_id, norm, n_words, starts, lengths, more_starts, more_lengths): the passages of each distinct evaluation text; inputs are (norm_id, norm), distinct."""
+    """(norm_id, norm, n_words, starts, lengths, more_starts, more_lengths): the passages of each evaluation text; inputs are (norm_id, norm), the evaluation's distinct."""
     total = training.count()
     # a bounded sample tells how usual a run is; that decides on the effort alone, never on what is found
-    few = training.filter(F.pmod(F.xxhash64("norm_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(total, 1)))))
-    sample = few.select(F.substring("norm", 1, 2_000).alias("norm")).limit(2 * SAMPLE).toPandas()
+    few = training.select("norm_id", "norm").filter(F.pmod(F.xxhash64("norm_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(total, 1)))))
+    sample = few.distinct().select(F.substring("norm", 1, 2_000).alias("norm")).limit(2 * SAMPLE).toPandas()
     usual = evaluation.sparkSession.sparkContext.broadcast(usual_runs(sample.norm))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,99 +296,151 @@ def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE
 
 
 HITS = "eval_id long, train_id long"
-_BITS = 1024
 
 
-def _bits(words: list[str]) -> int:
-    """The words as a set of bits: as many bits of one text can lack in another as words do, or fewer."""
+class _Codes(dict):
+    """A character for each word, the same for the same word; other words may share it, so what codes tell is checked in words."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > _KEPT:
+            self.clear()
+        at = 256 + crc32(word.encode("utf-8", "surrogatepass")) % 1_000_000
+        self[word] = out = chr(at + (at >= 0xD800) * 0x800)
+        return out
+
+
+def _pair_bits(code: str, width: int) -> int:
+    """The neighbouring words of a text as a set of bits: no more bits of one text are lacking in another than pairs of words are."""
     out = 0
-    for w in words:
-        out |= 1 << (hash(w) % _BITS)
+    for pair in {code[i : i + 2] for i in range(len(code) - 1)}:
+        out |= 1 << (hash(pair) % width)
     return out
 
 
-def scan(picked: DataFrame, training: DataFrame, n_eval: int, tasks: int, shard: int = SHARD, share: float = SHARE) -> DataFrame:
-    """HITS: an evaluation text and a training text that are near-same."""
-    shards = max(1, -(-n_eval // shard))
-    chunks = max(1, -(-tasks // shards))
-    lists = ("starts", "lengths", "more_starts", "more_lengths")
-    each = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
-    ev = picked.select(F.lit(0).alias("kind"), "norm_id", "norm", "n_words", *lists, F.pmod("norm_id", F.lit(shards)).cast("int").alias("shard"), each.alias("chunk"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    tr = training.select(
-        F.lit(1).alias("kind"), "norm_id", "norm", F.lit(0).alias("n_words"), *(F.lit(None).cast("array<int>").alias(c) for c in lists),
-        every.alias("shard"), F.pmod(F.xxhash64("norm_id"), F.lit(chunks)).cast("int").alias("chunk"),
-    )
+def length_band(n: Column) -> Column:
+    """Texts whose numbers of words are within about an eighth of one another."""
+    return F.floor(F.log(n.cast("double")) * BANDS).cast("int")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def plan_units(n_eval: dict[int, int], reach: list[tuple[int, int, int]], shard: int = SHARD, chunk: int = CHUNK) -> dict[int, tuple[int, int, int]]:
+    """{band: (first unit, shards, chunks)}: evaluation texts of a band are hashed into shards, the training texts that reach it into chunks, each pair of them a unit.
+
+    ``reach``: (lowest band, highest band, training texts). Bands are numbered from the most laborious, so units of a like effort are neighbours.
+    """
+    n_train = {b: sum(n for low, high, n in reach if low <= b <= high) for b in n_eval}
+    plan, first = {}, 0
+    for b in sorted(n_eval, key=lambda b: (-n_eval[b] * n_train[b], b)):
+        shards, chunks = -(-n_eval[b] // shard), max(1, -(-n_train[b] // chunk))
+        plan[b] = (first, shards, chunks)
+        first += shards * chunks
+    return plan
+
+
+class _Unit:
+    """The evaluation texts of a shard, from short to long, and their automaton."""
+
+    def __init__(self, share: float, codes: dict[str, str]):
+        self.share, self.codes = share, codes
+        self.ids, self.norms, self.packed, self.sizes, self.least = [], [], [], [], []
+        self.posts: dict[str, tuple[list[int], list[int]]] = {}
+        self.auto = None
+
+    def add(self, ident: int, norm: str, passages: list) -> None:
+        code = "".join(map(self.codes.__getitem__, norm.split(" ")))
+        k, size = len(self.ids), len(code)
+        self.ids.append(ident)
+        self.norms.append(norm)
+        self.packed.append(code)
+        self.sizes.append(size)
+        self.least.append(size - int(self.share * size + 1e-9))
+        for longer in (0, 1):
+            for word in {code[a : a + n] for a, n in zip(passages[2 * longer].tolist(), passages[2 * longer + 1].tolist())}:
+                self.posts.setdefault(word, ([], []))[longer].append(k)
+
+    def close(self) -> None:
+        """All evaluation texts are there: build the automaton."""
         import ahocorasick
 
-        here, auto, vocabulary, ids, norms, bits, sizes, least, alike, posts = None, None, {}, [], [], [], [], [], {}, {}
-        started = False
+        self.auto = ahocorasick.Automaton()
+        while self.posts:
+            self.auto.add_word(*self.posts.popitem())
+        if self.ids:
+            self.auto.make_automaton()
+            self.width = 1 << max(8, (8 * self.sizes[-1]).bit_length())
+            self.bits = [_pair_bits(c, self.width) for c in self.packed]
+
+    def matches(self, norm: str) -> list[int]:
+        """Ids of the evaluation texts that are near-same to a training text."""
+        if self.auto is None:
+            self.close()
+        if not self.ids:
+            return []
+        share, sizes = self.share, self.sizes
+        code = "".join(map(self.codes.__getitem__, norm.split(" ")))
+        size = len(code)
+        low, mid, high = bisect_left(sizes, size - int(share * size + 1e-9)), bisect_left(sizes, size), bisect_right(self.least, size)
+        met: set[int] = set()
+        for _, (same, longer) in self.auto.iter(code):
+            if same and same[-1] >= mid:
+                met.update(same[bisect_left(same, mid) : bisect_left(same, high)])
+            if longer and longer[0] < mid:
+                met.update(longer[bisect_left(longer, low) : bisect_left(longer, mid)])
+        if not met:
+            return []
+        mine, bits, found = _pair_bits(code, self.width), self.bits, []
+        lack = ~mine
+        for k in met:
+            # a difference spoils two pairs of neighbours at most
+            theirs, most = bits[k], 2 * int(share * max(size, sizes[k]) + 1e-9)
+            if (theirs & lack).bit_count() <= most and (mine & ~theirs).bit_count() <= most and near_same(norm, self.norms[k], share):
+                found.append(self.ids[k])
+        return found
+
+
+def scan(picked: DataFrame, training: DataFrame, shard: int = SHARD, chunk: int = CHUNK, share: float = SHARE) -> DataFrame:
+    """HITS: an evaluation text and a training text that are near-same by their words. ``picked``: see ``passages``; ``training``: (norm_id, norm, n_words), repeats allowed.
+
+    A training text is sent to the shards of the lengths that a near-same text can have, and to no others.
+    """
+    low, high = length_band(F.greatest(F.lit(1), F.floor(F.col("n_words") * (1 - share)))), length_band(F.ceil((F.col("n_words") + 1) / (1 - share)))
+    n_eval = {r.band: r["count"] for r in picked.groupBy(length_band(F.col("n_words")).alias("band")).count().collect()}
+    reach = [tuple(r) for r in training.groupBy(low.alias("low"), high.alias("high")).count().collect()]
+    plan = plan_units(n_eval, reach, shard, chunk)
+    units = sum(s * c for _, s, c in plan.values())
+    tasks = max(1, min(units, max(int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8, units // 8)))
+    # a row per band of lengths: some ten for every tenfold length
+    bands = F.broadcast(picked.sparkSession.createDataFrame([(b, *x) for b, x in plan.items()] or [(-1, 0, 1, 1)], "band int, first long, shards long, chunks long"))
+    lists = ("starts", "lengths", "more_starts", "more_lengths")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    place = (F.col("first") + F.col("shard") * F.col("chunks") + F.col("chunk")).alias("unit")
+    part = lambda key, c: F.pmod(F.xxhash64(key, F.lit(c)), F.col(c)).alias(c.removesuffix("s"))
+    ev = picked.withColumn("band", length_band(F.col("n_words"))).join(bands, "band").select("*", part("norm_id", "shards"), upto("chunks").alias("chunk"))
+    ev = ev.select(place, F.lit(0).alias("kind"), "norm_id", "norm", "n_words", *lists)
+    tr = training.select("norm_id", "norm", "n_words").distinct()
+    tr = tr.select("*", F.explode(F.sequence(low, high)).alias("band")).join(bands, "band").select("*", part("norm_id", "chunks"), upto("shards").alias("shard"))
+    tr = tr.select(place, F.lit(1).alias("kind"), "norm_id", "norm", "n_words", *(F.lit(None).cast("array<int>").alias(c) for c in lists))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = _Codes()
+        here, unit = None, None
         for b in batches:
             out = []
-            for kind, i, norm, *passages, s, c in zip(b.kind, b.norm_id, b.norm, *(b[x] for x in lists), b.shard, b.chunk):
-                if (s, c) != here:
-                    here, auto, vocabulary, ids, norms, bits, sizes, least, alike, posts, started = (s, c), None, {}, [], [], [], [], [], {}, {}, False
-                words = norm.split(" ")
-                size = len(words)
+            for u, kind, i, norm, *passages in zip(b.unit, b.kind, b.norm_id, b.norm, *(b[x] for x in lists)):
+                if u != here:
+                    here, unit = u, _Unit(share, codes)
                 if kind == 0:
-                    # evaluation texts come from short to long, so a range of lengths is a range of numbers
-                    k = len(ids)
-                    ids.append(i)
-                    norms.append(norm)
-                    bits.append(_bits(words))
-                    sizes.append(size)
-                    least.append(size - int(share * size + 1e-9))
-                    alike.setdefault(hash(norm.replace(" ", "")), []).append(k)
-                    own = "".join([vocabulary.setdefault(w, chr(256 + len(vocabulary) + (len(vocabulary) >= 0xD700) * 0x900)) for w in words])
-                    for longer in (0, 1):
-                        for code in {own[a : a + n] for a, n in zip(passages[2 * longer].tolist(), passages[2 * longer + 1].tolist())}:
-                            posts.setdefault(code, ([], []))[longer].append(k)
-                    continue
-                if not started:
-                    started = True
-                    if posts:
-                        auto = ahocorasick.Automaton()
-                        while posts:
-                            auto.add_word(*posts.popitem())
-                        auto.make_automaton()
-                if auto is None:
-                    continue
-                low, mid, high = bisect_left(sizes, size - int(share * size + 1e-9)), bisect_left(sizes, size), bisect_right(least, size)
-                met = set()
-                for _, (same, longer) in auto.iter("".join([vocabulary.get(w, "\x01") for w in words])):
-                    if same:
-                        met.update(same[bisect_left(same, mid) : bisect_left(same, high)])
-                    if longer:
-                        met.update(longer[bisect_left(longer, low) : bisect_left(longer, mid)])
-                mine, threes, bag, found = _bits(words), None, set(words), set()
-                lack = ~mine
-                for k in met:
-                    theirs, most = bits[k], int(share * max(size, sizes[k]) + 1e-9)
-                    # words that one text lacks of the other are differences: in bits, which never overstates them, then in words
-                    near = (theirs & lack).bit_count() <= most and (mine & ~theirs).bit_count() <= most
-                    if near and sizes[k] > 100:
-                        theirs = norms[k].split(" ")
-                        other = set(theirs)
-                        near = len(bag - other) <= most and len(other - bag) <= most
-                        if near:  # a difference spoils three runs of three words at most
-                            threes = threes or set(zip(words, words[1:], words[2:]))
-                            near = len(threes - set(zip(theirs, theirs[1:], theirs[2:]))) <= 3 * most
-                    if near and near_same(norm, norms[k], share):
-                        found.add(k)
-                # texts equal but for spacing need not have a word in common, nor similar lengths
-                found.update(k for k in alike.get(hash(norm.replace(" ", "")), ()) if near_same(norm, norms[k], share))
-                out += [(ids[k], i) for k in found]
+                    unit.add(i, norm, passages)
+                else:
+                    out += [(k, i) for k in unit.matches(norm)]
             yield pd.DataFrame(out, columns=["eval_id", "train_id"]).astype("int64")
 
-    return (
-        ev.unionByName(tr)
-        .repartitionByRange(shards * chunks, F.col("shard") * chunks + F.col("chunk"))
-        .sortWithinPartitions("shard", "chunk", "kind", "n_words")
-        .mapInPandas(run, HITS)
-    )
+    return ev.unionByName(tr).repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int")).sortWithinPartitions("unit", "kind", "n_words").mapInPandas(run, HITS)
+
+
+def same_but_spacing(evaluation: DataFrame, training: DataFrame) -> DataFrame:
+    """HITS: texts that are equal but for spacing; they need not have a word in common, nor similar lengths. Inputs are (norm_id, norm)."""
+    bare = lambda df, name: df.select(F.col("norm_id").alias(name), F.xxhash64(F.replace("norm", F.lit(" "), F.lit(""))).alias("bare")).distinct()
+    return bare(evaluation, "eval_id").join(bare(training, "train_id"), "bare").select("eval_id", "train_id")
 
 
 class Overlaps:
@@ -393,14 +450,23 @@ class Overlaps:
     strings. Empty inputs give empty results.
     """
 
-    def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, shard: int = SHARD, share: float = SHARE):
+    def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, shard: int = SHARD, chunk: int = CHUNK, share: float = SHARE):
         self.ev, self.tr = materialize(_folded_rows(evaluation)), materialize(_folded_rows(training))
         self.size = size
-        self.texts = self.ev.select("norm_id", "norm").dropDuplicates(["norm_id"])
-        self.train_texts = self.tr.select("norm_id", "norm").dropDuplicates(["norm_id"])
-        picked = materialize(passages(self.texts, self.train_texts, share))
-        tasks = max(int(evaluation.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-        self.hits = materialize(scan(picked, self.train_texts, picked.count(), tasks, shard, share))
+        self.texts = self.ev.select("norm_id", "norm").distinct()
+        self.train_texts = self.tr.select("norm_id", "norm").distinct()
+        picked = materialize(passages(self.texts, self.tr, share))
+        by_words = scan(picked, self.tr, shard, chunk, share)
+        self.hits = materialize(by_words.unionByName(same_but_spacing(self.ev, self.tr)).distinct())
+
+    def links(self) -> DataFrame:
+        """(eval_id, train_id): every pair of different near-same texts, a text with all its copies being one; see ``members``."""
+        return self.hits
+
+    def members(self) -> DataFrame:
+        """(key, source, side evaluation | training, text_id): the text of every record."""
+        side = lambda df, name: df.select("key", "source", F.lit(name).alias("side"), F.col("norm_id").alias("text_id")).distinct()
+        return side(self.ev, "evaluation").unionByName(side(self.tr, "training"))
 
     def pairs(self) -> DataFrame:
         """(train_key, train_source, eval_key, eval_source): every pair of near-same records, copies included."""
