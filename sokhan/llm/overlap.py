@@ -37,7 +37,7 @@ from sokhan.materialize import materialize
 PASSAGE = 6
 SHARE = 0.2
 #: Evaluation texts of an automaton, training texts that stream past one, bands of lengths for every e-fold length.
-SHARD, CHUNK, BANDS = 25_000, 50_000, 8
+SHARD, CHUNK, BANDS = 25_000, 50_000, 3
 #: Passages for the search: words of the longest, training texts that tell how usual a run is, slots for their counts, words that are planned at once.
 LONGEST, SAMPLE, SLOTS, BLOCK = 8, 5_000, 1 << 22, 128
 
@@ -318,7 +318,7 @@ def _pair_bits(code: str, width: int) -> int:
 
 
 def length_band(n: Column) -> Column:
-    """Texts whose numbers of words are within about an eighth of one another."""
+    """Texts whose numbers of words are within about 40 % of one another."""
     return F.floor(F.log(n.cast("double")) * BANDS).cast("int")
 
 
