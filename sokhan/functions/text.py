@@ -22,6 +22,8 @@ NUMBER_VARIANTS = {
 }
 # Words that are written attached to the word before them, and their attached form.
 CLITICS = {"رو": "و", "را": "و", "هم": "م"}
+# Attached forms of the object marker.
+OBJECT_MARKERS = ("و", "رو")
 # Number words.
 NUMBER_WORDS = (
     "صفر یک دو سه چهار پنج شش هفت هشت نه ده یازده دوازده سیزده چهارده پانزده شانزده هفده "
@@ -94,11 +96,11 @@ def normalize_clitics(text: Column) -> Column:
     return F.array_join(join_clitics(F.transform(words(text), canonical_word)), " ")
 
 
-def normalize_lenient(text: Column) -> Column:
-    """Lenient normal form: ك and ي folded, a parted or glued می joined by a half-space, informal words made standard (شبا stays)."""
+def normalize_lenient(text: Column, informal: dict[str, str] = INFORMAL) -> Column:
+    """Lenient normal form: ك and ي folded, a parted می joined by a half-space, words of ``informal`` made standard (شبا stays)."""
     t = F.translate(text, "كي", "کی")
     t = F.regexp_replace(F.array_join(words(t), " "), r"(?<!\S)(ن?می) (?=\S)", "$1" + ZWNJ)
-    return F.array_join(F.transform(F.split(t, " "), lambda w: _lookup(INFORMAL, w)), " ")
+    return F.array_join(F.transform(F.split(t, " "), lambda w: _lookup(informal, w)), " ")
 
 
 def verb_endings_match(a: Column, b: Column) -> Column:
@@ -110,10 +112,10 @@ def verb_endings_match(a: Column, b: Column) -> Column:
 
 
 def object_markers_match(a: Column, b: Column) -> Column:
-    """را and رو, or one word is the other with و attached."""
+    """را and رو, or one word is the other with one of OBJECT_MARKERS attached."""
     x, y = F.rtrim(a, F.lit(ZWNJ)), F.rtrim(b, F.lit(ZWNJ))
-    bare = ((a == "را") & (b == "رو")) | ((a == "رو") & (b == "را"))
-    return bare | (F.concat(x, F.lit("و")) == y) | (F.concat(y, F.lit("و")) == x)
+    bare = F.array_sort(F.array(a, b)) == F.array_sort(F.array(F.lit("را"), F.lit("رو")))
+    return reduce(lambda c, m: c | (F.concat(x, F.lit(m)) == y) | (F.concat(y, F.lit(m)) == x), OBJECT_MARKERS, bare)
 
 
 def words_equivalent(a: Column, b: Column) -> Column:
@@ -150,9 +152,9 @@ def shared_words(a: Column, b: Column) -> Column:
 
 
 def overlap_pct(a: Column, b: Column) -> Column:
-    """Percentage of the words of ``a`` that ``b`` has too, 2 decimals; 100 for an ``a`` without words."""
+    """Percentage of the words of ``a`` that ``b`` has too, 2 decimals; half to even; 100 for an ``a`` without words."""
     x, y = words(F.coalesce(a, F.lit(""))), words(F.coalesce(b, F.lit("")))
-    return F.when(F.size(x) == 0, F.lit(100.0)).otherwise(F.round(shared_words(x, y) / F.size(x) * 100, 2))
+    return F.when(F.size(x) == 0, F.lit(100.0)).otherwise(F.bround(shared_words(x, y) / F.size(x) * 100, 2))
 
 
 def character_overlap(a: Column, b: Column) -> Column:
@@ -200,11 +202,26 @@ def stable_id(*parts: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("\x1f", *(p.cast("string") for p in parts))), 1, 16)
 
 
+def padded(text: Column) -> Column:
+    """Words joined by single spaces, with one at either end."""
+    return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
+
+
+def padded_has(text: Column, span: Column) -> Column:
+    """A ``padded`` text has the span's words side by side; false for an empty span."""
+    return (F.trim(span) != "") & F.contains(text, padded(span))
+
+
 def whole_span_in(text: Column, span: Column) -> Column:
     """The span stands in the text between white space or ends."""
-    pad = lambda x: F.concat(F.lit(" "), F.array_join(words(x), " "), F.lit(" "))
-    return (F.trim(span) != "") & F.contains(pad(text), pad(span))
+    return padded_has(padded(text), span)
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^{SPACE}|{SPACE}$", "")
 
 
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def lenient_span_in(text: Column, span: Column) -> Column:
+    """The span's words stand side by side in the text, both in the lenient normal form; false for an empty span."""
+    return whole_span_in(normalize_lenient(text), normalize_lenient(span))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -10,17 +11,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_PATH = "_cut_path"
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests on one machine) a temporary one is made and set."""
+    """The cluster's shared folder. Where it is unset, a session on one machine gets a temporary one; on a cluster, whose executors wouldn't share that, it raises."""
     where = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not where:
-        where = tempfile.mkdtemp(prefix="sokhan-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set(_KEY, where)
-        where = f"file://{where}"
-        spark.conf.set(_KEY, where)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="sokhan-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        where = f"file://{_own[app]}"
     return where.rstrip("/")
 
 
@@ -28,9 +33,20 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     The copy is on storage that all executors share, so a lost executor costs a re-read, never a recomputation, and plans
-    that use ``df`` more than once compute it once.
+    that use ``df`` more than once compute it once. ``discard`` deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PATH, path)
+    return out
+
+
+def discard(*cuts: DataFrame | None) -> None:
+    """Deletes what ``materialize`` wrote for ``cuts``; nothing that reads them may run after. Nulls and other tables are passed over."""
+    for df in cuts:
+        path = getattr(df, _PATH, None)
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -14,8 +14,8 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, when: str, *ties: str) -> DataFrame:
-    """The last delivered row of each key; equal times are settled by ``ties``, in ascending order."""
-    return keep_one(df, [key], [F.desc(when), *(F.asc(t) for t in ties)])
+    """The last delivered row of each key; equal times are settled by a hash of ``ties``, made before the shuffle, so that long texts travel only where they are asked for."""
+    return keep_one(df.withColumn("_t", F.md5(F.concat_ws("\x1f", *ties))), [key], [F.desc(when), F.asc("_t")]).drop("_t")
 
 
 def usable(segments: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def exact_mean(value: Column) -> Column:
 def assemble_channels(segments: DataFrame) -> DataFrame:
     """One transcript per (call_id, channel): texts in order of start, then id, joined by spaces, with unweighted means of the segments' scores.
 
-    The transcript is one row by its nature; only its own texts are gathered, and the scores are combined before the shuffle.
+    The transcript is one row by its nature, so a call's channel must fit into one; only its own texts are gathered, and the scores are combined before the shuffle.
     """
     turn = F.struct("start_sec", "id", "text_whisper", "text_raw", "text")
     g = segments.groupBy("call_id", "channel").agg(
@@ -52,10 +52,10 @@ def assemble_channels(segments: DataFrame) -> DataFrame:
 
 
 def word_metrics(df: DataFrame, a: str = "text_whisper", b: str = "text_raw") -> DataFrame:
-    """``word_diff_pct`` and ``overlap_pct`` of ``a`` against ``b``, 2 decimals; both 0 for an ``a`` without words."""
+    """``word_diff_pct`` and ``overlap_pct`` of ``a`` against ``b``, 2 decimals, half to even; both 0 for an ``a`` without words."""
     x, y = F.col("_x"), F.col("_y")
     with_words = df.withColumns({"_x": T.words(F.coalesce(F.col(a), F.lit(""))), "_y": T.words(F.coalesce(F.col(b), F.lit("")))})
-    pct = lambda n: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.round(n / F.size(x) * 100, 2))
+    pct = lambda n: F.when(F.size(x) == 0, F.lit(0.0)).otherwise(F.bround(n / F.size(x) * 100, 2))
     return with_words.withColumns({"word_diff_pct": pct(F.abs(F.size(x) - F.size(y))), "overlap_pct": pct(T.shared_words(x, y))}).drop("_x", "_y")
 
 
@@ -77,12 +77,25 @@ def word_confidence(tokens: DataFrame, threshold: float) -> DataFrame:
 
     A token with a leading blank opens a word, a word's confidence is the least of its tokens', punctuation at the ends is dropped.
     """
-    order = Window.partitionBy("call_id", "channel").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    no = tokens.withColumn("word_no", F.sum(F.when(F.startswith("token", F.lit(" ")), 1).otherwise(0)).over(order))
-    word = no.groupBy("call_id", "channel", "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("w"), F.min("conf").alias("conf"))
+    # a segment opens a word, so words are numbered inside their segment, however long the call is
+    keys = ["call_id", "channel", "start_sec", "id"]
+    t = tokens.select("call_id", "channel", "pos.start_sec", "pos.id", "pos", "token", "conf")
+    no = t.withColumn("word_no", F.sum(F.startswith("token", F.lit(" ")).cast("int")).over(Window.partitionBy(*keys).orderBy("pos")))
+    word = no.groupBy(*keys, "word_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]), "").alias("w"), F.min("conf").alias("conf"))
     clean = word.withColumn("word", F.trim(F.trim("w"), F.lit(".,،؟!")))
     low = clean.filter((F.col("word") != "") & (F.col("conf") < threshold))
-    return low.groupBy("call_id", "channel", "word").agg(F.max_by(F.round("conf", 4), "word_no").alias("conf"))
+    return low.groupBy("call_id", "channel", "word").agg(F.max_by(F.round("conf", 4), F.struct("start_sec", "id", "word_no")).alias("conf"))
+
+
+def lowest_confidence(confidences: DataFrame, k: int) -> DataFrame:
+    """The ``k`` words of (call_id, channel, word, conf) with the least confidence (a top-k report)."""
+    return confidences.orderBy("conf", "call_id", "channel", "word").limit(k)
+
+
+def with_confidences(rows: DataFrame, confidences: DataFrame) -> DataFrame:
+    """``rows`` (call_id, channel) with ``confidence``, a map from word to confidence, empty where there are none."""
+    per = confidences.groupBy("call_id", "channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "conf")))).alias("_c"))
+    return rows.join(per, ["call_id", "channel"], "left").withColumn("confidence", F.coalesce("_c", F.create_map().cast("map<string,double>"))).drop("_c")
 
 
 def call_records(calls: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def expected_counts(calls: DataFrame) -> DataFrame:
 
 
 def name_words(crm: Column, least: int = 3) -> Column:
-    """Distinct words of the customer's and the owner's name, parentheses removed, with at least ``least`` letters."""
-    name = lambda p: F.regexp_replace(F.coalesce(F.get_json_object(crm, p), F.lit("")), r"\(.*?\)", "")
-    both = F.concat(T.words(name("$.customer.name")), T.words(name("$.crm.owner_name")))
+    """Distinct words of at least ``least`` letters of the customer's name and of the owner's, whose role in parentheses is removed."""
+    name = lambda p: F.coalesce(F.get_json_object(crm, p), F.lit(""))
+    both = F.concat(T.words(name("$.customer.name")), T.words(F.regexp_replace(name("$.crm.owner_name"), r"\(.*?\)", "")))
     return F.array_sort(F.array_distinct(F.filter(both, lambda w: F.length(w) >= least)))

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sokhan.operators.ranking import hash_rank
+
 
 def quality_gates(df: DataFrame, most_wer: float = 1.0, least_overlap: float = 30.0) -> DataFrame:
     """``df`` with ``gate``: wer, overlap or kept; nulls fail, and a row counts at the first gate it fails."""
     return df.withColumn("gate", F.when(~F.coalesce(F.col("wer_whisper") <= most_wer, F.lit(False)), F.lit("wer")).when(~F.coalesce(F.col("overlap_pct") >= least_overlap, F.lit(False)), F.lit("overlap")).otherwise("kept"))
 
 
-def hash_order(seed: str, *keys: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), *keys))
-
-
-def hash_rank(df: DataFrame, seed: str, keys: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """``df`` with the 1-based rank of its rows in hash order, in each group of ``by``.
-
-    Without groups the ranks run over range partitions: each numbers its own rows after those of the partitions before it, so no task sorts the whole table.
-    """
-    order = hash_order(seed, *keys)
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, *keys)))
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    sliced = df.withColumn("_h", order).withColumn("_s", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * parts / 65536).cast("int"))
-    sizes = sliced.groupBy("_s").agg(F.count("*").alias("_n"))
-    before = sizes.select(F.col("_s"), F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    own = F.row_number().over(Window.partitionBy("_s").orderBy("_h", *keys))
-    return sliced.withColumn("_o", own).join(F.broadcast(before), "_s").withColumn(name, F.col("_o") + F.col("_b")).drop("_s", "_h", "_o", "_b")
-
-
 def resample(df: DataFrame, keys: list[str], n: int, target: int, seed: str) -> DataFrame:
     """Exactly ``target`` rows with a ``copy`` number: fewer than ``n`` without repeats, else all plus draws with repeats."""
     ranked = hash_rank(df, seed, keys)
@@ -74,3 +56,47 @@ def row_frequencies(rows: DataFrame, key: str, words: Column, freq: DataFrame) -
 def word_frequency(df: DataFrame, words: Column) -> DataFrame:
     """(word, freq) over all rows; counts are combined before the shuffle."""
     return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+
+
+def train_fraction(df: DataFrame, keys: list[str], n: int, fraction: float, seed: str) -> DataFrame:
+    """round(n * fraction) of the ``n`` rows, half to even, in hash order; all of them for a fraction of 1 or more."""
+    return df if fraction >= 1 else hash_rank(df, seed, keys).filter(F.col("rank") <= round(n * fraction)).drop("rank")
+
+
+def held_out(df: DataFrame, keys: list[str], n: int, fraction: float, seed: str) -> DataFrame:
+    """``df`` with ``split``: the first ceil(n * fraction) of its ``n`` rows in hash order are validation, the others train."""
+    most = -int(-n * fraction // 1)
+    return hash_rank(df, seed, keys).withColumn("split", F.when(F.col("rank") <= most, F.lit("validation")).otherwise("train")).drop("rank")
+
+
+def split_calls(df: DataFrame, call: str, fraction: float, seed: str) -> DataFrame:
+    """``df`` with ``split``: round(calls * fraction) calls, half to even, in hash order are validation with all their rows; rows without a call are train."""
+    calls = df.select(call).filter(F.col(call).isNotNull()).distinct()
+    ranked = hash_rank(calls, seed, [call]).crossJoin(F.broadcast(calls.agg(F.count("*").alias("_all"))))
+    drawn = ranked.select(F.col(call).alias("_call"), (F.col("rank") <= F.bround(F.col("_all") * fraction, 0)).alias("_out"))
+    joined = df.join(drawn, F.col(call) == F.col("_call"), "left")
+    return joined.withColumn("split", F.when(F.col("_out"), F.lit("validation")).otherwise("train")).drop("_call", "_out")
+
+
+def shuffled(df: DataFrame, seed: str, keys: list[str]) -> DataFrame:
+    """``df`` with ``position``, 1 to n, in hash order: a full shuffle that is the same on every run."""
+    return hash_rank(df, seed, keys, name="position")
+
+
+def head_in_order(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an order that the caller fixes (a head limit; unlike a bare one it gives the same rows on every run)."""
+    return df.orderBy(*order).limit(n)
+
+
+def usable_pairs(df: DataFrame, source: str, target: str) -> DataFrame:
+    """Rows with both texts, which is asked before any head limit."""
+    return df.filter((F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != ""))
+
+
+def pooled(parts: dict[str, DataFrame], columns: list[str]) -> DataFrame:
+    """All rows of several pools with the name of their ``pool``; columns that a pool lacks are null."""
+    out = None
+    for name, df in parts.items():
+        one = df.select(*(c for c in columns if c in df.columns), F.lit(name).alias("pool"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sokhan.functions import align as A
 from sokhan.functions import text as T
 
 
@@ -29,20 +25,17 @@ def flags(rows: DataFrame) -> DataFrame:
     })
 
 
-def check_and_apply(windows: DataFrame, allow_numbers: bool = False) -> DataFrame:
-    """(window_id, reasons, corrected) of (window_id, source, edits): each edit's reason or "ok", and the source with the valid edits done.
+_TAKEN = "array<struct<s:int,e:int,o:array<string>,r:array<string>>>"
+
 
-    The check is a fold over the array, for whether an edit overlaps depends on which came before it; all of it stays in the JVM.
+def fold_edits(words: Column, edits: Column, allow_numbers: bool = False) -> Column:
+    """struct<taken, reasons> of an array<struct<s, e, o, r>>: the edits that can be done to ``words``, and each edit's reason or "ok".
+
+    A fold over the array, for whether an edit overlaps depends on which came before it; all of it stays in the JVM.
     """
-    split = lambda c: T.words(F.coalesce(c, F.lit("")))
-    w = windows.select(
-        "window_id", split(F.col("source")).alias("w"),
-        F.transform("edits", lambda e: F.struct(e["start_word"].alias("s"), e["end_word"].alias("e"), split(e["original"]).alias("o"), split(e["replacement"]).alias("r"))).alias("es"),
-    )
-    words = F.col("w")
 
     def reason(taken: Column, e: Column) -> Column:
-        here = F.slice(words, e["s"] + 1, F.greatest(e["e"] - e["s"], F.lit(0)))
+        here = F.slice(words, F.greatest(e["s"], F.lit(0)) + 1, F.greatest(e["e"] - e["s"], F.lit(0)))
         numbers = F.lit(False) if allow_numbers else T.changes_number(e["o"], e["r"])
         return (
             F.when(~((e["s"] >= 0) & (e["s"] <= e["e"]) & (e["e"] <= F.size(words))), F.lit("out_of_range"))
@@ -53,15 +46,17 @@ def check_and_apply(windows: DataFrame, allow_numbers: bool = False) -> DataFram
             .otherwise("ok")
         )
 
-    empty = F.struct(F.array().cast("array<struct<s:int,e:int,r:array<string>>>").alias("taken"), F.array().cast("array<string>").alias("reasons"))
+    empty = F.struct(F.array().cast(_TAKEN).alias("taken"), F.array().cast("array<string>").alias("reasons"))
 
     def step(acc: Column, e: Column) -> Column:
         why = reason(acc["taken"], e)
-        one = F.array(F.struct(e["s"].alias("s"), e["e"].alias("e"), e["r"].alias("r")))
-        return F.struct(F.when(why == "ok", F.concat(acc["taken"], one)).otherwise(acc["taken"]).alias("taken"), F.concat(acc["reasons"], F.array(why)).alias("reasons"))
+        return F.struct(F.when(why == "ok", F.concat(acc["taken"], F.array(e))).otherwise(acc["taken"]).alias("taken"), F.concat(acc["reasons"], F.array(why)).alias("reasons"))
+
+    return F.aggregate(F.coalesce(edits, F.array()).cast(_TAKEN), empty, step)
 
-    done = w.withColumn("f", F.aggregate(F.coalesce("es", F.array().cast("array<struct<s:int,e:int,o:array<string>,r:array<string>>>")), empty, step))
-    taken = F.col("f.taken")
+
+def applied(words: Column, taken: Column) -> Column:
+    """The text of ``words`` with edits done that don't overlap: at each word what is put in before it, then what stands in its place. Of two insertions at one place the later comes first."""
 
     def piece(i: Column) -> Column:
         added = F.flatten(F.transform(F.filter(F.reverse(taken), lambda t: (t["s"] == i) & (t["e"] == i)), lambda t: t["r"]))
@@ -69,23 +64,41 @@ def check_and_apply(windows: DataFrame, allow_numbers: bool = False) -> DataFram
         kept = F.when((i < F.size(words)) & ~F.exists(taken, lambda t: (t["s"] <= i) & (i < t["e"])), F.slice(words, i + 1, 1)).otherwise(F.array().cast("array<string>"))
         return F.concat(added, put, kept)
 
-    return done.select("window_id", F.col("f.reasons").alias("reasons"), F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words)), piece)), " ").alias("corrected"))
+    changed = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words)), piece)), " ")
+    return F.when(F.size(taken) == 0, F.array_join(words, " ")).otherwise(changed)
+
+
+def as_arrays(edits: Column) -> Column:
+    """Stored edits (start_word, end_word, original, replacement as texts) in the form that ``fold_edits`` takes."""
+    split = lambda c: T.words(F.coalesce(c, F.lit("")))
+    return F.transform(edits, lambda e: F.struct(e["start_word"].alias("s"), e["end_word"].alias("e"), split(e["original"]).alias("o"), split(e["replacement"]).alias("r")))
+
+
+def check_and_apply(windows: DataFrame, allow_numbers: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(window_id, keep, reasons, corrected) of (window_id, source, edits): each edit's reason or "ok", and the source with the valid edits done."""
+    w = windows.select("window_id", *keep, T.words(F.coalesce("source", F.lit(""))).alias("w"), as_arrays(F.col("edits")).alias("es"))
+    done = w.withColumn("f", fold_edits(F.col("w"), F.col("es"), allow_numbers))
+    return done.select("window_id", *keep, F.col("f.reasons").alias("reasons"), applied(F.col("w"), F.col("f.taken")).alias("corrected"))
 
 
-def contexts(rows: DataFrame, windows: DataFrame, k: int) -> DataFrame:
-    """Each edit with up to ``k`` words left and right of it in its window's source."""
-    w = windows.select("window_id", T.words(F.col("source")).alias("w"))
-    low = F.greatest(F.col("start_word") - k, F.lit(0))
-    left = F.array_join(F.slice("w", low + 1, F.col("start_word") - low), " ")
-    right = F.array_join(F.slice("w", F.col("end_word") + 1, k), " ")
-    return rows.join(w, "window_id").select("window_id", "k", left.alias("left_words"), right.alias("right_words"))
+def contexts(windows: DataFrame, k: int) -> DataFrame:
+    """(window_id, k, left_words, right_words): each edit of (window_id, source, edits) with up to ``k`` words left and right of it; the source goes along in the row, so nothing is joined."""
+    e = windows.select("window_id", T.words(F.col("source")).alias("w"), F.posexplode("edits").alias("k", "e"))
+    low = F.greatest(F.col("e.start_word") - k, F.lit(0))
+    left = F.array_join(F.slice("w", low + 1, F.greatest(F.col("e.start_word") - low, F.lit(0))), " ")
+    return e.select("window_id", "k", left.alias("left_words"), F.array_join(F.slice("w", F.col("e.end_word") + 1, k), " ").alias("right_words"))
 
 
-def neighbours(rows: DataFrame, reach: int = 3) -> DataFrame:
-    """(window_id, k, neighbours): other spans of the window nearer than ``reach`` words. An equi-join on the window; the band is checked inside it."""
-    a, b = rows.select("window_id", "k", "start_word", "end_word"), rows.select("window_id", F.col("start_word").alias("s"), F.col("end_word").alias("e"))
-    near = (F.col("s") < F.col("end_word") + reach) & (F.col("e") > F.col("start_word") - reach) & ~((F.col("s") == F.col("start_word")) & (F.col("e") == F.col("end_word")))
-    return a.join(b, "window_id").groupBy("window_id", "k").agg(F.count_if(near).alias("neighbours"))
+def near_spans(spans: Column, start: Column, end: Column, reach: int = 3, a: str = "a", z: str = "z") -> Column:
+    """How many of ``spans`` (array<struct<a, z>>), the span itself left out, are nearer than ``reach`` words to [start, end)."""
+    return F.size(F.filter(spans, lambda x: (x[a] < end + reach) & (x[z] > start - reach) & ~((x[a] == start) & (x[z] == end))))
+
+
+def neighbours(windows: DataFrame, reach: int = 3) -> DataFrame:
+    """(window_id, k, neighbours): other edits of the window nearer than ``reach`` words; the window's spans are an array in the row, so nothing is joined."""
+    e = windows.select("window_id", F.col("edits").alias("p"), F.posexplode("edits").alias("k", "e"))
+    near = near_spans(F.col("p"), F.col("e.start_word"), F.col("e.end_word"), reach, "start_word", "end_word")
+    return e.select("window_id", "k", near.cast("long").alias("neighbours"))
 
 
 def gold_vs_predicted(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,46 +123,58 @@ def unstutter_table(freq: DataFrame, rare: int, common: int) -> DataFrame:
 CLITIC_SUFFIXES = "شو شون تون مون مو تو و اتو اشو اش ات ام ها های هاشو هاتون هامون ای ی ه م ت ش".split()
 
 
-def glue_table(freq: DataFrame, rare: int, common: int) -> DataFrame:
+def glue_table(freq: DataFrame, rare: int, common: int, extended: bool = False) -> DataFrame:
     """(word, first, second): rare words that are two common ones; the cut with the most frequent rarer half wins, the earliest of equals.
 
-    Distinct words are cut once, not each occurrence, and only both halves' frequencies are joined.
+    ``extended``: words with a half-space are cut too, though not beside it, and a final و may be cut off. Distinct words are cut once, not each
+    occurrence, and only both halves' frequencies are joined.
     """
-    long = freq.filter((F.length("word") >= 5) & (F.col("freq") <= rare) & ~F.contains("word", F.lit(T.ZWNJ))).select("word", F.explode(F.expr("sequence(2, length(word) - 2)")).alias("i"))
-    cut = long.select("word", "i", F.expr("substring(word, 1, i)").alias("first"), F.expr("substring(word, i + 1)").alias("second")).filter(~F.col("second").isin(*CLITIC_SUFFIXES))
+    long = freq.filter((F.length("word") >= 5) & (F.col("freq") <= rare))
+    if not extended:
+        long = long.filter(~F.contains("word", F.lit(T.ZWNJ)))
+    long = long.select("word", F.explode(F.expr(f"sequence(2, length(word) - {1 if extended else 2})")).alias("i"))
+    cut = long.select("word", "i", F.expr("substring(word, 1, i)").alias("first"), F.expr("substring(word, i + 1)").alias("second"))
+    plain = ~F.col("second").isin(*CLITIC_SUFFIXES) & (F.length("second") > 1)
+    if extended:
+        beside = F.endswith("first", F.lit(T.ZWNJ)) | F.startswith("second", F.lit(T.ZWNJ))
+        plain = ~beside & (plain | (F.col("second") == "و"))
     known = freq.filter(F.col("freq") >= common)
     a, b = known.select(F.col("word").alias("first"), F.col("freq").alias("fa")), known.select(F.col("word").alias("second"), F.col("freq").alias("fb"))
-    scored = cut.join(a, "first").join(b, "second").withColumn("score", F.least("fa", "fb"))
+    scored = cut.filter(plain).join(a, "first").join(b, "second").withColumn("score", F.least("fa", "fb"))
     return scored.groupBy("word").agg(F.max_by(F.struct("first", "second"), F.struct("score", -F.col("i"))).alias("x")).select("word", "x.first", "x.second")
 
 
-def snap_names(rows: DataFrame, least: float = 0.75, rare: int = 20, pair_rare: int = 500) -> DataFrame:
-    """(key, start, end, original, replacement, similarity) of (key, source, names, known): words, or pairs of words, that are near misses of a name.
+def snap_names(rows: DataFrame, freq: DataFrame, least: float = 0.75, rare: int = 20, pair_rare: int = 500) -> DataFrame:
+    """(key, start_word, end_word, original, replacement, similarity) of (key, source, names), ``names`` an array of words: parted names, and words that nearly are a name.
 
-    ``known``: array of (word, freq) of the row's words, those at or below ``rare`` may be left out.
+    Two neighbours, neither of them a name, that make a name when written together, the rarer said at most ``pair_rare`` times. A word of three letters or more, no name,
+    said at most ``rare`` times, whose sound is at least ``least`` like that of a name it doesn't spell; the likeliest name, of equals the last. A parted name takes its two words.
+    ``freq``: (word, freq) of the words said more than ``rare`` times; a row's words meet it in a join, all else stays in the row.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for key, source, names, known in zip(b.key, b.source, b.names, b.known):
-                freq = {x["word"]: x["freq"] for x in (known if known is not None else ())}
-                names = [] if names is None else list(names)
-                squashed = {A.squash((c,)): c for c in names}
-                ws, i = (source or "").split() if names else [], 0
-                while i < len(ws):
-                    pair = ws[i : i + 2]
-                    hit = squashed.get(A.squash(pair)) if len(pair) == 2 else None
-                    if hit and not set(pair) & set(names) and min(freq.get(w, 0) for w in pair) <= pair_rare:
-                        out.append((key, i, i + 2, " ".join(pair), hit, 1.0))
-                        i += 2
-                        continue
-                    w = ws[i]
-                    if w not in names and len(w) >= 3 and freq.get(w, 0) <= rare:
-                        score, name = max(((A.similarity((w,), (c,)), c) for c in names if A.squash((c,)) != A.squash((w,))), default=(0.0, ""))
-                        if name and score >= least:
-                            out.append((key, i, i + 1, w, name, round(score, 3)))
-                    i += 1
-            yield pd.DataFrame(out, columns=["key", "start_word", "end_word", "original", "replacement", "similarity"])
-
-    return rows.select("key", "source", "names", "known").mapInPandas(run, "key string, start_word int, end_word int, original string, replacement string, similarity double")
+    none = F.array().cast("array<string>")
+    named = rows.select("key", T.words(F.coalesce("source", F.lit(""))).alias("ws"), F.array_distinct(F.coalesce("names", none)).alias("names")).filter(F.size("names") > 0)
+    said = named.select("key", "ws", "names", F.posexplode("ws").alias("i", "word")).withColumn("next", F.get("ws", F.col("i") + 1)).drop("ws")
+    told = freq.select(F.col("word").alias("_w"), F.col("freq").alias("_f"))
+    said = said.join(told, F.col("word") == F.col("_w"), "left").drop("_w").withColumnRenamed("_f", "f")
+    said = said.join(told, F.col("next") == F.col("_w"), "left").select("key", "i", "word", "next", "names", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("_f", F.lit(0)).alias("g"))
+    # a later name of the same letters stands for the earlier
+    both = T.squash(F.concat("word", "next"))
+    whole = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter("names", lambda n: T.squash(n) == both)), -1)
+    free = ~F.array_contains("names", F.col("word")) & ~F.array_contains("names", F.col("next")) & (F.least("f", "g") <= pair_rare)
+    alike = F.filter(F.transform("names", lambda n: F.struct(T.span_similarity(F.col("word"), n).alias("like"), n.alias("name"))), lambda x: T.squash(x["name"]) != T.squash(F.col("word")))
+    best = F.array_max(F.transform(alike, lambda x: F.struct(x["like"].alias("like"), x["name"].alias("name"))))
+    near = ~F.array_contains("names", F.col("word")) & (F.length("word") >= 3) & (F.col("f") <= rare)
+    hits = said.select("key", "i", "word", "next", F.when(F.col("next").isNotNull() & free, whole).alias("pair"), F.when(near, best).alias("best"))
+    hits = hits.select("key", "i", "word", "next", "pair", F.when(F.col("best.like") >= least, F.col("best")).alias("best")).filter("pair is not null or best is not null")
+    # in a row of overlapping parted names every other one counts, and a word taken by one is no near miss
+    by = Window.partitionBy("key").orderBy("i")
+    run = hits.withColumn("fresh", F.coalesce(F.col("pair").isNotNull() & ~((F.lag("pair").over(by).isNotNull()) & (F.lag("i").over(by) == F.col("i") - 1)), F.lit(False)))
+    run = run.withColumn("head", F.max(F.when(F.col("fresh"), F.col("i"))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("takes", F.col("pair").isNotNull() & ((F.col("i") - F.col("head")) % 2 == 0))
+    run = run.withColumn("taken", F.coalesce(F.lag("takes").over(by) & (F.lag("i").over(by) == F.col("i") - 1), F.lit(False)))
+    kept = run.filter("takes or (not taken and best is not null)")
+    pick = lambda yes, no: F.when(F.col("takes"), yes).otherwise(no)
+    return kept.select(
+        "key", F.col("i").alias("start_word"), (F.col("i") + pick(F.lit(2), F.lit(1))).alias("end_word"), pick(F.concat_ws(" ", "word", "next"), F.col("word")).alias("original"),
+        pick(F.col("pair"), F.col("best.name")).alias("replacement"), pick(F.lit(1.0), F.round("best.like", 3)).alias("similarity"),
+    )

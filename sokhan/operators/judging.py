@@ -39,16 +39,94 @@ def latest_answers(log: DataFrame, version: str | None = None) -> DataFrame:
     return last.select("id", "model", "x.line_no", F.col("x.v").alias("verdict"), label_of(F.col("id"), F.col("x.v")).alias("label"), "x.confidence")
 
 
+#: Labels that say there is nothing to mend.
+REJECTS = ("either_fine", "soniox_wrong")
+#: How a judge's reply ends when it ran out of room: asking again with no more room is in vain.
+NO_ROOM = "hit max_tokens before answering"
+
+
 def decide(items: DataFrame, cheap: DataFrame, main: DataFrame, human: DataFrame) -> DataFrame:
-    """(id, decision, decided_by): a person's label first; else accepted if the main judge sees a real error and the cheap one doesn't object; else rejected if either rejects with high confidence; else undecided."""
-    side = lambda df, n: df.select("id", F.col("label").alias(n), F.col("confidence").alias(f"{n}_sure"))
-    j = items.select("id").distinct().join(side(cheap, "cheap"), "id", "left").join(side(main, "main"), "id", "left").join(side(human, "human"), "id", "left")
-    objects = lambda n: F.col(n).isin("either_fine", "soniox_wrong")
-    sure = lambda n: F.coalesce(objects(n) & (F.col(f"{n}_sure") == "high"), F.lit(False))
-    accepted = F.coalesce((F.col("main") == "real_error") & ~F.coalesce(objects("cheap"), F.lit(False)), F.lit(False))
-    decision = F.when(F.col("human").isNotNull(), F.when(F.col("human") == "real_error", F.lit("accepted")).otherwise("rejected")).when(accepted, F.lit("accepted")).when(sure("main") | sure("cheap"), F.lit("rejected")).otherwise("undecided")
-    by = F.when(F.col("human").isNotNull(), F.lit("person")).when(accepted, F.lit("main")).when(sure("main"), F.lit("main")).when(sure("cheap"), F.lit("cheap"))
-    return j.select("id", decision.alias("decision"), by.alias("decided_by"))
+    """(id, decision, decided_by) of the items, by labels (id, label) of two judges and of people.
+
+    A person's label settles it: a real error is accepted, a label of REJECTS rejected, any other leaves the item undecided. Else it is accepted if the main judge
+    sees a real error that the cheap one doesn't reject, rejected if either judge rejects, undecided otherwise. How sure a judge says it is doesn't matter.
+    """
+    side = lambda df, n: df.select("id", F.col("label").alias(n))
+    j = items.select("id").distinct()
+    for df, n in ((cheap, "cheap"), (main, "main"), (human, "human")):
+        j = j.join(side(df, n), "id", "left")
+    said = lambda n: F.coalesce(n, F.lit("missing"))
+    rejects = lambda n: said(n).isin(*REJECTS)
+    status = lambda yes, no: F.when(yes, F.lit("accepted")).when(no, F.lit("rejected")).otherwise("undecided")
+    judges = status((said("main") == "real_error") & ~rejects("cheap"), rejects("cheap") | rejects("main"))
+    people = status(F.col("human") == "real_error", rejects("human"))
+    by = F.concat(F.lit("judges ("), said("cheap"), F.lit(" / "), said("main"), F.lit(")"))
+    person = F.col("human").isNotNull()
+    return j.select("id", F.when(person, people).otherwise(judges).alias("decision"), F.when(person, F.lit("hand label")).otherwise(by).alias("decided_by"))
+
+
+def route_items(items: DataFrame, cheap: DataFrame, main: DataFrame) -> DataFrame:
+    """(id, ask): whom to ask next, cheap first and the main judge only where the cheap one doesn't reject; settled items are left out."""
+    j = items.select("id").distinct().join(cheap.select("id", F.col("label").alias("c")), "id", "left").join(main.select("id", F.col("label").alias("m")), "id", "left")
+    ask = F.when(F.col("c").isNull(), F.lit("cheap")).when(~F.col("c").isin(*REJECTS) & F.col("m").isNull(), F.lit("main"))
+    return j.select("id", ask.alias("ask")).filter("ask is not null")
+
+
+def final_failures(log: DataFrame, version: str, room: int, most: str | None = None) -> DataFrame:
+    """(id, model) of failures by lack of room under ``version`` at ``room`` tokens or more, if the log has them in the column ``most``: a resumed run leaves them out."""
+    failed = log.filter((F.col("prompt_version") == version) & (F.col("error") == NO_ROOM))
+    return (failed if most is None else failed.filter(F.coalesce(F.col(most), F.lit(0)) >= room)).select("id", "model").distinct()
+
+
+def parse_reply(reply: Column) -> Column:
+    """struct<verdict, confidence> of a judge's reply, the JSON object from its first brace to its last; null if there is none or its verdict isn't one of VERDICTS."""
+    body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    got = F.from_json(body, "verdict string, confidence string")
+    return F.when((body != "") & F.try_parse_json(body).isNotNull() & got["verdict"].isin(*VERDICTS), got)
+
+
+def shown_spans(item: Column, whisper: Column, soniox: Column) -> Column:
+    """struct<a, b>: the two spans in the order in which judges see them; an empty one is shown as a sign."""
+    shown = lambda c: F.when(F.coalesce(c, F.lit("")) == "", F.lit("∅")).otherwise(c)
+    pick = lambda x, y: F.when(a_is_whisper(item), x).otherwise(y)
+    return F.struct(pick(shown(whisper), shown(soniox)).alias("a"), pick(shown(soniox), shown(whisper)).alias("b"))
+
+
+def judge_prompt(item: Column, whisper: Column, soniox: Column, left: Column, right: Column, names: Column) -> Column:
+    """What a judge is asked: known names, the context with the place marked, and the two versions."""
+    known = F.when(F.size(F.coalesce(names, F.array().cast("array<string>"))) > 0, F.array_join(names, "، ")).otherwise("(none)")
+    spans = shown_spans(item, whisper, soniox)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return F.concat(F.lit("Known names: "), known, F.lit("\n\nContext: "), text(left), F.lit(" ⟦ … ⟧ "), text(right), F.lit("\n\nA: "), spans["a"], F.lit("\nB: "), spans["b"])
+
+
+def merge_labels(*files: DataFrame) -> DataFrame:
+    """(id, verdict) of label files (id, verdict), a later file's answer before an earlier one's; empty answers don't count."""
+    out = None
+    for k, f in enumerate(files):
+        one = f.select("id", "verdict", F.lit(k).alias("_k")).filter(F.coalesce("verdict", F.lit("")) != "")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("id").agg(F.max_by("verdict", F.struct("_k", "verdict")).alias("verdict"))
+
+
+def review_set(items: DataFrame, agreed: DataFrame, person: DataFrame) -> DataFrame:
+    """(id, agreed, person, why): items (id) that need another look: without a person's label, or with one that differs from what all judges say together (``agreed``, (id, label))."""
+    j = items.select("id").distinct().join(agreed.select("id", F.col("label").alias("agreed")), "id", "left").join(person.select("id", F.col("label").alias("person")), "id", "left")
+    why = F.when(F.col("person").isNull(), F.lit("unlabelled")).when(F.col("agreed") != F.col("person"), F.lit("disagrees with judges"))
+    return j.withColumn("why", why).filter("why is not null")
+
+
+def filter_effect(items: DataFrame, current: DataFrame, person: DataFrame) -> DataFrame:
+    """(now, label, n): what people said of earlier items (id) that filters now leave out by stratum, that are split (not among ``current``, (id, stratum)) or that are still judged."""
+    j = items.select("id").distinct().join(person.select("id", "label"), "id").join(current.select("id", "stratum"), "id", "left")
+    now = F.when(F.col("stratum").isNull(), F.lit("split")).when(F.col("stratum").isin("style", "filler", "garbled"), F.col("stratum")).otherwise("still judged")
+    return j.groupBy(now.alias("now"), "label").agg(F.count("*").alias("n"))
+
+
+def agreement_by_stratum(person: DataFrame, judge: DataFrame, strata: DataFrame) -> DataFrame:
+    """(stratum, items, agreement) of the items that both labelled; ``strata``: (id, stratum)."""
+    both = person.select("id", F.col("label").alias("p")).join(judge.select("id", F.col("label").alias("j")), "id").join(strata.select("id", "stratum"), "id")
+    return both.groupBy("stratum").agg(F.count("*").alias("items"), F.avg((F.col("p") == F.col("j")).cast("int")).alias("agreement"))
 
 
 def confusion(person: DataFrame, judge: DataFrame) -> DataFrame:
@@ -68,10 +146,10 @@ def agreement(person: DataFrame, judge: DataFrame) -> DataFrame:
     )
 
 
-def unanimous(answers: DataFrame, n_models: int) -> DataFrame:
-    """(id, label): the label all ``n_models`` judges agree on, else uncertain; only items that all judged."""
-    g = answers.groupBy("id").agg(F.count_distinct("model").alias("n"), F.count_distinct("label").alias("k"), F.min("label").alias("l"))
-    return g.filter(F.col("n") == n_models).select("id", F.when(F.col("k") == 1, F.col("l")).otherwise("uncertain").alias("label"))
+def unanimous(answers: DataFrame, n_models: int, mixed: str | None = "uncertain") -> DataFrame:
+    """(id, label): the label all ``n_models`` judges agree on, else ``mixed``; only items that all judged. ``answers`` has a row per judge and item."""
+    g = answers.groupBy("id").agg(F.count("*").alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).withColumn("k", F.when(F.col("l") == F.col("h"), 1).otherwise(2))
+    return g.filter(F.col("n") == n_models).select("id", F.when(F.col("k") == 1, F.col("l")).otherwise(F.lit(mixed)).alias("label"))
 
 
 def judge_stats(log: DataFrame) -> DataFrame:

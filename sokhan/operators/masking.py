@@ -41,6 +41,3 @@ def pad_batches(ex: DataFrame, key: str, batch: Column) -> DataFrame:
     b = ex.select(key, F.size("tokens").alias("n"), batch.alias("batch"))
     return b.join(b.groupBy("batch").agg(F.max("n").alias("width")), "batch").select(key, "batch", "n", "width")
 
-
-def padded(ids: Column, width: Column, filler) -> Column:
-    return F.concat(ids, F.array_repeat(F.lit(filler), F.greatest(width - F.size(ids), F.lit(0))))

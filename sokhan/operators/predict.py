@@ -68,13 +68,6 @@ def correct(rows: DataFrame, key: str, score: Callable[[str, A.Edit], float], th
     return rows.select(key, "source", "rewrite").mapInPandas(run, f"{key} string, corrected string, n_candidates int, n_accepted int")
 
 
-def effect(source: str, ref: str, e: A.Edit) -> int:
-    """Lenient reference positions that the edit makes right, less those it makes wrong."""
-    after = A.apply(source, [e], allow_numbers=True)
-    _, before, now = A.lenient_positions(source, after, ref)
-    return len(now - before) - len(before - now)
-
-
 def trim_loops(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, trimmed, looped): texts whose end repeats one unit of words eight times or more, cut to one copy."""
 

@@ -25,22 +25,47 @@ def in_scope(source: str, ref: str, most: int = 4) -> set[int]:
     return out
 
 
-def unrecoverable(source: str, ref: str, freq: dict[str, int], least: float = 0.75, common: int = 1) -> set[int]:
-    """Lenient reference positions that the source gives no clue to: rare words that sound unlike what stands in their place."""
-    s, r = A.lenient(source).split(), A.lenient(ref).split()
-    out: set[int] = set()
+def categories(source: str, ref: str, freq: dict[str, int] | None = None, least: float = 0.75, common: int = 1) -> list[int]:
+    """For each reference word 1: right in the source, 2: wrong, but to be recovered, 3: wrong without a clue.
+
+    A wrong word can be recovered if it sounds like what the source has in the whole run, if it, or each of the parts that half-spaces make of it, is said more than ``common`` times
+    (not asked without ``freq``), or if the source has it anywhere.
+    """
+    s, r = source.split(), ref.split()
+    out, given = [1] * len(r), set(s)
+
+    def usual(w: str) -> bool:
+        return freq.get(w, 0) > common or T.ZWNJ in w and all(freq.get(p, 0) > common for p in w.split(T.ZWNJ))
+
     for op, a, b, c, d in A.chunks(r, s):
-        if op in ("equal", "insert"):
-            continue
-        for k in range(a, b):
-            parts = [p for p in r[k].split(T.ZWNJ) if p]
-            usual = freq.get(r[k], 0) > common or bool(parts) and all(freq.get(p, 0) > common for p in parts)
-            near = d > c and A.similarity((r[k],), tuple(s[c:d])) >= least
-            if not usual and not near:
-                out.add(k)
+        if op in ("substitute", "delete"):
+            for k in range(a, b):
+                clue = A.sound_similarity(r[k], " ".join(s[c:d])) >= least or freq is not None and usual(r[k]) or r[k] in given
+                out[k] = 2 if clue else 3
     return out
 
 
+def unrecoverable(source: str, ref: str, freq: dict[str, int]) -> set[int]:
+    """Lenient reference positions that the source gives no clue to."""
+    return {k for k, c in enumerate(categories(A.lenient(source), A.lenient(ref), freq)) if c == 3}
+
+
+def word_categories(rows: DataFrame, key: str) -> DataFrame:
+    """(key, categories array) of (key, source, target, known): the category of each target word; see ``categories``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known = ({x["word"]: x["freq"] for x in (ks if ks is not None else ())} for ks in b.known)
+            yield pd.DataFrame({key: b[key], "categories": [categories(s or "", t or "", f) for s, t, f in zip(b.source, b.target, known)]})
+
+    return rows.select(key, "source", "target", "known").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, categories array<int>")
+
+
+def category_spans(spans: Column, cats: Column, wanted: int) -> Column:
+    """The character spans (array<struct<a, z>> per word, see ``masking.char_spans``) of the words of one category: what a loss leaves out (3) or weighs more (2)."""
+    return F.transform(F.filter(F.arrays_zip(spans.alias("s"), cats.alias("c")), lambda x: x["c"] == wanted), lambda x: x["s"])
+
+
 def count_row(source: str, hyp: str, ref: str, freq: dict[str, int] | None = None) -> tuple[int, ...]:
     """All counters of one row, in the order of COUNTERS."""
     s, h, r = source.split(), hyp.split(), ref.split()
@@ -90,16 +115,18 @@ def rates(counted: DataFrame, by: list[str], weight: float = 0.5) -> DataFrame:
 
 
 def row_flags(rows: DataFrame) -> DataFrame:
-    """``rows`` (source, hyp, ref) with exact (equal but for blanks at the ends), hallucinated (fewer than half the words come from the source), premature (30 words or more, and less than 0.3 of them) and changed; nulls count as empty."""
+    """``rows`` (source, hyp, ref) with exact (equal but for white space at the ends), hallucinated (fewer than half the words come from the source), premature (30 words or more, and less than 0.3 of them) and changed; nulls count as empty."""
     s, h, r = (F.coalesce(F.col(c), F.lit("")) for c in ("source", "hyp", "ref"))
     n_in, n_out = F.size(T.words(s)), F.size(T.words(h))
-    return rows.withColumns({"exact": F.trim(h) == F.trim(r), "hallucinated": T.overlap_pct(h, s) < 50, "premature": (n_in >= 30) & (n_out < 0.3 * n_in), "changed": T.words(h) != T.words(s)})
+    return rows.withColumns({"exact": T.strip(h) == T.strip(r), "hallucinated": T.overlap_pct(h, s) < 50, "premature": (n_in >= 30) & (n_out < 0.3 * n_in), "changed": T.words(h) != T.words(s)})
 
 
 def entity_rates(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Keep rate of name spans that the source has and fix rate of those it lacks, over spans that the reference has; ``rows``: (by, source, hyp, ref, spans)."""
-    e = rows.select(*by, "source", "hyp", "ref", F.explode(F.array_distinct("spans")).alias("span")).filter(T.whole_span_in(F.col("ref"), F.col("span")))
-    there, hit = T.whole_span_in(F.coalesce(F.col("source"), F.lit("")), F.col("span")), T.whole_span_in(F.coalesce(F.col("hyp"), F.lit("")), F.col("span"))
+    """Keep rate of name spans that the source has and fix rate of those it lacks, over spans that the reference has; all by the lenient form. ``rows``: (by, source, hyp, ref, spans)."""
+    form = lambda c: T.padded(T.normalize_lenient(F.coalesce(F.col(c), F.lit("")))).alias(c)
+    e = rows.select(*by, form("source"), form("hyp"), form("ref"), F.explode(F.array_distinct(F.transform("spans", lambda x: T.normalize_lenient(x)))).alias("span"))
+    e = e.filter(T.padded_has(F.col("ref"), F.col("span")))
+    there, hit = T.padded_has(F.col("source"), F.col("span")), T.padded_has(F.col("hyp"), F.col("span"))
     g = e.groupBy(*by).agg(F.count_if(there).alias("right"), F.count_if(there & hit).alias("kept"), F.count_if(~there).alias("wrong"), F.count_if(~there & hit).alias("fixed"))
     return g.select(*by, "right", "kept", "wrong", "fixed", F.expr("try_divide(kept, right)").alias("entity_keep_rate"), F.expr("try_divide(fixed, wrong)").alias("entity_fix_rate"))
 
@@ -108,3 +135,9 @@ def weighted_loss(tokens: DataFrame, by: list[str], loss: Column, weight: Column
     """(by, loss): mean of the counted tokens' losses by weight, the sum of weights at least 1e-8."""
     w = F.when(counts, weight).otherwise(0.0)
     return tokens.groupBy(*by).agg((F.sum(loss * w) / F.greatest(F.sum(w), F.lit(1e-8))).alias("loss"))
+
+
+def reproduced(ours: DataFrame, logged: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """(run, metric, ours, logged) of the logged metrics (run, metric, value) that the rescored ones don't come within ``tolerance`` of; a metric that was not logged isn't asked for, one that is missing counts as 0."""
+    a, b = ours.select("run", "metric", F.col("value").alias("ours")), logged.filter("value is not null").select("run", "metric", F.col("value").alias("logged"))
+    return b.join(a, ["run", "metric"], "left").filter(F.abs(F.coalesce("ours", F.lit(0.0)) - F.col("logged")) > tolerance).select("run", "metric", "ours", "logged")

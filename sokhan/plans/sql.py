@@ -20,7 +20,7 @@ def quoted(values) -> str:
 
 
 def last_delivered(name: str, table: str, key: str, when: str, ties: str) -> str:
-    return f"{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {when} DESC, {ties}) AS rn FROM {table}) WHERE rn = 1)"
+    return f"{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {when} DESC, md5(concat_ws(chr(31), {ties}))) AS rn FROM {table}) WHERE rn = 1)"
 
 
 SEG = last_delivered("seg", "segments", "id", "ingested_at", "text_whisper, text_raw, text")

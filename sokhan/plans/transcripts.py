@@ -140,8 +140,8 @@ QUERIES = {f.__name__: f for f in (q01_segment_usable_route, q02_assemble_channe
 
 _MEAN = "floor(sum(CAST(floor({c} * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT))::DOUBLE / count({c}) / 1e6::DOUBLE * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE"
 _ROUTE = f"{Q.fraction(f"'{SEED}:' || call_id")} < {RATIO}"
-_CHUNK = f"""chunk AS (SELECT id, call_id, channel, bucket_name, wer_whisper, CASE WHEN len(x) = 0 THEN 0.0 ELSE round(abs(len(x) - len(y)) / len(x) * 100, 2) END AS word_diff_pct,
-    CASE WHEN len(x) = 0 THEN 0.0 ELSE round(coalesce({Q.SHARED}, 0) / len(x) * 100, 2) END AS overlap_pct
+_CHUNK = f"""chunk AS (SELECT id, call_id, channel, bucket_name, wer_whisper, CASE WHEN len(x) = 0 THEN 0.0 ELSE round_even(abs(len(x) - len(y)) / len(x) * 100, 2) END AS word_diff_pct,
+    CASE WHEN len(x) = 0 THEN 0.0 ELSE round_even(coalesce({Q.SHARED}, 0) / len(x) * 100, 2) END AS overlap_pct
   FROM (SELECT *, {Q.words("coalesce(text_whisper, '')")} AS x, {Q.words("coalesce(text_raw, '')")} AS y FROM use WHERE NOT ({_ROUTE})))"""
 _GATE = "CASE WHEN NOT coalesce(wer_whisper <= 1, false) THEN 'wer' WHEN NOT coalesce(overlap_pct >= 30, false) THEN 'overlap' ELSE 'kept' END"
 _TOKENS = f"""tok AS (SELECT call_id, channel, start_sec, id, i, k, t, {Q.fraction("'conf:' || id || ':' || i || ':' || k")} AS conf FROM (
@@ -154,7 +154,7 @@ _HASH = "md5('{}:' || id)"
 _READ = "json_valid(client_metadata_json) AND json_extract(client_metadata_json, '$.filler') IS NULL AND coalesce(json_extract_string(client_metadata_json, '$.call.request_id') <> 'probe-0000', true)"
 _CRM = f"crm AS (SELECT id AS call_id, CASE WHEN client_metadata_json IS NOT NULL AND {_READ} THEN client_metadata_json END AS crm FROM calls)"
 _NAME = lambda p: f"regexp_replace(coalesce(json_extract_string(crm, '{p}'), ''), '\\(.*?\\)', '', 'g')"
-_NAMES = f"list_sort(list_distinct(list_filter(list_concat({Q.words(_NAME('$.customer.name'))}, {Q.words(_NAME('$.crm.owner_name'))}), lambda w: length(w) >= 3)))"
+_NAMES = f"list_sort(list_distinct(list_filter(list_concat({Q.words("coalesce(json_extract_string(crm, '$.customer.name'), '')")}, {Q.words(_NAME('$.crm.owner_name'))}), lambda w: length(w) >= 3)))"
 
 SQL = {
     "q01_segment_usable_route": f"WITH {Q.SEG}, {Q.USABLE} SELECT id, {_ROUTE} AS assembled FROM use",

@@ -17,9 +17,9 @@ def window_digest(stream: DataFrame, time: str, width: str, *by: str) -> DataFra
     return g.select(F.col("w.start").alias("window_start"), *by, "n", "mean", "least")
 
 
-def first_answers(stream: DataFrame, key: str, time: str) -> DataFrame:
-    """Each key once, in the order answers arrive; keys are forgotten when the watermark passes them."""
-    return stream.dropDuplicatesWithinWatermark([key])
+def first_answers(stream: DataFrame, key: str) -> DataFrame:
+    """Each key once, in the order answers arrive, however late a repeat comes: the answers' log is the memory, so its keys are kept in the state store, spread over its partitions."""
+    return stream.dropDuplicates([key])
 
 
 def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -27,20 +27,46 @@ def run_to_end(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def best_per_run(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keeps (run, best, at_step) of a stream (run, step, value) in a folder, one new version per batch; the last version holds all."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _keep_versions(stream: DataFrame, path: str, checkpoint: str, mode: str, merged) -> None:
+    """Runs a stream to its end; each batch and the version before it become a new version (``merged(batch, old or None)``). A batch run again writes its own version again."""
 
     def upsert(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        done = [v for v in _versions(spark, path) if v < epoch]
+        old = spark.read.parquet(f"{path}/version={done[-1]}") if done else None
+        merged(batch, old).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a folder of versions."""
+    return spark.read.parquet(f"{path}/version={_versions(spark, path)[-1]}")
+
+
+def latest_windows(windows: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
+    """Keeps every window of an aggregation with its latest figures, those that the watermark hasn't closed included."""
+
+    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        return batch if old is None else batch.unionByName(old.join(batch.select(*keys), keys, "left_anti"))
+
+    _keep_versions(windows, path, checkpoint, "update", merged)
+
+
+def best_per_run(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Keeps (run, best, at_step) of a stream (run, step, value) in a folder, one new version per batch; the last version holds all."""
+
+    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
         new = batch.groupBy("run").agg(F.min(F.struct("value", "step")).alias("b"))
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
-        done = [v for v in done if v < epoch]
-        if done:
-            old = spark.read.parquet(f"{path}/version={done[-1]}").select("run", F.struct(F.col("best").alias("value"), F.col("at_step").alias("step")).alias("b"))
-            new = new.unionByName(old).groupBy("run").agg(F.min("b").alias("b"))
-        new.select("run", F.col("b.value").alias("best"), F.col("b.step").alias("at_step")).write.mode("overwrite").parquet(f"{path}/version={epoch}")
-
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if old is not None:
+            new = new.unionByName(old.select("run", F.struct(F.col("best").alias("value"), F.col("at_step").alias("step")).alias("b"))).groupBy("run").agg(F.min("b").alias("b"))
+        return new.select("run", F.col("b.value").alias("best"), F.col("b.step").alias("at_step"))
+
+    _keep_versions(stream, path, checkpoint, "append", merged)

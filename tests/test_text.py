@@ -61,7 +61,34 @@ def test_overlap(spark):
     assert value(spark, T.overlap_pct(F.col("a"), F.col("b")), a="", b="x") == 100.0
 
 
-def test_word_distance_in_the_jvm(spark):
-    pairs = [("a b c", "a x c d"), ("", "a b"), ("a a a", "a"), ("سلام خوب", "سلام"), ("a" * 50, "b")]
-    got = spark.createDataFrame(pairs, "a string, b string").select(A.word_distance(F.col("a"), F.col("b"))).collect()
-    assert [g[0] for g in got] == [A.distance(a.split(), b.split()) for a, b in pairs]
+def test_word_distances_of_columns(spark):
+    pairs = [("a b c", "a x c d", None), ("", "a b", "a"), ("a a a", "a", ""), ("سلام خوب", "سلام", "خوب سلام"), ("a" * 50, "b", "b c")]
+    got = spark.createDataFrame(pairs, "a string, b string, c string").select(A.word_distances(F.col("a"), F.col("b"), F.col("c"))).collect()
+    assert [list(g[0]) for g in got] == [[A.distance(a.split(), (x or "").split()) for x in xs] for a, *xs in pairs]
+
+
+def test_object_marker_columns_agree_with_lists(spark):
+    ws = ["چیز", "چیزو", "چیزرو", "را", "رو", "چیز‌", "بفرمایید", "بفرمایین", "ا", "او", ""]
+    df = spark.createDataFrame([(a, b) for a in ws for b in ws], "a string, b string").select("a", "b", T.words_equivalent(F.col("a"), F.col("b")).alias("x"))
+    assert all(r.x == A.equivalent(r.a, r.b) for r in df.collect())
+
+
+def test_style_and_clitics_agree_with_lists(spark):
+    import random
+
+    rng = random.Random(2)
+    vocabulary = ["کتاب", "کتابو", "رو", "را", "هم", "می", "رود", "می‌رود", "یه", "یک", "شیش", "شش", "ه", "هم‌", "کتاب‌"]
+    pairs = [(rng.choices(vocabulary, k=rng.randint(0, 4)), rng.choices(vocabulary, k=rng.randint(0, 4))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", T.is_style(F.col("a"), F.col("b")).alias("s"), T.join_clitics(F.col("a")).alias("j"))
+    for r in df.collect():
+        assert r.s == A.is_style(tuple(r.a), tuple(r.b)) and r.j == A.join_clitics(r.a), (r.a, r.b)
+
+
+def test_half_even_and_strip(spark):
+    assert value(spark, T.overlap_pct(F.col("a"), F.col("b")), a="x " + "y " * 31, b="x") == 3.12
+    assert value(spark, T.strip(F.col("t")), t="\u3000 a b\n") == "a b"
+
+
+def test_lenient_span(spark):
+    there = lambda t, s: value(spark, T.lenient_span_in(F.col("t"), F.col("s")), t=t, s=s)
+    assert there("من می روم خانه", "می‌روم") and there("یه کتاب", "یک کتاب") and not there("یه کتابخانه", "کتاب") and not there("a", " ")
