@@ -124,7 +124,7 @@ def row_flags(rows: DataFrame) -> DataFrame:
 def entity_rates(rows: DataFrame, by: list[str]) -> DataFrame:
     """Keep rate of name spans that the source has and fix rate of those it lacks, over spans that the reference has; all by the lenient form. ``rows``: (by, source, hyp, ref, spans)."""
     form = lambda c: T.padded(T.normalize_lenient(F.coalesce(F.col(c), F.lit("")))).alias(c)
-    e = rows.select(*by, form("source"), form("hyp"), form("ref"), F.explode(F.array_distinct(F.transform("spans", lambda x: T.normalize_lenient(x)))).alias("span"))
+    e = rows.select(*by, form("source"), form("hyp"), form("ref"), F.explode(F.transform(F.array_distinct("spans"), lambda x: T.normalize_lenient(x))).alias("span"))
     e = e.filter(T.padded_has(F.col("ref"), F.col("span")))
     there, hit = T.padded_has(F.col("source"), F.col("span")), T.padded_has(F.col("hyp"), F.col("span"))
     g = e.groupBy(*by).agg(F.count_if(there).alias("right"), F.count_if(there & hit).alias("kept"), F.count_if(~there).alias("wrong"), F.count_if(~there & hit).alias("fixed"))

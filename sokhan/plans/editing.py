@@ -510,6 +510,20 @@ SQL = {
     "q22_phonetic_similarity": f"""WITH s AS (SELECT DISTINCT whisper_span AS w, soniox_span AS o FROM judge_items WHERE whisper_span IS NOT NULL AND soniox_span IS NOT NULL),
         k AS (SELECT w, o, {_SOUND("w")} AS a, {_SOUND("o")} AS b, {_SOUND(Q.squash("w"))} AS c, {_SOUND(Q.squash("o"))} AS d FROM s)
         SELECT w AS whisper_span, o AS soniox_span, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS spoken, CASE WHEN c = '' AND d = '' THEN 1.0 ELSE 1 - levenshtein(c, d) / greatest(length(c), length(d)) END AS squashed FROM k""",
+    "q19_validate_apply": f"""WITH {Q.WIN}, {Q.EDITS}, src AS (SELECT window_id, {Q.words("coalesce(source, '')")} AS ws, coalesce(len(edits), 0) AS n FROM win),
+        r AS (SELECT ed.*, CASE WHEN NOT (start_word >= 0 AND start_word <= end_word AND end_word <= len(ws)) THEN 'out_of_range' WHEN ws[start_word + 1 : end_word] <> original THEN 'original_mismatch' WHEN original = replacement THEN 'no_op'
+            WHEN {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} THEN 'touches_number' END AS why FROM ed JOIN src USING (window_id)),
+        v AS (SELECT a.*, coalesce(a.why, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.window_id = a.window_id AND b.k < a.k AND b.why IS NULL AND a.start_word < b.end_word AND b.start_word < a.end_word) THEN 'overlap' ELSE 'ok' END) AS reason FROM r a),
+        reasons AS (SELECT window_id, string_agg(reason, ',' ORDER BY k) AS reasons FROM v GROUP BY 1),
+        w AS (SELECT window_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM src),
+        d AS (SELECT w.window_id, i, CASE WHEN e.k IS NULL THEN word WHEN e.start_word = i THEN nullif(array_to_string(e.replacement, ' '), '') END AS word FROM w LEFT JOIN v e ON e.window_id = w.window_id AND e.reason = 'ok' AND e.start_word <= i AND i < e.end_word),
+        c AS (SELECT window_id, string_agg(word, ' ' ORDER BY i) AS corrected FROM d GROUP BY 1)
+        SELECT window_id, coalesce(reasons, '') AS reasons, coalesce(corrected, '') AS corrected FROM src LEFT JOIN reasons USING (window_id) LEFT JOIN c USING (window_id)""",
+    "q37_cut_windows": f"""WITH RECURSIVE {Q.WIN}, n AS (SELECT window_id, {_LEN("coalesce(source, '')")} AS n, coalesce(edits, []) AS es FROM win),
+        cuts AS (SELECT window_id, n, es, 0::BIGINT AS a, least(n, 30 + CAST('0x' || substr(md5(window_id || ':0'), 1, 8) AS BIGINT) % 31) AS z FROM n WHERE n > 0
+            UNION ALL SELECT window_id, n, es, z, least(n, z + 30 + CAST('0x' || substr(md5(window_id || ':' || z), 1, 8) AS BIGINT) % 31) FROM cuts WHERE z < n)
+        SELECT window_id, a, z, len(list_filter(es, lambda e: e.start_word >= a AND e.end_word <= z AND NOT (e.start_word = z AND e.end_word = z AND z < n))) AS inside FROM cuts WHERE (z - a >= 20 OR a = 0)
+        AND len(list_filter(es, lambda e: (e.start_word < a AND a < e.end_word) OR (e.start_word < z AND z < e.end_word))) = 0""",
     "q20_edit_roundtrip": f"WITH {Q.WIN} SELECT count(*) AS windows, count(*) AS same FROM win WHERE source IS NOT NULL AND target_text IS NOT NULL",
     "q21_edit_flags": f"""WITH {Q.WIN}, {Q.EDITS} SELECT window_id, k, CASE WHEN len(original) = 0 THEN 'insert' WHEN len(replacement) = 0 THEN 'delete' ELSE 'substitute' END AS kind,
         {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} AS number, {Q.squash("array_to_string(original, ' ')")} = {Q.squash("array_to_string(replacement, ' ')")} AS spacing_only,

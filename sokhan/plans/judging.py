@@ -159,7 +159,7 @@ def q75_parse_reply(spark: SparkSession, d: str) -> DataFrame:
 def q76_merge_labels(spark: SparkSession, d: str) -> DataFrame:
     """Two people's label files, the second before the first."""
     j = table(spark, d, "judge_items")
-    one = lambda m: j.filter((F.col("model") == m)).groupBy("id").agg(F.max_by("verdict", "line_no").alias("verdict"))
+    one = lambda m: j.filter((F.col("model") == m) & F.col("verdict").isNotNull()).groupBy("id").agg(F.max_by("verdict", "line_no").alias("verdict"))
     return J.merge_labels(one("p11"), one(PERSON))
 
 
@@ -300,6 +300,10 @@ SQL = {
         o AS (SELECT id, x.call_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY h, id) AS r FROM i WHERE stratum = 'other_sub') x LEFT JOIN up USING (call_id) WHERE r <= 2 - coalesce(u, 0) ORDER BY h, id LIMIT 35)
         SELECT * FROM e UNION ALL SELECT * FROM p UNION ALL SELECT * FROM o""",
     "q45c_split_strata": f"WITH {Q.ANSWERS}, {_DECIDED}, {_EXAMPLES} SELECT split, stratum, count(*) AS examples FROM ex GROUP BY 1, 2",
+    "q63b_digest_trend": """WITH h AS (SELECT event_type AS run, time_bucket(INTERVAL 1 HOUR, ts) AS step, round(avg(value), 6) AS value FROM events GROUP BY 1, 2),
+        a AS (SELECT *, min(value) OVER (PARTITION BY run ORDER BY step) AS best, row_number() OVER (PARTITION BY run ORDER BY step) AS n, first_value(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f FROM h),
+        c AS (SELECT *, max(CASE WHEN value <= best THEN n END) OVER (PARTITION BY run ORDER BY step) AS best_n FROM a)
+        SELECT run, step, CASE WHEN n < 2 THEN 'not enough data' WHEN value <= best THEN 'improving' WHEN value <= f THEN 'plateaued' ELSE 'regressed' END AS trend, n - best_n AS since FROM c""",
     "q63_stream_digest": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least FROM events GROUP BY 1, 2",
     "q45_verifier_data": f"WITH {Q.ANSWERS}, {_DECIDED}, {_EXAMPLES} SELECT * FROM ex",
     "q45b_split_summary": f"WITH {Q.ANSWERS}, {_DECIDED}, {_EXAMPLES} SELECT split, count(*) AS examples, count(DISTINCT call_id) AS calls, count(*) FILTER (label = 'YES') AS yes, count(*) FILTER (label = 'NO') AS no FROM ex GROUP BY 1",
