@@ -1,10 +1,16 @@
 """Problem 10: the reading level of each document.
 
-Method: a Rasch-style latent difficulty model (partial credit form). A document has a latent level on the specimens' scale; a word, and a
-pair of neighbouring words, which shows how sentences are built, has a difficulty for each step of the scale: how much rarer it is
-below the step than above. Level and difficulties are estimated by alternating optimisation: every document's level given the difficulties (each
-task over its own texts), then the difficulties given all documents' levels (sums per word, combined in the task before the shuffle). The graded
-specimens anchor the scale; they keep their grades in every round.
+Method: a Rasch-style latent difficulty model in its partial credit form. A document has a latent level on the specimens' scale, anywhere between the lowest and the
+highest grade. A word, and a pair of neighbouring words, which shows how sentences are built, has a difficulty for each step of the scale; between two grades the
+log odds of two words change with the level at the rate of their difficulties' difference:
+
+    log p(w | level) = sum over grades k of hat_k(level) * ease(w, k) - log Z(level),    difficulty(w, k) = ease(w, k) - ease(w, k + 1)
+
+with ``hat_k`` the piecewise linear functions of the grades. Estimated is by alternating optimisation, as marginal maximum likelihood does it: each
+document's posterior over a grid of levels given the difficulties (each task over its own texts), then the difficulties given all documents' posteriors, by iterative scaling
+steps, which never lower the likelihood because the hats add up to one; they need two sums over all documents, of the words by hat and of the text by level,
+combined in the tasks before the shuffle. The graded specimens anchor the scale: they keep their levels in every round. Rounds end when the documents' mean log
+likelihood per word moves by less than ``TOLERANCE``; a warning tells if that doesn't come within ``ROUNDS``.
 
 Words are hashed into a table of fixed size, so the difficulties that travel to the tasks and the sums that come back have a bound
 however large the corpus is.
@@ -13,6 +19,7 @@ however large the corpus is.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +29,11 @@ from pyspark.sql import functions as F
 
 from sokhan.materialize import materialize
 
-SLOTS = 1 << 17
+SLOTS = 1 << 18
 MIN_WORDS = 20
-ROUNDS = 3
+ROUNDS, TOLERANCE = 20, 5e-4
+#: Levels between two grades that are told apart, scaling steps a round, occurrences that hold a word to its share of the corpus.
+FINE, STEPS, SMOOTH = 8, 3, 0.25
 #: Weight of a specimen against a document of the same length.
 ANCHOR = 3.0
 _WORDS_KEPT = 400_000
@@ -72,40 +81,73 @@ class Words:
         return (both % np.uint64(self.slots)).astype(np.int64), len(words)
 
 
-def difficulties(sums: np.ndarray, smooth: float = 0.25) -> np.ndarray:
-    """Log occurrence of each slot at each level, from the sums (slots x levels); a level's step difficulties are the differences of its columns."""
-    whole = sums.sum(1, keepdims=True)
-    share = whole / max(whole.sum(), 1e-9)
-    # a slot that a level lacks is as rare there as in the corpus, up to a weight of ``smooth`` occurrences
-    return np.log((sums + smooth * (share * len(sums)).clip(0.05, 1.0)) / (sums.sum(0, keepdims=True) + smooth * len(sums))).astype(np.float32)
+def hats(k: int, fine: int = FINE) -> np.ndarray:
+    """(k, levels): the piecewise linear functions of ``k`` grades on a grid of ``fine`` levels a step."""
+    at = np.linspace(0, k - 1, (k - 1) * fine + 1) if k > 1 else np.zeros(1)
+    return np.maximum(0.0, 1.0 - np.abs(at[None, :] - np.arange(k)[:, None]))
+
+
+class Difficulties:
+    """The eases of all slots at each grade, a document's log likelihood under them, and their re-estimation."""
+
+    def __init__(self, slots: int, k: int):
+        self.hat = hats(k) if k else np.zeros((0, 1))
+        self.ease = np.full((slots, k), -np.log(slots), np.float64)
+        self.settle()
 
+    def settle(self) -> None:
+        """Recomputes log Z over the grid; at the grades themselves it is taken into the eases."""
+        k = len(self.hat)
+        if k:
+            self.ease -= np.log(np.exp(self.ease).sum(0, keepdims=True))
+        self.log_z = np.array([np.log(np.exp(self.ease @ h).sum()) for h in self.hat.T])
 
-def level(slots: np.ndarray, table: np.ndarray, temper: float = 1.0) -> np.ndarray:
-    """Posterior of the levels of a text; levels are equally likely beforehand."""
-    s = table[slots].sum(0, dtype=np.float64) * temper
-    p = np.exp(s - s.max())
-    return p / p.sum()
+    def log_likelihood(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """(documents, levels) from the documents' sums of eases and their numbers of slots."""
+        return sums @ self.hat - n[:, None] * self.log_z
 
+    def improve(self, seen: np.ndarray, text: np.ndarray, steps: int = STEPS) -> None:
+        """Scaling steps towards ``seen`` (slots x grades: slots by hat, summed over the documents) given ``text`` (slots by level).
 
-def anchors(specimens: list[tuple[str, int]], grades: list[int], slots: int = SLOTS) -> np.ndarray:
-    """Sums (slots x levels) of the graded specimens."""
-    words, sums = Words(slots), np.zeros((slots, len(grades)))
-    for text, grade in specimens:
-        np.add.at(sums[:, grades.index(grade)], words.of(text)[0], ANCHOR)
-    return sums
+        A slot is held to its share of the corpus by pseudo documents at each grade in which it occurs ``SMOOTH`` times, less if it is rarer.
+        """
+        k = len(self.hat)
+        whole = seen.sum(1, keepdims=True)
+        held = SMOOTH * (whole / max(whole.sum(), 1e-9) * k * len(seen)).clip(0.05, 1.0)
+        for _ in range(steps):
+            expected = np.zeros_like(self.ease)
+            for g, h in enumerate(self.hat.T):
+                if text[g] > 0:
+                    expected += np.outer(np.exp(self.ease @ h - self.log_z[g]) * text[g], h)
+            expected += np.exp(self.ease) * held.sum()
+            self.ease += np.log((seen + held) / np.maximum(expected, 1e-12))
+            self.settle()
+
+
+def posterior(log_likelihood: np.ndarray) -> np.ndarray:
+    """Posteriors over the levels, which are equally likely beforehand."""
+    p = np.exp(log_likelihood - log_likelihood.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def sums_of(ease: np.ndarray, slots: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents x grades sums of eases, numbers of slots, all slots one after another) of documents that have a slot each at least."""
+    n = np.fromiter(map(len, slots), np.int64, len(slots))
+    flat = np.concatenate(slots)
+    starts = np.cumsum(n) - n
+    return np.stack([np.add.reduceat(ease[:, c][flat], starts) for c in range(ease.shape[1])], axis=1), n, flat
 
 
 class ReadingLevels:
     """Levels of ``documents`` (doc_id, text) on the scale of ``specimens`` (text, grade), a small fixed table.
 
     Rated are documents whose text is mostly Persian and has at least ``min_words`` words; null and blank texts have no level. Ids are unique.
-    Repeated texts count as often as they are there. No specimens: nothing is rated.
+    Repeated texts count as often as they are there. No specimens: nothing is rated. ``rounds_used`` tells how many rounds it took.
     """
 
-    def __init__(self, documents: DataFrame, specimens: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, slots: int = SLOTS):
+    def __init__(self, documents: DataFrame, specimens: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS, slots: int = SLOTS, tolerance: float = TOLERANCE):
         graded = [(r.text, r.grade) for r in specimens.filter("text is not null and grade is not null").select("text", "grade").collect()]
         self.grades = sorted({g for _, g in graded})
-        self.slots = slots
         k = len(self.grades)
         spark = documents.sparkSession
 
@@ -123,46 +165,80 @@ class ReadingLevels:
 
         source = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
         self._read = materialize(source.mapInPandas(read, "doc_id long, slots array<int>"))
-        start = anchors(graded, self.grades, slots)
-        self.table = difficulties(start) if k else np.zeros((slots, 0), np.float32)
-        for _ in range(rounds if k else 0):
-            # the first rounds know the specimens' words only, so a document counts as far as its level is clear
-            table = spark.sparkContext.broadcast(self.table)
+        model = self.model = Difficulties(slots, k)
+        # the specimens' part of the sums is the same in every round
+        own, own_text, words = np.zeros((slots, k)), np.zeros(model.hat.shape[1]), Words(slots)
+        for text, grade in graded:
+            s, c = words.of(text)[0], self.grades.index(grade)
+            np.add.at(own[:, c], s, ANCHOR)
+            own_text[c * FINE if k > 1 else 0] += ANCHOR * len(s)
+        if k:
+            model.improve(own, own_text, 2 * STEPS)
+        self.rounds_used, before = 0, None
+        for self.rounds_used in range(1, rounds + 1 if k else 1):
+            table = spark.sparkContext.broadcast((model.ease.astype(np.float32), model.hat, model.log_z))
 
             def total(batches: Iterator[pd.DataFrame], table=table) -> Iterator[pd.DataFrame]:
-                sums = np.zeros((slots, k), np.float32)
+                ease, hat, log_z = table.value
+                seen, text, fit, size = np.zeros((k, slots)), np.zeros(len(log_z)), 0.0, 0
                 for b in batches:
-                    for s in b.slots:
-                        p = level(s, table.value)
-                        best = int(p.argmax())
-                        if p[best] > 0.99:
-                            np.add.at(sums[:, best], s, np.float32(1.0))
-                at = np.flatnonzero(sums.sum(1))
-                yield pd.DataFrame({"slot": at.astype(np.int32)} | {f"s{c}": sums[at, c] for c in range(k)})
-
-            schema = "slot int, " + ", ".join(f"s{c} float" for c in range(k))
+                    if not len(b):
+                        continue
+                    sums, n, flat = sums_of(ease, list(b.slots))
+                    ll = sums @ hat - n[:, None] * log_z
+                    p = posterior(ll)
+                    text += n @ p
+                    fit += float((ll.max(1) + np.log(np.exp(ll - ll.max(1, keepdims=True)).mean(1))).sum())
+                    size += int(n.sum())
+                    share = p @ hat.T
+                    for c in range(k):
+                        # what is far from a grade adds nothing to it
+                        on = np.repeat(share[:, c] > 1e-6, n)
+                        seen[c] += np.bincount(flat[on], np.repeat(share[:, c], n)[on], slots)
+                at = np.flatnonzero(seen.sum(0))
+                yield pd.DataFrame({"slot": at.astype(np.int32)} | {f"s{c}": seen[c, at] for c in range(k)})
+                # the sums over levels and the fit travel as slots below zero
+                rest = np.concatenate([text, [fit, size]])
+                yield pd.DataFrame({"slot": -1 - np.arange(len(rest), dtype=np.int32)} | {f"s{c}": rest * (c == 0) for c in range(k)})
+
+            schema = "slot int, " + ", ".join(f"s{c} double" for c in range(k))
             rows = self._read.mapInPandas(total, schema).groupBy("slot").agg(*(F.sum(f"s{c}").alias(f"s{c}") for c in range(k))).toPandas()
-            sums = start.copy()
-            sums[rows.slot.to_numpy(np.int64)] += rows[[f"s{c}" for c in range(k)]].to_numpy(np.float64)
-            new = difficulties(sums)
-            moved = float(np.abs(new - self.table)[start.sum(1) > 0].mean())
-            self.table = new
             table.unpersist()
-            if moved < 0.02:
+            at = rows.slot.to_numpy(np.int64)
+            if not len(at):
+                break
+            seen, rest = own.copy(), np.zeros(len(own_text) + 2)
+            seen[at[at >= 0]] += rows.loc[at >= 0, [f"s{c}" for c in range(k)]].to_numpy()
+            rest[-1 - at[at < 0]] = rows.s0.to_numpy()[at < 0]
+            fit = rest[-2] / max(rest[-1], 1.0)
+            model.improve(seen, own_text + rest[:-2])
+            if before is not None and abs(fit - before) < tolerance:
                 break
+            before = fit
+        else:
+            if k:
+                warnings.warn(f"levels have not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
 
     def levels(self) -> DataFrame:
-        """(doc_id, grade, level, certainty): the likeliest grade, the mean level and the grade's posterior."""
-        grades = np.array(self.grades)
-        if not len(grades):
+        """(doc_id, grade, level, certainty): the mean level of the posterior, the grade nearest to it (of two the lower), and the posterior of the levels nearest to that grade."""
+        grades, k = np.array(self.grades), len(self.grades)
+        if not k:
             return self._read.select("doc_id", F.lit(0).alias("grade"), F.lit(0.0).alias("level"), F.lit(0.0).alias("certainty")).limit(0)
-        table = self._read.sparkSession.sparkContext.broadcast(self.table)
+        m = self.model
+        table = self._read.sparkSession.sparkContext.broadcast((m.ease.astype(np.float32), m.hat, m.log_z))
+        scale, steps = np.array(self.grades, float) @ m.hat, np.arange(k) @ m.hat
+        nearest = np.minimum((np.arange(m.hat.shape[1]) + FINE // 2) // FINE, k - 1)
 
         def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ease, hat, log_z = table.value
             for b in batches:
-                p = np.array([level(s, table.value) for s in b.slots]).reshape(-1, len(grades))
-                soft = np.array([level(s, table.value, 8 / (8 + len(s))) for s in b.slots]).reshape(-1, len(grades))
-                yield pd.DataFrame({"doc_id": b.doc_id, "grade": grades[p.argmax(1)].astype(np.int32), "level": soft @ grades, "certainty": p.max(1)})
+                if not len(b):
+                    continue
+                sums, n, _ = sums_of(ease, list(b.slots))
+                p = posterior(sums @ hat - n[:, None] * log_z)
+                best = np.ceil(p @ steps - 0.5).astype(int).clip(0, k - 1)
+                sure = np.stack([p[:, nearest == c].sum(1) for c in range(k)], axis=1)
+                yield pd.DataFrame({"doc_id": b.doc_id, "grade": grades[best].astype(np.int32), "level": p @ scale, "certainty": sure[np.arange(len(best)), best]})
 
         return self._read.mapInPandas(rate, "doc_id long, grade int, level double, certainty double")
 
