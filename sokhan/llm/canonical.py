@@ -1,9 +1,9 @@
 """Problem 5: one consistent form for text that looks alike but is made of other characters.
 
-Method: a quick check finds the places whose characters are unstable (compatibility forms, uncomposed sequences, invisible
-characters, odd spaces, misplaced half-spaces, look-alike letters and digits). Only the run of characters round each such place,
-its boundary context included, is normalised; the canonical runs are spliced into the unchanged rest of the text. Rows without
-an unstable character never leave the JVM: the same check runs there as a regular expression.
+Method: quick checks by Unicode's normalisation properties find the places that aren't stable: characters with the quick-check value No or Maybe, and marks whose
+order may change, both derived from the decompositions and combining classes; above them lies a layer of look-alike letters and digits, invisible characters, odd
+spaces and misplaced half-spaces. Only the run of characters round each such place, its boundary context included, is normalised; the canonical runs are spliced
+into the unchanged rest of the text. Texts that are surely stable never leave the JVM: a regular expression of a few ranges passes over them there.
 """
 
 from __future__ import annotations
@@ -33,16 +33,59 @@ LOOKALIKE_LATIN = {
 # Characters that show nothing.
 INVISIBLE = "­͏؜ـ᠎​‍‎‏‪-‮⁠-⁯﻿"
 SPACES = "   -   　"
-COMPAT = "ﬀ-ﬆﭐ-ﷻﹰ-ﻼ！-ﾟ\U0001d400-\U0001d7ff"
-MARKS = "̀-͎͐-ͯٓ-ٟ"
+
+
+def _ranges(points: set[int] | list[int]) -> str:
+    """Code points as the inside of a character class, which Python and Java read alike (none of them is ASCII)."""
+    out, points = [], sorted(points)
+    for i, c in enumerate(points):
+        if i and points[i - 1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(chr(x) if x == y else f"{chr(x)}-{chr(y)}" for x, y in out)
+
+
+def _properties() -> tuple[set[int], set[int], set[int], set[int]]:
+    """(singletons, compatibility characters, second parts, marks) by Unicode's decompositions and combining classes.
+
+    What normalisation may change: characters that composition doesn't give back (NFC quick check No), those with a compatibility form (NFKC quick check No), those that may
+    join the character before them (quick check Maybe), and marks, whose order may change. Punctuation and spacing accents keep their look, so they are left alone.
+    """
+    single, compat, second, marks = set(), set(), set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3)), set()
+    for c in (*range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
+        x = chr(c)
+        if unicodedata.combining(x):
+            marks.add(c)
+        form = unicodedata.decomposition(x)
+        if not form:
+            continue
+        if form[0] == "<":
+            if unicodedata.category(x)[0] != "P" and not form.endswith("0020") and " 0020 " not in form + " ":
+                compat.add(c)
+        else:
+            parts = form.split()
+            if unicodedata.normalize("NFC", x) != x:
+                single.add(c)
+            elif len(parts) > 1:
+                second.add(int(parts[1], 16))
+    return single, compat, second, marks
+
+
+_single, _compatible, _second, _marks = _properties()
+COMPAT = _ranges(_compatible)
 _ARABIC = "".join(LOOKALIKE_ARABIC) + "٠-٩"
 _FOREIGN = "Ͱ-ϿЀ-ӿ"
 _LETTER = r"\p{L}\p{Mn}"
-UNSTABLE = f"[{INVISIBLE}{SPACES}{COMPAT}{MARKS}{_ARABIC}{_FOREIGN}]"
-#: The quick check for the JVM; it may flag a stable text (a whole Cyrillic word), never pass an unstable one.
-QUICK_CHECK = f"{UNSTABLE}|{ZWNJ}(?![{_LETTER}])|(?<![{_LETTER}]){ZWNJ}"
-
-_quick = re.compile(f"{UNSTABLE}|{ZWNJ}(?!\\w)|(?<![\\wً-ٰٕ]){ZWNJ}")
+# vowel signs and tanwin belong to ordinary text, so long as one stands alone on its letter
+_SIGNS = set(range(0x64B, 0x653)) | {0x670}
+UNSTABLE = f"[{INVISIBLE}{SPACES}{_ranges((_single | _compatible | _second | _marks) - _SIGNS - set(range(0x370, 0x400)) - {ord(c) for c in SPACES})}{_ARABIC}{_FOREIGN}]"
+#: What is surely stable: ASCII, Persian and Arabic letters that aren't look-alikes, Persian digits, Latin letters in one piece, common punctuation.
+_SURE = "ء-غفقل-وپچژکگیۀ۰-۹ -~\n\r\t،؛؟«»À-ÖØ-öø-ÿ"
+#: The quick check for the JVM, for texts that are surely stable from end to end: one pass over a few ranges, half-spaces and single signs only behind letters. Any other text goes to the check by properties.
+STABLE = f"^(?:[{_SURE}]++|(?<=[{_LETTER}]){ZWNJ}(?=[{_LETTER}])|[ً-ْٰ](?![\\p{{Mn}}]))*+$"
+
+_quick = re.compile(f"{UNSTABLE}|[{_ranges(_marks)}]{{2}}|{ZWNJ}(?!\\w)|(?<![\\wً-ٰٕ]){ZWNJ}")
 _run = re.compile(r"[^ \n\r\t]+")
 _compat = re.compile(f"[{COMPAT}{SPACES}]+")
 _invisible = re.compile(f"[{INVISIBLE}]+")
@@ -54,6 +97,8 @@ _latin_word = re.compile(f"[A-Za-zÀ-ɏ{_FOREIGN}0-9٠-٩]+")
 _joiner = re.compile(f"{ZWNJ}+")
 _has_latin = re.compile("[A-Za-z]")
 _latin_or_digit = re.compile("[A-Za-z0-9À-ɏ٠-٩]")
+#: How far round a run, in characters and then on to the end of the word, it is asked whether the text there is of another alphabet.
+CONTEXT = 24
 
 
 def _imitations(word: re.Match, context: str) -> str:
@@ -109,7 +154,8 @@ def canonicalize(text: str | None) -> str | None:
         end = m.end()
         while end < size and text[end] not in " \n\r\t":
             end += 1
-        context = text[max(0, start - 24) : end + 24]
+        low, high = text.rfind(" ", 0, max(0, start - CONTEXT)) + 1, text.find(" ", end + CONTEXT)
+        context = text[low : high if high >= 0 else size]
         out += (text[done:start], _settle(text[start:end], context))
         done = end
         if end == size:
@@ -119,8 +165,8 @@ def canonicalize(text: str | None) -> str | None:
 
 
 def needs_check(text: Column) -> Column:
-    """True where the quick check finds an unstable character; null for null."""
-    return text.rlike(QUICK_CHECK)
+    """True where the quick check can't tell that a text is stable; null for null."""
+    return ~text.rlike(STABLE)
 
 
 def canonical_changes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -78,3 +78,28 @@ def test_reading_levels(spark):
     assert {x.doc_id: x.grade for x in r.levels().collect()} == {1: 1, 2: 4, 3: 1, 8: 4}
     assert {x.grade: x.documents for x in r.profile().collect()} == {1: 2, 4: 2}
     assert ReadingLevels(docs.limit(0), specimens).levels().count() == 0 and ReadingLevels(docs, specimens.limit(0)).levels().count() == 0
+
+
+@pytest.mark.parametrize("text, want", [("K", "K"), ("Ω", "Ω"), ("①", "1"), ("Ⅳ", "IV"), ("x²", "x2"), ("㎡", "m2"), ("क़", "क़"), ("가", "가"), ("سَّ", "سَّ"), ("سَّ", "سَّ"), ("a…b", "a…b")])
+def test_unstable_by_the_quick_check_properties(spark, text, want):
+    import unicodedata
+
+    from sokhan.llm import canonical as c
+
+    got = c.canonicalize(text)
+    assert got == want and c.canonicalize(got) == got and unicodedata.is_normalized("NFC", got)
+    df = spark.createDataFrame([("k", text)], "id string, text string")
+    assert [r.canonical for r in c.canonical_changes(df, "id", ["text"]).collect()] == ([want] if want != text else [])
+
+
+def test_the_quick_check_of_the_jvm_passes_no_unstable_text(spark):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from sokhan.llm import canonical as c
+
+    # every character that normalisation or the look-alike layer changes, in a word, and the ordinary ones beside them
+    texts = [f"ب{chr(p)}ا" for p in [*range(0x20, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0xFFFE), *range(0x1D400, 0x1D800)] if unicodedata.category(chr(p)) not in ("Cn", "Cs", "Co")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", c.needs_check(F.col("t")).alias("flagged"))
+    assert not [r.t for r in df.collect() if not r.flagged and c.canonicalize(r.t) != r.t]
