@@ -41,7 +41,7 @@ _WORDS_KEPT = 400_000
 # A line's head: who speaks, the number of an article, a reference; it is layout, not wording.
 _label = re.compile(r"^[ \t]*[^\W\d_]{2,14}(?:[ \t]+[^\W_]{1,4})?[ \t]*:(?=\s)", re.M)
 _digits = re.compile(r"[0-9۰-۹٠-٩]+")
-_sep = re.compile(r"[^\w‌]+")
+_word = re.compile(r"[\w‌]+")
 _fold = str.maketrans("يىكةۀأإآؤ", "ییکههااا" + "و")
 
 
@@ -67,13 +67,14 @@ class Words:
         """(slots of words and pairs, number of words)."""
         if ":" in text:
             text = _label.sub(" ", text)
-        words = [w for w in _sep.split(_digits.sub("0", text).translate(_fold).lower()) if w]
+        words = _word.findall(_digits.sub("0", text))
         known = self.known
         if len(known) > _WORDS_KEPT:
             known.clear()
         new = [w for w in set(words) if w not in known]
         if new:
-            h = pd.util.hash_array(np.array(new, dtype=object), categorize=False)
+            # letter forms are folded once for each distinct word
+            h = pd.util.hash_array(np.array([w.translate(_fold).lower() for w in new], dtype=object), categorize=False)
             known.update(zip(new, h.tolist()))
         ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         pairs = ids[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ (ids[1:] >> np.uint64(7))
