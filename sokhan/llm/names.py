@@ -1,9 +1,10 @@
 """Problem 7: variant spellings of names typed by people.
 
-Method: noisy-channel attribution. Candidate canonical forms are the register's entries and the frequent spellings that no entry explains
-(people and firms outside the register). A spelling's posterior for a candidate combines the candidate's frequency with the likelihood that
-the typist's channel makes the spelling out of it: order of the parts, titles, initials, short forms, glued or parted words, Latin
-letters, and typing errors by weighted edits. The spelling goes to the candidate of the highest posterior, if the channel can make it at all.
+Method: noisy-channel attribution. Candidate canonical forms are the frequent spellings, ranked: those written like a register entry are the entry's, those that no
+entry explains are people outside the register, the rest are variants. A spelling's posterior for a form combines the form's frequency with the likelihood that
+the typist's channel makes the spelling out of it: order of the parts, titles, initials, short forms, glued or parted words, Latin letters, and typing errors.
+The likelihoods of these choices are counted from the frequent variants, aligned with their forms. The spelling goes to the form of the highest posterior, if
+the channel can make it at all.
 
 Each distinct spelling is resolved once, however many mentions it has. The register is a fixed table; frequent spellings have at
 least ``SHARE`` of all mentions, so there are at most 1 / SHARE of them.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -85,26 +87,62 @@ def typing_cost(a: str, b: str, most: float = 3.0) -> float:
     return row[m]
 
 
-def given_cost(typed: str, name: str) -> float:
-    """Cost of ``typed`` for the given name ``name`` (both ``sound``): nothing or a title, an initial, a short form, errors; above 3 if it can't be."""
+def given_cost(typed: str, name: str) -> tuple[float, str]:
+    """Cost of ``typed`` for the given name ``name`` (both ``sound``), above 3 if it can't be, and what was done: none, exact, initial, typo or short."""
     if not typed:
-        return 0.3
+        return 0.3, "none"
     if typed == name:
-        return 0.0
+        return 0.0, "exact"
     if len(typed) == 1:
-        return 0.3 if name.startswith(typed) else 4.0
+        return (0.3 if name.startswith(typed) else 4.0), "initial"
     cost = typing_cost(name, typed, ERRORS)
     if cost <= ERRORS:
-        return cost
+        return cost, "typo"
     body = typed[:-1] if len(typed) > 2 and typed[-1] in "یو" else typed
     if body[0] == name[0] and len(body) <= len(name):
         at = 0
         for c in body:
             at = name.find(c, at) + 1
             if not at:
-                return 4.0
-        return 0.8
-    return 4.0
+                return 4.0, "short"
+        return 0.8, "short"
+    return 4.0, "short"
+
+
+class Way(NamedTuple):
+    """How the channel makes a spelling from a form: its cost, by which ways that can't be are told, and the choices it took."""
+
+    cost: float
+    script: str
+    given: str
+    order: str
+    parting: str
+    errors: float
+
+
+NO_WAY = Way(9.0, "persian", "typo", "straight", "parted", 9.0)
+CHOICES = {"script": ("persian", "latin"), "given": ("exact", "none", "initial", "short", "typo"), "order": ("straight", "reversed"), "parting": ("parted", "glued")}
+#: Letters that a wrong one may be.
+LETTERS = 33
+
+
+class Likelihood:
+    """Log likelihoods of the channel's choices and of typing errors; before anything is counted, usual ways are as likely as in plain text."""
+
+    def __init__(self):
+        self.counts = {k: dict.fromkeys(v, 1.0) for k, v in CHOICES.items()}
+        for k, v in CHOICES.items():
+            self.counts[k][v[0]] += 8.0
+        self.mentions, self.errors = 10.0, 1.0
+
+    def of(self, way: Way) -> float:
+        told = sum(math.log(self.counts[k][getattr(way, k)] / sum(self.counts[k].values())) for k in CHOICES)
+        return told + way.errors * (math.log(self.errors / self.mentions) - math.log(LETTERS))
+
+    def count(self, way: Way, n: int) -> None:
+        for k in CHOICES:
+            self.counts[k][getattr(way, k)] += n
+        self.mentions, self.errors = self.mentions + n, self.errors + n * way.errors
 
 
 class Canon:
@@ -127,8 +165,8 @@ class Canon:
 class Channel:
     """Resolves spellings against candidates."""
 
-    def __init__(self, canons: list[Canon]):
-        self.canons = canons
+    def __init__(self, canons: list[Canon], likelihood: Likelihood | None = None):
+        self.canons, self.likelihood = canons, likelihood or Likelihood()
         self.grams: dict[str, list[int]] = {}
         self.latin_grams: dict[str, list[int]] = {}
         for i, c in enumerate(canons):
@@ -168,8 +206,8 @@ class Channel:
             tokens, titled = tokens[1:], True
         return tokens, titled, latin
 
-    def cost(self, c: Canon, tokens: list[str], latin: bool) -> float:
-        """Cost of the cheapest way of the channel from the candidate to the tokens."""
+    def way(self, c: Canon, tokens: list[str], latin: bool) -> Way:
+        """The cheapest way of the channel from the candidate to the tokens."""
         if latin:
             first, last = c.latin
             words = [latin_skeleton(t) for t in tokens if t.strip(".").lower() not in LATIN_KINDS]
@@ -177,10 +215,10 @@ class Channel:
         else:
             first, last = c.first, c.last
             words, initial = [sound(t) for t in tokens], [False] * len(tokens)
-        best = 9.0
+        script, best = "latin" if latin else "persian", NO_WAY
         n = len(words)
         for i in range(n + 1):
-            for given, family in ((words[:i], words[i:]), (words[i:], words[:i])):
+            for order, given, family in (("straight", words[:i], words[i:]), ("reversed", words[i:], words[:i])):
                 if not family:
                     continue
                 fam = "".join(family)
@@ -192,18 +230,21 @@ class Channel:
                     continue
                 g = "".join(given)
                 if c.company:
-                    e = self._brand(first, g, latin)
+                    e, how = self._brand(first, g, latin), "exact" if g == first else "typo"
                 elif latin:
                     short = given and initial[words.index(given[0])] if given else False
                     e = 0.3 if not g and not given else (0.3 if short and first.startswith(g[:1]) else typing_cost(first, g, 1.0))
+                    how = "none" if not given else "initial" if short else "exact" if not e else "typo"
                     e = e if e <= 1.0 else 4.0
                 else:
-                    e = given_cost(g, first)
-                best = min(best, d + e)
+                    e, how = given_cost(g, first)
+                if d + e < best.cost:
+                    best = Way(d + e, script, how, order if given else "straight", "parted", d + (e if how == "typo" else 0.0))
         if not c.company and not latin and n == 1:  # all glued
-            for glued in (first + last, last + first):
+            for order, glued in (("straight", first + last), ("reversed", last + first)):
                 d = typing_cost(glued, words[0], ERRORS)
-                best = min(best, d if d <= ERRORS else 9.0)
+                if d <= ERRORS and d < best.cost:
+                    best = Way(d, script, "exact", order, "glued", d)
         return best
 
     @staticmethod
@@ -226,7 +267,12 @@ class Channel:
         return tokens
 
     def resolve(self, spelling: str | None) -> int | None:
-        """Index of the candidate with the highest posterior, None if the channel makes the spelling from none."""
+        """Index of the form with the highest posterior, None if the channel makes the spelling from none."""
+        at = self.attribute(spelling)
+        return None if at is None else at[0]
+
+    def attribute(self, spelling: str | None) -> tuple[int, Way] | None:
+        """The same with the way from the form to the spelling."""
         if not spelling:
             return None
         tokens, titled, latin = self.parse(spelling)
@@ -245,21 +291,25 @@ class Channel:
             if at is not None:
                 return at
             near = self._near(self._index, "".join(words))
+            if len(bare) < len(tokens):  # the kind of a firm must not draw the search away from the firm's name
+                near = sorted({*near, *self._near(self._index, "".join(words[len(tokens) - len(bare) :]))})
         return self._best(near, tokens, bare, latin, 2.5)
 
-    def _best(self, near: list[int], tokens: list[str], bare: list[str], latin: bool, most: float) -> int | None:
+    def _best(self, near: list[int], tokens: list[str], bare: list[str], latin: bool, most: float) -> tuple[int, Way] | None:
         best, at = -math.inf, None
         for i in near:
             c = self.canons[i]
-            cost = self.cost(c, bare if c.company else tokens, latin)
+            way = self.way(c, bare if c.company else tokens, latin)
             if c.company and not latin and len(bare) == 1:
                 glued = sound(bare[0])
-                cost = min([cost, *(d for d in (typing_cost(g, glued, ERRORS) for g in (c.whole, c.last + c.first)) if d <= ERRORS)])
-            if cost > most:
+                d = min(typing_cost(g, glued, ERRORS) for g in (c.whole, c.last + c.first))
+                if d <= ERRORS and d < way.cost:
+                    way = Way(d, "persian", "exact", "straight", "glued", d)
+            if way.cost > most:
                 continue
-            posterior = c.prior - 4.0 * cost
+            posterior = c.prior + self.likelihood.of(way)
             if posterior > best:
-                best, at = posterior, i
+                best, at = posterior, (i, way)
         return at
 
 
@@ -272,6 +322,33 @@ def mentions(calls: DataFrame, windows: DataFrame) -> DataFrame:
     return a.unionByName(b).filter((F.trim("name") != "") & F.col("record_id").isNotNull()).distinct()
 
 
+def canonical_forms(ranked: list[tuple[str, int]], register: list[tuple[int, str, bool]], rounds: int = 2) -> Channel:
+    """The channel with its forms and likelihoods, from the frequent spellings (spelling, mentions), most frequent first.
+
+    Every spelling is a candidate form. One that the channel makes from a register entry is that entry's, the entry's frequency being that of the spelling it is written like; one of two plain parts
+    that no entry and no more frequent form explains is the form of somebody outside the register; the others are variants. The variants are aligned with their forms, and the channel's
+    likelihoods counted from that, in a few rounds. Entries that no frequent spelling is written like are forms with a frequency of 0.
+    """
+    weight = dict(ranked)
+    entries = [Canon(i, name, company, weight.get(name, 0)) for i, name, company in register]
+    likelihood = Likelihood()
+    channel = Channel(entries, likelihood)
+    outside = []
+    for name, n in ranked:
+        if channel.attribute(name) is None:
+            tokens, titled, latin = channel.parse(name)
+            if not latin and not titled and len(tokens) == 2 and all(len(t) > 2 for t in tokens):
+                outside.append(Canon(-1, " ".join(tokens), False, n))
+    for _ in range(rounds):
+        channel, counted = Channel(entries + outside, likelihood), Likelihood()
+        for name, n in ranked:
+            at = channel.attribute(name)
+            if at is not None:
+                counted.count(at[1], n)
+        likelihood = counted
+    return Channel(entries + outside, likelihood)
+
+
 def link_names(mentioned: DataFrame, register: DataFrame, share: float = SHARE, least: int = COUNT) -> DataFrame:
     """(record_id, mention_no, person_id) of the mentions (record_id, mention_no, name) of a registered person or firm.
 
@@ -282,16 +359,7 @@ def link_names(mentioned: DataFrame, register: DataFrame, share: float = SHARE,
     total = counted.agg(F.sum("n")).first()[0] or 0
     entries = [(r.person_id, r.full_name, r.kind == "company") for r in register.filter("full_name is not null and person_id is not null").collect()]
     often = counted.filter(F.col("n") >= max(least, math.ceil(share * total))).orderBy(F.desc("n"), "name").collect()
-    weight = {r.name: r.n for r in often}
-    canons = [Canon(i, name, company, weight.get(name, 0)) for i, name, company in entries]
-    own = Channel(canons)
-    outside = []
-    for r in often:
-        if own.resolve(r.name) is None:
-            tokens, titled, latin = own.parse(r.name)
-            if not latin and not titled and len(tokens) == 2 and all(len(t) > 2 for t in tokens):
-                outside.append(Canon(-1, " ".join(tokens), False, r.n))
-    channel = Channel(canons + outside)
+    channel = canonical_forms([(r.name, r.n) for r in often], entries)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
