@@ -2,9 +2,9 @@
 
 Method: bipartite message passing on label edges, one class against the rest. An item tells each of its annotators how likely each class
 is in the light of the *other* annotators; an annotator tells each of its items how much its label speaks for each class against the
-rest, in the light of its *other* items. A round is one aggregation by item, one by annotator and label (both combined before the
-shuffle) and joins on their results; it is written to the shared folder. Rounds end when no message moves by more than a tolerance; if
-that doesn't come within ``ROUNDS``, a warning tells.
+rest, in the light of its *other* items. A round is one aggregation by annotator and label, combined before the shuffle, whose few rows are sent to the tasks,
+and one pass over each item's labels; it is written once to the shared folder, and the round before it is deleted. Rounds end when no message moves by more
+than a tolerance; if that doesn't come within ``ROUNDS``, a warning tells. An item has as many labels as there are annotators at most, so it fits into a task.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sokhan.materialize import materialize
+from sokhan.materialize import discard, materialize
 
 CLASSES = ("A", "B", "either", "neither")
 #: Weight, in labels, of the belief that an annotator is as good as the average one.
@@ -23,6 +23,8 @@ PRIOR = 4.0
 #: The same for the average annotator.
 BELIEF = 20.0
 ROUNDS, TOLERANCE = 100, 0.01
+#: Annotators whose tables are sent to the tasks, five rows each at most; more are joined.
+MOST_BROADCAST = 50_000
 
 
 def clean_verdict(verdict: Column) -> Column:
@@ -59,11 +61,16 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
         "id", "model", "vote",
         *(((F.col(f"n{c}") - (F.col("vote") == c).cast("double") + 0.3) / (F.col("n") - 1 + 0.3 * k)).alias(f"p{c}") for c in range(k)),
     )
-    edges = materialize(edges)
+    edges = materialize(edges.withColumn("moved", F.lit(1.0)))
     items = None
-    for _ in range(rounds):
-        pooled = edges.groupBy("vote").agg(F.count("*").alias("n"), *(F.sum(f"p{c}").alias(f"g{c}") for c in range(k))).collect()
-        if not pooled:
+    # annotators and their labels are few against the edges; only if they are, their table is sent to the tasks
+    small = edges.select("model").distinct().count() <= MOST_BROADCAST
+    for done in range(rounds + 1):
+        pooled = edges.groupBy("vote").agg(F.count("*").alias("n"), F.max("moved").alias("moved"), *(F.sum(f"p{c}").alias(f"g{c}") for c in range(k))).collect()
+        if not pooled or done and max(r.moved for r in pooled) < tolerance:
+            break
+        if done == rounds:
+            warnings.warn(f"messages have not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
             break
         mass = [sum(r[f"g{c}"] for r in pooled) + 1e-9 for c in range(k)]
         total = sum(mass)
@@ -81,7 +88,8 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
 
         by_vote = edges.groupBy("model", "vote").agg(F.count("*").alias("nv"), *(F.sum(f"p{c}").alias(f"v{c}") for c in range(k)))
         whole = by_vote.groupBy("model").agg(F.sum("nv").alias("na"), *(F.sum(f"v{c}").alias(f"a{c}") for c in range(k)))
-        told = edges.join(by_vote.join(whole, "model"), ["model", "vote"])
+        votes_of = by_vote.join(whole, "model")
+        told = edges.join(F.broadcast(votes_of) if small else votes_of, ["model", "vote"])
         p = [F.col(f"p{c}") for c in range(k)]
         speak = []
         for c in range(k):
@@ -89,21 +97,22 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
             no = (F.col("nv") - F.col(f"v{c}") - (1 - p[c]) + prior * pick(rest, c)) / (F.col("na") - F.col(f"a{c}") - (1 - p[c]) + prior)
             speak.append(F.log(F.greatest(yes, F.lit(1e-6)) / F.greatest(no, F.lit(1e-6))).alias(f"l{c}"))
         told = told.select("id", "model", "vote", *(f"p{c}" for c in range(k)), *speak)
-        told = materialize(told)
-        items = told.groupBy("id").agg(F.count("*").alias("n_labels"), *((F.sum(f"l{c}") + log_prior[c]).alias(f"s{c}") for c in range(k)))
+        score = lambda c: F.sum(f"l{c}").over(Window.partitionBy("id")) + log_prior[c]
+        # an item's labels meet in one task, where it answers each of them; the round is written once
+        heard = told.select("*", F.count("*").over(Window.partitionBy("id")).alias("n_labels"), *(score(c).alias(f"s{c}") for c in range(k)))
         odds = [1 / (1 + F.exp(-(F.col(f"s{c}") - F.col(f"l{c}")))) for c in range(k)]
-        raw = told.join(items, "id").select("id", "model", "vote", *(F.col(f"p{c}").alias(f"old{c}") for c in range(k)), *(o.alias(f"o{c}") for c, o in enumerate(odds)))
+        raw = heard.select("id", "model", "vote", "n_labels", *(f"s{c}" for c in range(k)), *(F.col(f"p{c}").alias(f"old{c}") for c in range(k)), *(o.alias(f"o{c}") for c, o in enumerate(odds)))
         norm = sum((F.col(f"o{c}") for c in range(1, k)), F.col("o0"))
-        edges = materialize(raw.select("id", "model", "vote", *(F.col(f"old{c}") for c in range(k)), *((F.col(f"o{c}") / norm).alias(f"p{c}") for c in range(k))))
-        moved = edges.agg(F.max(F.greatest(*(F.abs(F.col(f"p{c}") - F.col(f"old{c}")) for c in range(k))))).first()[0]
-        edges = edges.select("id", "model", "vote", *(f"p{c}" for c in range(k)))
-        if moved is not None and moved < tolerance:
-            break
-    else:
-        warnings.warn(f"messages have not settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
+        new = raw.select("id", "model", "vote", "n_labels", *(f"s{c}" for c in range(k)), *(f"old{c}" for c in range(k)), *((F.col(f"o{c}") / norm).alias(f"p{c}") for c in range(k)))
+        moved = F.greatest(*(F.abs(F.col(f"p{c}") - F.col(f"old{c}")) for c in range(k)))
+        before, edges = edges, materialize(new.withColumn("moved", moved).drop(*(f"old{c}" for c in range(k))))
+        discard(before)
+        items = edges
     if items is None:
         items = labels.select("id", F.lit(0).alias("n_labels"), *(F.lit(0.0).alias(f"s{c}") for c in range(k))).limit(0)
-    return materialize(items), edges
+    # the scores are an item's on each of its edges
+    scores = [F.first(f"s{c}").alias(f"s{c}") for c in range(k)]
+    return items.groupBy("id").agg(F.first("n_labels").alias("n_labels"), *scores), edges.select("id", "model", "vote", *(f"p{c}" for c in range(k)))
 
 
 class Consensus:

@@ -3,8 +3,8 @@
 Calls tied by an account, a case or a parent call form components (alternating large-star and small-star rounds over edges, every
 key a star round its smallest call, so no key emits pairs of its members). Method for the splits: largest differencing. The weights
 of the components are combined, extreme with extreme, into many equal bins, and whole bins go to the splits by target share.
-Only the histogram of weights reaches the driver: a number of components that every bin gets alike is dealt out at once, the rest, fewer than
-two per bin and weight, is differenced; components take planned bins by their rank within their weight.
+Only the histogram of weight classes, of bounded length, reaches the driver: a number of components that every bin gets alike is dealt out at once, the rest, fewer than
+two per bin and class, is differenced; components take planned bins by their rank within their class.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sokhan.llm.ranking import rank_within
-from sokhan.materialize import materialize
+from sokhan.materialize import discard, materialize
+from sokhan.operators.ranking import rank_within
 
 BINS = 100
 _DIGITS = ("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456789")
@@ -45,7 +45,6 @@ def call_keys(calls: DataFrame) -> DataFrame:
         F.when(readable, real(account)).alias("account"),
         F.when(readable, real(case)).alias("case_no"),
         F.when(readable, F.lower(F.trim(path("$.call.parent_id")))).alias("parent"),
-        F.coalesce(path("$.call.request_id").startswith("probe") | path("$.filler").isNotNull(), F.lit(False)).alias("unreal"),
     )
 
 
@@ -55,7 +54,8 @@ def tie_edges(calls: DataFrame) -> DataFrame:
     tied = keys.select("call_id", F.explode(F.array(F.concat(F.lit("a"), "account"), F.concat(F.lit("c"), "case_no"))).alias("k")).filter(F.col("k").isNotNull()).distinct()
     heads = tied.groupBy("k").agg(F.min("call_id").alias("v"))
     stars = tied.join(heads, "k").select(F.col("call_id").alias("u"), "v")
-    known = keys.filter(~F.col("unreal")).select(F.lower(F.trim("call_id")).alias("parent"), F.col("call_id").alias("p")).distinct()
+    # a parent is a call that exists, whatever is on record about it
+    known = keys.select(F.lower(F.trim("call_id")).alias("parent"), F.col("call_id").alias("p")).distinct()
     parents = keys.filter(F.col("parent").isNotNull()).select("call_id", "parent").distinct().join(known, "parent")
     up = parents.select(F.greatest("call_id", "p").alias("u"), F.least("call_id", "p").alias("v"))
     return stars.unionByName(up).filter(F.col("u") != F.col("v")).distinct()
@@ -74,6 +74,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     before = fingerprint(e)
     for _ in range(rounds):
+        last = e
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -82,6 +83,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(small.filter("u != v").distinct())
         now = fingerprint(e)
+        discard(last, large)
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
@@ -110,22 +112,24 @@ def difference(weights: list[float], bins: int) -> list[list[int]]:
     return [p for _, p in heap[0][2]] if heap else [[] for _ in range(bins)]
 
 
-def plan_bins(histogram: list[tuple[int, int]], bins: int) -> tuple[list[tuple[int, int, int, int]], list[int]]:
-    """((weight, first rank, last rank, bin) for the ranks that aren't dealt out alike, load of each bin).
+def plan_bins(histogram: list[tuple[int, int]], bins: int, mean: dict[int, float] | None = None) -> tuple[list[tuple[int, int, int, int]], list[float]]:
+    """((class, first rank, last rank, bin) for the ranks that aren't dealt out alike, load of each bin) of (class, members).
 
-    Of each weight, n // bins - 1 components go to every bin alike, a component of rank r to bin r % bins; the rest, less than 2 * bins, is differenced.
+    Of each class, n // bins - 1 members go to every bin alike, a member of rank r to bin r % bins; the rest, less than 2 * bins, is differenced. A member weighs its class, or the
+    class's mean in ``mean``.
     """
+    weigh = (lambda w: w) if mean is None else mean.__getitem__
     load, rest = [0] * bins, []
     for w, n in sorted(histogram, reverse=True):
         share = max(0, n // bins - 1)
-        load = [x + w * share for x in load]
+        load = [x + weigh(w) * share for x in load]
         rest += [(w, r) for r in range(share * bins, n)]
     plan = []
-    for b, members in enumerate(difference([w for w, _ in rest], bins)):
+    for b, members in enumerate(difference([weigh(w) for w, _ in rest], bins)):
         for i in members:
             w, r = rest[i]
             plan.append((w, r, r, b))
-            load[b] += w
+            load[b] += weigh(w)
     return plan, load
 
 
@@ -141,20 +145,27 @@ def allot(load: list[int], targets: list[tuple[str, float]]) -> list[str]:
     return out
 
 
+def weight_class(weight: Column) -> Column:
+    """Weights below 100 are classes of their own, larger ones are of the class of their first two digits, so there are fewer than 2,000 classes."""
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(weight.cast("string")) - 2, F.lit(0))).cast("long")
+    return F.floor(weight / unit).cast("long") * unit
+
+
 def group_splits(units: DataFrame, targets: list[tuple[str, float]], bins: int = BINS) -> DataFrame:
     """(group_id, weight, bin, split) of ``units`` (group_id, weight): whole groups in splits whose weights come close to ``targets``.
 
-    The targets needn't sum to 1. Groups of weight 0 or null are left out of the balance and go to the first target.
+    The targets needn't sum to 1. Groups are planned by the mean weight of their class. Groups of weight 0 or null are left out of the balance and go to the first target.
     """
     spark: SparkSession = units.sparkSession
-    units = units.select("group_id", F.coalesce(F.col("weight"), F.lit(0)).cast("long").alias("weight"))
-    histogram = [(r.weight, r.n) for r in units.filter("weight > 0").groupBy("weight").agg(F.count("*").alias("n")).collect()]
-    plan, load = plan_bins(histogram, bins)
+    units = units.select("group_id", F.coalesce(F.col("weight"), F.lit(0)).cast("long").alias("weight")).withColumn("class", weight_class(F.col("weight")))
+    rows = units.filter("weight > 0").groupBy("class").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+    mean = {r["class"]: r.w / r.n for r in rows}
+    plan, load = plan_bins([(r["class"], r.n) for r in rows], bins, mean)
     split = allot(load, targets)
-    extra = spark.createDataFrame(plan or [(-1, 0, 0, 0)], "weight long, rank long, last long, planned int").drop("last")
+    extra = spark.createDataFrame(plan or [(-1, 0, 0, 0)], "class long, rank long, last long, planned int").drop("last")
     names = spark.createDataFrame(list(enumerate(split)), "bin int, split string")
-    ranked = rank_within(units.filter("weight > 0"), "weight", "group_id")
-    placed = ranked.join(F.broadcast(extra), ["weight", "rank"], "left").select("group_id", "weight", F.coalesce("planned", F.pmod("rank", F.lit(bins))).cast("int").alias("bin"))
+    ranked = rank_within(units.filter("weight > 0"), "class", "group_id")
+    placed = ranked.join(F.broadcast(extra), ["class", "rank"], "left").select("group_id", "weight", F.coalesce("planned", F.pmod("rank", F.lit(bins))).cast("int").alias("bin"))
     out = placed.join(F.broadcast(names), "bin").select("group_id", "weight", "bin", "split")
     return out.unionByName(units.filter("weight = 0").select("group_id", "weight", F.lit(None).cast("int").alias("bin"), F.lit(targets[0][0]).alias("split")))
 

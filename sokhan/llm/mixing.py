@@ -2,19 +2,18 @@
 
 Method: iterative proportional fitting. The tokens of the cells source x language x topic are raked to the marginals (the sources' target
 shares; languages and topics by default as they are in the corpus), never beyond the repeats a source allows. A cell's raked weight
-over its tokens is the number of copies each of its documents is to have on average; the whole part is given to all, the broken part
-by systematic sampling over ranks inside cell and size class, so shares come out close even for small sources.
+over its tokens is the number of copies each of its documents is to have on average, and documents are drawn by these calibrated rates, by systematic sampling.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sokhan.llm.ranking import rank_within
 from sokhan.materialize import materialize
+from sokhan.operators.ranking import rank_within
 
 Cell = tuple[str, str, str]
 
@@ -94,28 +93,24 @@ class Mixture:
     def draw(self) -> DataFrame:
         """(doc_id, source_name, n_tokens, copies): documents with at least one copy.
 
-        The strata of a source, cells by size class, are gone through from the largest documents to the smallest; each is given the whole number
-        of extra copies that brings the source's tokens nearest to their aim so far, so smaller documents make up for larger ones. Inside
-        a stratum the copies are spread evenly over hash ranks.
+        A document's calibrated number of copies is its cell's rate. Systematic sampling: a source's documents are laid in a row, larger ones first, each as long as its rate, and a document has as many
+        copies as whole numbers, from a half on, fall on it. So every document has its rate as its expectation and at least its whole part, and neighbours, which are of like size, make up for one
+        another. A document's place is its stratum's beginning, from a table of bounded length, and its rank in the stratum.
         """
         spark = self.sizes.sparkSession
-        size = F.floor(F.log2("n_tokens") * 2).cast("int")
-        classed = self.sizes.withColumn("_size", size)
-        strata = classed.groupBy("source", "lang", "topic", "_size").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t")).collect()
-        carry: dict[str, float] = defaultdict(float)
+        classed = self.sizes.withColumn("_size", F.floor(F.log2("n_tokens") * 4).cast("int"))
+        strata = classed.groupBy("source", "lang", "topic", "_size").agg(F.count("*").alias("n")).collect()
+        at: dict[str, float] = defaultdict(lambda: 0.5)
         rows = []
         for r in sorted(strata, key=lambda r: (-r["_size"], r.source, r.lang, r.topic)):
             rate = self.copies.get((r.source, r.lang, r.topic), 0.0)
-            whole = int(rate)
-            aim, mean = r.t * (rate - whole), r.t / r.n
-            extra = min(r.n, max(0, round((aim + carry[r.source]) / mean))) if rate > whole else 0
-            carry[r.source] += aim - extra * mean
-            rows.append((r.source, r.lang, r.topic, r["_size"], whole, extra, r.n))
-        table = spark.createDataFrame(rows or [("", "", "", 0, 0, 0, 1)], "source string, lang string, topic string, _size int, _whole int, _extra long, _n long")
+            rows.append((r.source, r.lang, r.topic, r["_size"], rate, at[r.source]))
+            at[r.source] += rate * r.n
+        table = spark.createDataFrame(rows or [("", "", "", 0, 0.0, 0.0)], "source string, lang string, topic string, _size int, _rate double, _at double")
         keyed = classed.join(F.broadcast(table), ["source", "lang", "topic", "_size"]).withColumn("_stratum", F.concat_ws("|", "source", "lang", "topic", F.col("_size").cast("string")))
         ranked = rank_within(keyed, "_stratum", "doc_id", "_rank")
-        upto = lambda r: F.floor(r * F.col("_extra") / F.col("_n"))
-        copies = F.col("_whole") + upto(F.col("_rank") + 1) - upto(F.col("_rank"))
+        upto = lambda r: F.floor(F.col("_at") + r * F.col("_rate") + 1e-9)
+        copies = upto(F.col("_rank") + 1) - upto(F.col("_rank"))
         return ranked.select("doc_id", F.col("source").alias("source_name"), "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
@@ -125,8 +120,26 @@ class Mixture:
         there = self.sizes.groupBy(F.col("source").alias("source_name")).agg(F.sum("n_tokens").alias("available_tokens"))
         drawn = self.draw().groupBy("source_name").agg(F.count("*").alias("drawn_documents"), F.sum(F.col("n_tokens").cast("long") * F.col("copies")).alias("drawn_tokens"))
         zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        joined = asked.join(there, "source_name", "left").join(drawn, "source_name", "left").withColumn("_all", F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))))
+        joined = asked.join(there, "source_name", "left").join(drawn, "source_name", "left")
+        joined = joined.crossJoin(F.broadcast(drawn.agg(F.sum("drawn_tokens").alias("_all"))))
         return joined.select(
             "source_name", "target_share", "max_repeats", zero("available_tokens"), zero("drawn_documents"), zero("drawn_tokens"),
             F.coalesce(F.expr("try_divide(drawn_tokens, _all)"), F.lit(0.0)).alias("actual_share"),
         )
+
+    def marginals(self) -> DataFrame:
+        """(axis source | lang | topic, name, raked_share, available_tokens, drawn_tokens, actual_share): what the raking gave each marginal, and what was drawn."""
+        spark = self.sizes.sparkSession
+        axes = ("source", "lang", "topic")
+        goal: dict[tuple[str, str], float] = defaultdict(float)
+        for c, w in self.weights.items():
+            for axis, name in zip(axes, c):
+                goal[axis, name] += w / (sum(self.weights.values()) or 1.0)
+        asked = spark.createDataFrame([(a, n, x) for (a, n), x in sorted(goal.items())] or [("", "", 0.0)], "axis string, name string, raked_share double").filter("axis != ''")
+        each = self.sizes.join(self.draw().select("doc_id", "copies"), "doc_id", "left").select("source", "lang", "topic", F.col("n_tokens").cast("long").alias("t"), F.coalesce("copies", F.lit(0)).alias("copies"))
+        cells = each.groupBy(*axes).agg(F.sum("t").alias("available"), F.sum(F.col("t") * F.col("copies")).alias("drawn"))
+        long = cells.select(F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("name")) for a in axes))).alias("x"), "available", "drawn")
+        sums = long.groupBy("x.axis", "x.name").agg(F.sum("available").alias("available_tokens"), F.sum("drawn").alias("drawn_tokens"))
+        total = cells.agg(F.sum("drawn").alias("_all"))
+        both = asked.join(sums, ["axis", "name"], "left").crossJoin(F.broadcast(total))
+        return both.select("axis", "name", "raked_share", "available_tokens", "drawn_tokens", F.coalesce(F.expr("try_divide(drawn_tokens, _all)"), F.lit(0.0)).alias("actual_share"))

@@ -13,8 +13,8 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sokhan.llm.ranking import rank_within
 from sokhan.materialize import materialize
+from sokhan.operators.ranking import rank_within
 
 PLAN = "length int, first long, last long, pack_from long, per_pack int"
 

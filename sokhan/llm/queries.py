@@ -142,6 +142,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d).report()
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Raked and actual shares of sources, languages and topics."""
+    return _mixture(spark, d).marginals()
+
+
 def _levels(spark: SparkSession, d: str) -> ReadingLevels:
     return ReadingLevels(table(spark, d, "documents"), table(spark, d, "grade_samples"))
 
@@ -163,7 +168,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report, p10_found, p10_levels, p10_profile)
+    for f in (p1_found, p1_coverage, p1_report, p2_found, p2_items, p2_annotators, p3_found, p3_labels, p4_found, p4_pieces, p5_found, p5_canonical, p6_found, p6_splits, p7_found, p8_packs, p8_report, p9_mix, p9_report, p9_marginals, p10_found, p10_levels, p10_profile)
 }
 
 _CODE = lambda path: f"upper(regexp_replace(translate(json_extract_string(j, '{path}'), '۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩', '01234567890123456789'), '[^\\p{{L}}\\p{{Nd}}]', '', 'g'))"
@@ -177,7 +182,7 @@ SQL: dict[str, str] = {
         r AS (SELECT * FROM k WHERE NOT unreal),
         e AS (SELECT x.id AS u, y.id AS v FROM r x JOIN r y ON x.a = y.a WHERE regexp_full_match(x.a, 'AC[0-9]{{4,}}') AND {_DIGITS('x.a', 3)}
               UNION SELECT x.id, y.id FROM r x JOIN r y ON x.c = y.c WHERE regexp_full_match(x.c, 'CS[0-9]{{8,}}') AND {_DIGITS('x.c', 7)}
-              UNION SELECT x.id, y.id FROM r x JOIN r y ON x.p = lower(y.id) UNION SELECT y.id, x.id FROM r x JOIN r y ON x.p = lower(y.id)),
+              UNION SELECT x.id, y.id FROM r x JOIN k y ON x.p = lower(trim(y.id)) UNION SELECT y.id, x.id FROM r x JOIN k y ON x.p = lower(trim(y.id))),
         reach AS (SELECT DISTINCT u AS id, u AS root FROM e UNION SELECT e.v, reach.root FROM reach JOIN e ON reach.id = e.u)
         SELECT id AS call_id, min(root) AS group_id FROM reach GROUP BY id HAVING count(*) > 1""",
     "p4_found": """

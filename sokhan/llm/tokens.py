@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -78,11 +80,13 @@ def _language(text: str, label: str | None) -> str:
 def sized(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of ``documents`` (doc_id, text, source, lang): source names lower case with underscores, languages fa, en or ar.
 
-    Documents with a null id or text, or without a token, are left out; they have no size. Texts are read whole.
+    Documents with a null id or text, or without a token, are left out; they have no size. Texts are read whole. The tokenizer's file is sent to the executors that don't have it.
     """
+    if os.path.exists(path):
+        documents.sparkSession.sparkContext.addFile(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        count = token_counter(path)
+        count = token_counter(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
         for b in batches:
             both = [count(t) for t in b.text]
             yield pd.DataFrame(

@@ -10,7 +10,7 @@ from sokhan.llm.consensus import Consensus
 from sokhan.llm.defects import DEFECTS, Defects, LabelModel, damaged, votes
 from sokhan.llm.grouping import allot, call_groups, call_splits, components, difference, group_splits, plan_bins
 from sokhan.llm.names import link_names, mentions
-from sokhan.llm.ranking import rank_within
+from sokhan.operators.ranking import rank_within
 
 LOG = "line_no long, id string, model string, verdict string"
 
