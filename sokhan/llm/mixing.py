@@ -16,6 +16,8 @@ from sokhan.materialize import materialize
 from sokhan.operators.ranking import rank_within
 
 Cell = tuple[str, str, str]
+#: Starts of the systematic sample that each source may choose from.
+STARTS = 64
 
 
 def feasible_total(tokens: dict[str, int], targets: dict[str, float], repeats: dict[str, int]) -> float:
@@ -78,7 +80,7 @@ class Mixture:
     """
 
     def __init__(self, sizes: DataFrame, targets: list[tuple[str, float, int]], total: float | None = None, marginals: tuple[dict[str, float], dict[str, float]] | None = None):
-        self.targets = targets
+        self.targets, self._drawn = targets, None
         share, repeats = {s: t for s, t, _ in targets}, {s: r for s, _, r in targets}
         self.sizes = materialize(sizes.filter(F.col("source").isin([s for s, _, _ in targets])))
         rows = self.sizes.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("t")).collect()
@@ -93,25 +95,35 @@ class Mixture:
     def draw(self) -> DataFrame:
         """(doc_id, source_name, n_tokens, copies): documents with at least one copy.
 
-        A document's calibrated number of copies is its cell's rate. Systematic sampling: a source's documents are laid in a row, larger ones first, each as long as its rate, and a document has as many
-        copies as whole numbers, from a half on, fall on it. So every document has its rate as its expectation and at least its whole part, and neighbours, which are of like size, make up for one
-        another. A document's place is its stratum's beginning, from a table of bounded length, and its rank in the stratum.
+        A document's calibrated number of copies is its cell's rate. Systematic sampling: a source's documents are laid in a row, cell by cell and in hash order, each as long as its rate, and a document has as many
+        copies as marks, one at each whole number and shifted by a start, fall on it. So every document has its rate as its expectation, and each cell its share of the marks but for one. Of ``STARTS``
+        evenly spaced starts each source takes the one whose tokens come nearest to its aim. A document's place is its cell's beginning, from the table of cells, and its rank in the cell.
         """
+        if self._drawn is not None:
+            return self._drawn
         spark = self.sizes.sparkSession
-        classed = self.sizes.withColumn("_size", F.floor(F.log2("n_tokens") * 4).cast("int"))
-        strata = classed.groupBy("source", "lang", "topic", "_size").agg(F.count("*").alias("n")).collect()
-        at: dict[str, float] = defaultdict(lambda: 0.5)
+        cells = self.sizes.groupBy("source", "lang", "topic").agg(F.count("*").alias("n")).collect()
+        at: dict[str, float] = defaultdict(float)
         rows = []
-        for r in sorted(strata, key=lambda r: (-r["_size"], r.source, r.lang, r.topic)):
+        for r in sorted(cells, key=lambda r: (r.source, r.lang, r.topic)):
             rate = self.copies.get((r.source, r.lang, r.topic), 0.0)
-            rows.append((r.source, r.lang, r.topic, r["_size"], rate, at[r.source]))
+            rows.append((r.source, r.lang, r.topic, rate, at[r.source]))
             at[r.source] += rate * r.n
-        table = spark.createDataFrame(rows or [("", "", "", 0, 0.0, 0.0)], "source string, lang string, topic string, _size int, _rate double, _at double")
-        keyed = classed.join(F.broadcast(table), ["source", "lang", "topic", "_size"]).withColumn("_stratum", F.concat_ws("|", "source", "lang", "topic", F.col("_size").cast("string")))
-        ranked = rank_within(keyed, "_stratum", "doc_id", "_rank")
-        upto = lambda r: F.floor(F.col("_at") + r * F.col("_rate") + 1e-9)
-        copies = upto(F.col("_rank") + 1) - upto(F.col("_rank"))
-        return ranked.select("doc_id", F.col("source").alias("source_name"), "n_tokens", copies.cast("int").alias("copies")).filter("copies > 0")
+        table = spark.createDataFrame(rows or [("", "", "", 0.0, 0.0)], "source string, lang string, topic string, _rate double, _at double").filter("_rate > 0")
+        keyed = self.sizes.join(F.broadcast(table), ["source", "lang", "topic"]).withColumn("_cell", F.concat_ws("|", "source", "lang", "topic"))
+        ranked = rank_within(keyed, "_cell", "doc_id", "_rank")
+        placed = materialize(ranked.select("doc_id", "source", "n_tokens", (F.col("_at") + F.col("_rank") * F.col("_rate")).alias("_from"), (F.col("_at") + (F.col("_rank") + 1) * F.col("_rate")).alias("_to")))
+        marks = lambda start: F.floor(F.col("_to") + start + 1e-9) - F.floor(F.col("_from") + start + 1e-9)
+        starts = [(j + 0.5) / STARTS for j in range(STARTS)]
+        totals = placed.groupBy("source").agg(F.array(*(F.sum(marks(F.lit(x)) * F.col("n_tokens")) for x in starts)).alias("t")).collect()
+        aim: dict[str, float] = defaultdict(float)
+        for c, w in self.weights.items():
+            aim[c[0]] += w
+        best = [(r.source, min(zip(r.t, starts), key=lambda x: (abs(x[0] - aim[r.source]), x[1]))[1]) for r in totals]
+        chosen = spark.createDataFrame(best or [("", 0.5)], "source string, _start double")
+        copies = marks(F.col("_start")).cast("int")
+        self._drawn = placed.join(F.broadcast(chosen), "source").select("doc_id", F.col("source").alias("source_name"), "n_tokens", copies.alias("copies")).filter("copies > 0")
+        return self._drawn
 
     def report(self) -> DataFrame:
         """(source_name, target_share, max_repeats, available_tokens, drawn_documents, drawn_tokens, actual_share): a row per target."""
