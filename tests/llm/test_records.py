@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sokhan.llm.consensus import Consensus
-from sokhan.llm.defects import DEFECTS, Defects, LabelModel, damaged, votes
+from sokhan.llm.defects import DEFECTS, Defects, LabelModel, Learnt, damaged, votes
 from sokhan.llm.grouping import allot, call_groups, call_splits, components, difference, group_splits, plan_bins
 from sokhan.llm.names import link_names, mentions
 from sokhan.operators.ranking import rank_within
@@ -81,12 +81,21 @@ def test_defects(spark):
 
 def test_validation_pairs_are_told_apart():
     for truth, a, b in damaged(*SOUND):
-        got = votes(a, b, SOUND[1], [])
+        got = votes(a, b, SOUND[1], [], Learnt([(SOUND[0], [])] * 20))
         told = {d for d in DEFECTS if sum(got[d]) * 2 > len(got[d])}
         # a refusal in English is in another language, too
         assert told - {"other_language"} == {truth} - {"", "other_language"} and (truth != "other_language" or told == {truth})
 
 
+def test_refusals_are_learnt_from_rejected_lines():
+    rows = [(SOUND[0], ["I regret that this one is not for me", "3 a → b"]), (SOUND[0], ["I regret this is beyond me", "That one I must pass on", "I must pass on this one"])] * 5
+    learnt = Learnt(rows)
+    assert learnt.refuses("I regret that I must pass on this one".split()) and not learnt.refuses(SOUND[1].split()) and not learnt.refuses(["regret"])
+    assert votes(SOUND[0], "I regret that I must pass on this one.", SOUND[1], [], learnt)["refusal"][3] == 1
+    assert learnt.surprise("Die Bestellung wartet noch auf den Karton") > learnt.surprise(SOUND[1]) + 1
+    assert Learnt([]).surprise("") == 0.0 and not Learnt([]).refuses(["a"] * 9)
+
+
 def test_label_model_finds_the_rare_class():
     rng, counts = random.Random(5), Counter()
     for _ in range(4000):
