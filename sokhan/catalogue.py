@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sokhan.plans import editing, judging, transcripts
+from sokhan.plans import editing, files, judging, transcripts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**transcripts.QUERIES, **editing.QUERIES, **judging.QUERIES}
-SQL: dict[str, str] = {**transcripts.SQL, **editing.SQL, **judging.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**transcripts.QUERIES, **editing.QUERIES, **judging.QUERIES, **files.QUERIES}
+SQL: dict[str, str] = {**transcripts.SQL, **editing.SQL, **judging.SQL, **files.SQL}

@@ -41,3 +41,11 @@ def pad_batches(ex: DataFrame, key: str, batch: Column) -> DataFrame:
     b = ex.select(key, F.size("tokens").alias("n"), batch.alias("batch"))
     return b.join(b.groupBy("batch").agg(F.max("n").alias("width")), "batch").select(key, "batch", "n", "width")
 
+
+
+def token_totals(ex: DataFrame) -> DataFrame:
+    """(status, examples, tokens, ignored_tokens, weighted_tokens, weighted_examples) of examples: what was cut, what a loss leaves out, what it weighs otherwise than 1."""
+    ignored, weighted = F.size(F.filter("labels", lambda x: x == IGNORED)), F.size(F.filter("weights", lambda x: x != 1.0))
+    return ex.groupBy("status").agg(
+        F.count("*").alias("examples"), F.sum(F.size("tokens")).alias("tokens"), F.sum(ignored).alias("ignored_tokens"), F.sum(weighted).alias("weighted_tokens"), F.count_if(weighted > 0).alias("weighted_examples")
+    )

@@ -193,3 +193,26 @@ def compare_runs(metrics: DataFrame, a: str, b: str) -> DataFrame:
 def series_summary(series: DataFrame) -> DataFrame:
     """(run, tag, n, last, least, most)."""
     return series.groupBy("run", "tag").agg(F.count("*").alias("n"), F.max_by("value", "step").alias("last"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+def describe(df: DataFrame, value: Column) -> DataFrame:
+    """One row: n, mean, least, most and the quartiles (approximate, one pass) of a number; nulls don't count."""
+    q = F.percentile_approx("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10_000))
+    return df.select(value.alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), q.alias("quartiles"))
+
+
+def no_edit_probability(windows: DataFrame) -> DataFrame:
+    """One row (with_edits, without_edits, auc) of (p_none, has_edits): the mean chance that nothing is to be done where there are edits and where there are none, 0 for no window, and how often a window with edits has the smaller one."""
+    mean = lambda c: F.sum(F.when(c, F.col("p_none")).otherwise(0.0)) / F.greatest(F.count_if(c), F.lit(1))
+    means = windows.agg(mean(F.col("has_edits")).alias("with_edits"), mean(~F.col("has_edits")).alias("without_edits"))
+    return means.crossJoin(auc(windows.select(F.col("p_none").alias("score"), F.col("has_edits").alias("positive")), higher=False).select("auc"))
+
+
+def tags_of(series: DataFrame) -> DataFrame:
+    """(run, tags): the sorted names of each run's series."""
+    return series.groupBy("run").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+
+
+def series_of(series: DataFrame, run, tag: str) -> DataFrame:
+    """(step, value) of one series."""
+    return series.filter((F.col("run") == run) & (F.col("tag") == tag)).select("step", "value")

@@ -476,6 +476,13 @@ _NAMES = f"coalesce(list_distinct(list_filter(flatten(list_transform(crm_names,
 # letters as single bytes, for the distance counts bytes: Persian ones become signs and capitals that no span holds
 _BYTES = "ابپتجچخدرزژسشعفقکگلمنویحأإآؤئةءكيَُِّ۰۱۲۳۴۵۶۷۸۹é", "".join(map(chr, (*range(1, 9), *range(14, 32), *b"!#$%&*+<=>@^_`{|}~[]"))) + "".join(map(chr, range(0x3A, 0x3C)))
 _SOUND = lambda t: f"translate(translate(replace({t}, '{Z}', ''), '{T.SOUND_FROM}', '{T.SOUND_TO}'), '{_BYTES[0]}', '{_BYTES[1]}')"
+_APPLIED = f"""src AS (SELECT window_id, {Q.words("coalesce(source, '')")} AS ws, coalesce(len(edits), 0) AS n FROM win),
+        r AS (SELECT ed.*, CASE WHEN NOT (start_word >= 0 AND start_word <= end_word AND end_word <= len(ws)) THEN 'out_of_range' WHEN ws[start_word + 1 : end_word] <> original THEN 'original_mismatch' WHEN original = replacement THEN 'no_op'
+            WHEN {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} THEN 'touches_number' END AS why FROM ed JOIN src USING (window_id)),
+        v AS (SELECT a.*, coalesce(a.why, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.window_id = a.window_id AND b.k < a.k AND b.why IS NULL AND a.start_word < b.end_word AND b.start_word < a.end_word) THEN 'overlap' ELSE 'ok' END) AS reason FROM r a),
+        w AS (SELECT window_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM src),
+        d AS (SELECT w.window_id, i, CASE WHEN e.k IS NULL THEN word WHEN e.start_word = i THEN nullif(array_to_string(e.replacement, ' '), '') END AS word FROM w LEFT JOIN v e ON e.window_id = w.window_id AND e.reason = 'ok' AND e.start_word <= i AND i < e.end_word),
+        c AS (SELECT window_id, string_agg(word, ' ' ORDER BY i) AS corrected FROM d GROUP BY 1)"""
 _LEN = lambda t: f"len({Q.words(t)})"
 
 SQL = {
@@ -510,20 +517,36 @@ SQL = {
     "q22_phonetic_similarity": f"""WITH s AS (SELECT DISTINCT whisper_span AS w, soniox_span AS o FROM judge_items WHERE whisper_span IS NOT NULL AND soniox_span IS NOT NULL),
         k AS (SELECT w, o, {_SOUND("w")} AS a, {_SOUND("o")} AS b, {_SOUND(Q.squash("w"))} AS c, {_SOUND(Q.squash("o"))} AS d FROM s)
         SELECT w AS whisper_span, o AS soniox_span, CASE WHEN a = '' AND b = '' THEN 1.0 ELSE 1 - levenshtein(a, b) / greatest(length(a), length(b)) END AS spoken, CASE WHEN c = '' AND d = '' THEN 1.0 ELSE 1 - levenshtein(c, d) / greatest(length(c), length(d)) END AS squashed FROM k""",
-    "q19_validate_apply": f"""WITH {Q.WIN}, {Q.EDITS}, src AS (SELECT window_id, {Q.words("coalesce(source, '')")} AS ws, coalesce(len(edits), 0) AS n FROM win),
-        r AS (SELECT ed.*, CASE WHEN NOT (start_word >= 0 AND start_word <= end_word AND end_word <= len(ws)) THEN 'out_of_range' WHEN ws[start_word + 1 : end_word] <> original THEN 'original_mismatch' WHEN original = replacement THEN 'no_op'
-            WHEN {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} THEN 'touches_number' END AS why FROM ed JOIN src USING (window_id)),
-        v AS (SELECT a.*, coalesce(a.why, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.window_id = a.window_id AND b.k < a.k AND b.why IS NULL AND a.start_word < b.end_word AND b.start_word < a.end_word) THEN 'overlap' ELSE 'ok' END) AS reason FROM r a),
-        reasons AS (SELECT window_id, string_agg(reason, ',' ORDER BY k) AS reasons FROM v GROUP BY 1),
-        w AS (SELECT window_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM src),
-        d AS (SELECT w.window_id, i, CASE WHEN e.k IS NULL THEN word WHEN e.start_word = i THEN nullif(array_to_string(e.replacement, ' '), '') END AS word FROM w LEFT JOIN v e ON e.window_id = w.window_id AND e.reason = 'ok' AND e.start_word <= i AND i < e.end_word),
-        c AS (SELECT window_id, string_agg(word, ' ' ORDER BY i) AS corrected FROM d GROUP BY 1)
+    "q19_validate_apply": f"""WITH {Q.WIN}, {Q.EDITS}, {_APPLIED}, reasons AS (SELECT window_id, string_agg(reason, ',' ORDER BY k) AS reasons FROM v GROUP BY 1)
         SELECT window_id, coalesce(reasons, '') AS reasons, coalesce(corrected, '') AS corrected FROM src LEFT JOIN reasons USING (window_id) LEFT JOIN c USING (window_id)""",
     "q37_cut_windows": f"""WITH RECURSIVE {Q.WIN}, n AS (SELECT window_id, {_LEN("coalesce(source, '')")} AS n, coalesce(edits, []) AS es FROM win),
         cuts AS (SELECT window_id, n, es, 0::BIGINT AS a, least(n, 30 + CAST('0x' || substr(md5(window_id || ':0'), 1, 8) AS BIGINT) % 31) AS z FROM n WHERE n > 0
             UNION ALL SELECT window_id, n, es, z, least(n, z + 30 + CAST('0x' || substr(md5(window_id || ':' || z), 1, 8) AS BIGINT) % 31) FROM cuts WHERE z < n)
         SELECT window_id, a, z, len(list_filter(es, lambda e: e.start_word >= a AND e.end_word <= z AND NOT (e.start_word = z AND e.end_word = z AND z < n))) AS inside FROM cuts WHERE (z - a >= 20 OR a = 0)
         AND len(list_filter(es, lambda e: (e.start_word < a AND a < e.end_word) OR (e.start_word < z AND z < e.end_word))) = 0""",
+    "q39_window_merge": f"""WITH {Q.WIN}, {Q.EDITS}, {_APPLIED}, n AS (SELECT window_id, len(ws) AS n FROM src),
+        s AS (SELECT window_id, n, unnest(CASE WHEN n <= 50 THEN [0] WHEN (n - 50) % 25 = 0 THEN range(0, n - 49, 25) ELSE list_append(range(0, n - 49, 25), n - 50) END) AS s FROM n),
+        k AS (SELECT *, least(s + 50, n) AS z, lead(s) OVER w IS NULL AS final, lag(s + 37) OVER w AS p FROM s WINDOW w AS (PARTITION BY window_id ORDER BY s)),
+        pl AS (SELECT window_id, s, z, CASE WHEN p IS NULL THEN 0 ELSE least(p, n) END AS cs, CASE WHEN final THEN n ELSE least(s + 37, n) END AS ce FROM k),
+        said AS (SELECT v.window_id, v.k, reason, start_word >= cs AND start_word < ce AS own FROM v JOIN pl ON v.window_id = pl.window_id AND v.start_word >= s AND v.end_word <= z),
+        g AS (SELECT window_id, count(*) FILTER (reason = 'ok' AND own) AS n_edits, count(*) FILTER (reason = 'ok' AND NOT own) AS n_outside, count(*) FILTER (reason <> 'ok') AS n_rejected FROM said GROUP BY 1)
+        SELECT src.window_id AS key, coalesce(corrected, '') AS corrected, coalesce(n_edits, 0) AS n_edits, coalesce(n_outside, 0) AS n_outside, coalesce(n_rejected, 0) AS n_rejected FROM src LEFT JOIN g USING (window_id) LEFT JOIN c USING (window_id)""",
+    "q58_loop_trim": f"WITH {Q.PRED} SELECT pred_id, true AS looped, {_LEN("coalesce(output, '')")} + 2 AS n FROM pred",
+    "q72_assemble_windows": f"""WITH RECURSIVE {Q.WIN}, r AS (SELECT window_id AS row_id, call_id, {Q.words("coalesce(source, '')")} AS ws, coalesce(edits, []) AS es FROM win), n AS (SELECT *, len(ws) AS n FROM r),
+        cuts AS (SELECT row_id, n, 0::BIGINT AS a, least(n, 40 + CAST('0x' || substr(md5(row_id || ':0'), 1, 8) AS BIGINT) % 41) AS z FROM n WHERE n > 0
+            UNION ALL SELECT row_id, n, z, least(n, z + 40 + CAST('0x' || substr(md5(row_id || ':' || z), 1, 8) AS BIGINT) % 41) FROM cuts WHERE z < n),
+        x AS (SELECT row_id, unnest(es) AS e, generate_subscripts(es, 1) - 1 AS i FROM r),
+        d AS (SELECT row_id, i, e.start_word AS s, e.end_word AS t, {Q.words("coalesce(e.original, '')")} AS original, {Q.words("coalesce(e.replacement, '')")} AS replacement, e.stratum AS stratum, substr(sha1(row_id || chr(31) || i), 1, 16) AS id FROM x),
+        w AS (SELECT * FROM cuts WHERE (z - a >= 20 OR a = 0) AND NOT EXISTS (SELECT 1 FROM d WHERE d.row_id = cuts.row_id AND ((s < a AND a < t) OR (s < z AND z < t)))),
+        j AS (SELECT w.row_id, a, z, d.*, stratum IN ('entity', 'phonetic_sub', 'other_sub') AND len(original) > 0 AND len(replacement) > 0 AS judged, {Q.fraction("'decide:' || id")} AS u, {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} AS number
+            FROM w JOIN d ON d.row_id = w.row_id AND s >= a AND t <= z AND NOT (s = z AND t = z AND z < n)),
+        g AS (SELECT row_id, a, count(*) FILTER (judged) AS judged, count(*) FILTER (stratum IN ('garbled', 'long')) AS skip, count(*) FILTER (judged AND u >= 0.9) AS open, count(*) FILTER (judged AND u < 0.7 AND NOT number) AS n_edits, count(*) FILTER (judged AND u < 0.7 AND number) AS n_numbers FROM j GROUP BY 1, 2),
+        k AS (SELECT w.*, coalesce(n_edits, 0) AS n_edits, coalesce(n_numbers, 0) AS n_numbers FROM w LEFT JOIN g ON w.row_id = g.row_id AND w.a = g.a WHERE coalesce(skip, 0) = 0 AND coalesce(open, 0) = 0 AND coalesce(judged, 0) <= greatest(1, round_even((w.z - w.a) * 3 / 50.0::DOUBLE, 0))),
+        words AS (SELECT k.row_id, k.a, w, p FROM (SELECT row_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM r) q JOIN k ON q.row_id = k.row_id AND p >= k.a AND p < k.z),
+        tg AS (SELECT words.row_id, words.a, string_agg(CASE WHEN e.id IS NULL THEN w WHEN e.s = p THEN array_to_string(e.replacement, ' ') END, ' ' ORDER BY p) AS target FROM words
+            LEFT JOIN j e ON e.row_id = words.row_id AND e.a = words.a AND e.judged AND e.u < 0.7 AND NOT e.number AND e.s <= p AND p < e.t GROUP BY 1, 2)
+        SELECT k.row_id || ':' || k.a AS window_id, call_id, array_to_string(ws[greatest(k.a - 15, 0) + 1 : k.a], ' ') AS left_context, array_to_string(ws[k.a + 1 : k.z], ' ') AS source, array_to_string(ws[k.z + 1 : k.z + 15], ' ') AS right_context, target, k.n_edits, k.n_numbers
+        FROM k JOIN r ON r.row_id = k.row_id LEFT JOIN tg ON tg.row_id = k.row_id AND tg.a = k.a""",
     "q20_edit_roundtrip": f"WITH {Q.WIN} SELECT count(*) AS windows, count(*) AS same FROM win WHERE source IS NOT NULL AND target_text IS NOT NULL",
     "q21_edit_flags": f"""WITH {Q.WIN}, {Q.EDITS} SELECT window_id, k, CASE WHEN len(original) = 0 THEN 'insert' WHEN len(replacement) = 0 THEN 'delete' ELSE 'substitute' END AS kind,
         {_TOUCH} AND {_FLAT('original')} <> {_FLAT('replacement')} AS number, {Q.squash("array_to_string(original, ' ')")} = {Q.squash("array_to_string(replacement, ' ')")} AS spacing_only,

@@ -70,3 +70,29 @@ def best_per_run(stream: DataFrame, path: str, checkpoint: str) -> None:
         return new.select("run", F.col("b.value").alias("best"), F.col("b.step").alias("at_step"))
 
     _keep_versions(stream, path, checkpoint, "append", merged)
+
+
+def route_answers(stream: DataFrame, items: DataFrame, rejects: tuple[str, ...], path: str, checkpoint: str) -> None:
+    """A cascade as a stream: each batch of the cheap judge's answers (id, label) sends the items it doesn't reject on to the main judge, in a folder of versions (id, asked_in).
+
+    An item is sent once, whatever is answered later; ``items``: (id), what may be asked at all.
+    """
+
+    def merged(batch: DataFrame, old: DataFrame | None) -> DataFrame:
+        fresh = batch.filter(~F.col("label").isin(*rejects)).select("id").distinct().join(items.select("id").distinct(), "id", "left_semi")
+        if old is None:
+            return fresh.withColumn("asked_in", F.lit(0))
+        return old.unionByName(fresh.join(old.select("id"), "id", "left_anti").crossJoin(F.broadcast(old.agg((F.max("asked_in") + 1).alias("asked_in")))))
+
+    _keep_versions(stream, path, checkpoint, "append", merged)
+
+
+def progress(log: DataFrame, total: int, time: str, cost: str) -> DataFrame:
+    """One row (done, total, share, cost, seconds, eta_seconds, projected_cost) of an answer log so far; nothing is foretold before the second answer."""
+    g = log.agg(F.count("*").alias("done"), F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"), (F.unix_micros(F.max(time).cast("timestamp")) - F.unix_micros(F.min(time).cast("timestamp"))).alias("us"))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+    each = lambda c: F.when(F.col("done") > 1, F.col(c) / F.col("done"))
+    return g.withColumn("seconds", F.coalesce(F.col("us"), F.lit(0)) / 1e6).select(
+        "done", F.lit(total).alias("total"), (F.col("done") / F.lit(max(total, 1))).alias("share"), "cost", "seconds",
+        F.when(F.col("done") > 1, F.col("seconds") / (F.col("done") - 1) * left).alias("eta_seconds"), (F.col("cost") + each("cost") * left).alias("projected_cost"),
+    )
