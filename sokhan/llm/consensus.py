@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import warnings
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sokhan.materialize import discard, materialize
@@ -46,13 +46,28 @@ def usable_labels(log: DataFrame) -> DataFrame:
 
 
 
+def _by_model(rows: list[Row]) -> dict[str, list[Row]]:
+    out: dict[str, list[Row]] = {}
+    for r in rows:
+        out.setdefault(r.model, []).append(r)
+    return out
+
+
+def _pooled(rows: list[Row], k: int) -> list[Row]:
+    """The rows of (model, vote) added up by vote."""
+    votes: dict[int, list[Row]] = {}
+    for r in rows:
+        votes.setdefault(r.vote, []).append(r)
+    return [Row(vote=v, n=sum(r.nv for r in rs), moved=max(r.moved for r in rs), **{f"g{c}": sum(r[f"v{c}"] for r in rs) for c in range(k)}) for v, rs in votes.items()]
+
+
 def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE, prior: float = PRIOR) -> tuple[DataFrame, DataFrame]:
     """(items, edges) of ``labels`` (id, model, label) after the last round.
 
     items: (id, n_labels, s0 .. s3) with the log odds of each class against the rest; edges: (id, model, vote, p0 .. p3) with what the
     item told the annotator. An empty table gives empty tables.
     """
-    k = len(CLASSES)
+    k, spark = len(CLASSES), labels.sparkSession
     vote = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label")) - 1
     edges = labels.select("id", "model", vote.cast("int").alias("vote"))
     votes = edges.groupBy("id").agg(F.count("*").alias("n"), *(F.sum((F.col("vote") == c).cast("double")).alias(f"n{c}") for c in range(k)))
@@ -65,8 +80,27 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
     items = None
     # annotators and their labels are few against the edges; only if they are, their table is sent to the tasks
     small = edges.select("model").distinct().count() <= MOST_BROADCAST
+    # the columns of a round, made once: what labels say, what items hear, what they answer, how far that moved
+    names = range(k)
+    p = [F.col(f"p{c}") for c in names]
+    spoken = [F.col(x) for x in ("id", "model", "vote")] + p + [F.col(f"lp{c}") for c in names]
+    for c in names:
+        yes = (F.col(f"v{c}") - p[c] + prior * F.col(f"yes{c}")) / (F.col(f"a{c}") - p[c] + prior)
+        no = (F.col("nv") - F.col(f"v{c}") - (1 - p[c]) + prior * F.col(f"no{c}")) / (F.col("na") - F.col(f"a{c}") - (1 - p[c]) + prior)
+        spoken.append(F.log(F.greatest(yes, F.lit(1e-6)) / F.greatest(no, F.lit(1e-6))).alias(f"l{c}"))
+    # an item's labels meet in one task, where it answers each of them; the round is written once
+    item = Window.partitionBy("id")
+    heard = [F.col("*"), F.count("*").over(item).alias("n_labels"), *((F.sum(f"l{c}").over(item) + F.col(f"lp{c}")).alias(f"s{c}") for c in names)]
+    kept = [F.col(x) for x in ("id", "model", "vote", "n_labels", *(f"s{c}" for c in names))]
+    answered = [*kept, *(F.col(f"p{c}").alias(f"old{c}") for c in names), *((1 / (1 + F.exp(-(F.col(f"s{c}") - F.col(f"l{c}"))))).alias(f"o{c}") for c in names)]
+    norm = sum((F.col(f"o{c}") for c in range(1, k)), F.col("o0"))
+    new = [F.col(f"o{c}") / norm for c in names]
+    settled = [*kept, *(x.alias(f"p{c}") for c, x in enumerate(new)), F.greatest(*(F.abs(x - F.col(f"old{c}")) for c, x in enumerate(new))).alias("moved")]
+    of_edges = [F.count("*").alias("nv"), F.max("moved").alias("moved"), *(F.sum(f"p{c}").alias(f"v{c}") for c in names)]
     for done in range(rounds + 1):
-        pooled = edges.groupBy("vote").agg(F.count("*").alias("n"), F.max("moved").alias("moved"), *(F.sum(f"p{c}").alias(f"g{c}") for c in range(k))).collect()
+        of_vote = edges.groupBy("model", "vote").agg(*of_edges)
+        rows = of_vote.collect() if small else None
+        pooled = _pooled(rows, k) if rows is not None else of_vote.groupBy("vote").agg(F.sum("nv").alias("n"), F.max("moved").alias("moved"), *(F.sum(f"v{c}").alias(f"g{c}") for c in range(k))).collect()
         if not pooled or done and max(r.moved for r in pooled) < tolerance:
             break
         if done == rounds:
@@ -78,34 +112,18 @@ def message_passing(labels: DataFrame, rounds: int = ROUNDS, tolerance: float =
         belief = lambda v, c: BELIEF * (0.7 if v == c else 0.3 / (k - 1))
         share = {(r.vote, c): (r[f"g{c}"] + belief(r.vote, c)) / (mass[c] + BELIEF) for r in pooled for c in range(k)}
         rest = {(r.vote, c): sum(r[f"g{d}"] + belief(r.vote, d) for d in range(k) if d != c) / (total - mass[c] + BELIEF * (k - 1)) for r in pooled for c in range(k)}
-        log_prior = [F.lit(math.log(mass[c] / (total - mass[c] + 1e-9))) for c in range(k)]
-
-        def pick(table: dict, c: int) -> Column:
-            out = F.lit(0.01)
-            for v in range(k):
-                out = F.when(F.col("vote") == v, F.lit(float(table.get((v, c), 0.01)))).otherwise(out)
-            return out
-
-        by_vote = edges.groupBy("model", "vote").agg(F.count("*").alias("nv"), *(F.sum(f"p{c}").alias(f"v{c}") for c in range(k)))
-        whole = by_vote.groupBy("model").agg(F.sum("nv").alias("na"), *(F.sum(f"v{c}").alias(f"a{c}") for c in range(k)))
-        votes_of = by_vote.join(whole, "model")
+        # what all annotators share travels as columns, so that every round runs the same compiled code
+        common = {v: [x for c in range(k) for x in (share.get((v, c), 0.01), rest.get((v, c), 0.01), math.log(mass[c] / (total - mass[c] + 1e-9)))] for v in range(k)}
+        columns = ", ".join(f"yes{c} double, no{c} double, lp{c} double" for c in range(k))
+        if small:
+            all_of = {m: [sum(x) for x in zip(*((r.nv, *(r[f"v{c}"] for c in range(k))) for r in group))] for m, group in _by_model(rows).items()}
+            schema = "model string, vote int, nv long, na long, " + ", ".join(f"v{c} double, a{c} double" for c in range(k)) + ", " + columns
+            votes_of = spark.createDataFrame([(r.model, r.vote, r.nv, all_of[r.model][0], *(x for c in range(k) for x in (r[f"v{c}"], all_of[r.model][c + 1])), *common[r.vote]) for r in rows], schema)
+        else:
+            whole = of_vote.groupBy("model").agg(F.sum("nv").alias("na"), *(F.sum(f"v{c}").alias(f"a{c}") for c in range(k)))
+            votes_of = of_vote.drop("moved").join(whole, "model").join(F.broadcast(spark.createDataFrame([(v, *x) for v, x in common.items()], "vote int, " + columns)), "vote")
         told = edges.join(F.broadcast(votes_of) if small else votes_of, ["model", "vote"])
-        p = [F.col(f"p{c}") for c in range(k)]
-        speak = []
-        for c in range(k):
-            yes = (F.col(f"v{c}") - p[c] + prior * pick(share, c)) / (F.col(f"a{c}") - p[c] + prior)
-            no = (F.col("nv") - F.col(f"v{c}") - (1 - p[c]) + prior * pick(rest, c)) / (F.col("na") - F.col(f"a{c}") - (1 - p[c]) + prior)
-            speak.append(F.log(F.greatest(yes, F.lit(1e-6)) / F.greatest(no, F.lit(1e-6))).alias(f"l{c}"))
-        told = told.select("id", "model", "vote", *(f"p{c}" for c in range(k)), *speak)
-        score = lambda c: F.sum(f"l{c}").over(Window.partitionBy("id")) + log_prior[c]
-        # an item's labels meet in one task, where it answers each of them; the round is written once
-        heard = told.select("*", F.count("*").over(Window.partitionBy("id")).alias("n_labels"), *(score(c).alias(f"s{c}") for c in range(k)))
-        odds = [1 / (1 + F.exp(-(F.col(f"s{c}") - F.col(f"l{c}")))) for c in range(k)]
-        raw = heard.select("id", "model", "vote", "n_labels", *(f"s{c}" for c in range(k)), *(F.col(f"p{c}").alias(f"old{c}") for c in range(k)), *(o.alias(f"o{c}") for c, o in enumerate(odds)))
-        norm = sum((F.col(f"o{c}") for c in range(1, k)), F.col("o0"))
-        new = raw.select("id", "model", "vote", "n_labels", *(f"s{c}" for c in range(k)), *(f"old{c}" for c in range(k)), *((F.col(f"o{c}") / norm).alias(f"p{c}") for c in range(k)))
-        moved = F.greatest(*(F.abs(F.col(f"p{c}") - F.col(f"old{c}")) for c in range(k)))
-        before, edges = edges, materialize(new.withColumn("moved", moved).drop(*(f"old{c}" for c in range(k))))
+        before, edges = edges, materialize(told.select(*spoken).select(*heard).select(*answered).select(*settled))
         discard(before)
         items = edges
     if items is None:

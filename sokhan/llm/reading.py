@@ -31,7 +31,7 @@ from sokhan.materialize import materialize
 
 SLOTS = 1 << 18
 MIN_WORDS = 20
-ROUNDS, TOLERANCE = 20, 5e-4
+ROUNDS, TOLERANCE = 20, 1e-3
 #: Levels between two grades that are told apart, scaling steps a round, occurrences that hold a word to its share of the corpus.
 FINE, STEPS, SMOOTH = 8, 3, 0.25
 #: Weight of a specimen against a document of the same length.
@@ -96,12 +96,24 @@ class Difficulties:
         self.ease = np.full((slots, k), -np.log(slots), np.float64)
         self.settle()
 
-    def settle(self) -> None:
-        """Recomputes log Z over the grid; at the grades themselves it is taken into the eases."""
-        k = len(self.hat)
-        if k:
-            self.ease -= np.log(np.exp(self.ease).sum(0, keepdims=True))
-        self.log_z = np.array([np.log(np.exp(self.ease @ h).sum()) for h in self.hat.T])
+    def settle(self, some: np.ndarray | None = None) -> None:
+        """Recomputes log Z over the grid; at the grades themselves it is taken into the eases. Slots other than ``some`` are all alike, so one stands for them."""
+        if not len(self.hat):
+            self.log_z = np.zeros(1)
+            return
+        few, times = self._few(some)
+        shift = np.log(times @ np.exp(few))
+        self.ease -= shift
+        few = few - shift
+        self.log_z = np.array([np.log(times @ np.exp(few @ h)) for h in self.hat.T])
+
+    def _few(self, some: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The eases of ``some`` slots and one that stands for the others, and how many slots each stands for."""
+        if some is None:
+            some = np.zeros(len(self.ease), bool)
+        others = len(some) - int(some.sum())
+        few = self.ease[some] if not others else np.vstack([self.ease[some], self.ease[~some][:1]])
+        return few, np.concatenate([np.ones(int(some.sum())), [float(others)] if others else []])
 
     def log_likelihood(self, sums: np.ndarray, n: np.ndarray) -> np.ndarray:
         """(documents, levels) from the documents' sums of eases and their numbers of slots."""
@@ -113,16 +125,21 @@ class Difficulties:
         A slot is held to its share of the corpus by pseudo documents at each grade in which it occurs ``SMOOTH`` times, less if it is rarer.
         """
         k = len(self.hat)
-        whole = seen.sum(1, keepdims=True)
-        held = SMOOTH * (whole / max(whole.sum(), 1e-9) * k * len(seen)).clip(0.05, 1.0)
+        some = seen.sum(1) > 0
         for _ in range(steps):
-            expected = np.zeros_like(self.ease)
+            few, times = self._few(some)
+            own = seen[some] if len(few) == int(some.sum()) else np.vstack([seen[some], np.zeros((1, k))])
+            whole = own.sum(1, keepdims=True)
+            held = SMOOTH * (whole / max(whole.sum(), 1e-9) * k * len(seen)).clip(0.05, 1.0)
+            expected = np.exp(few) * (times @ held).sum()
             for g, h in enumerate(self.hat.T):
                 if text[g] > 0:
-                    expected += np.outer(np.exp(self.ease @ h - self.log_z[g]) * text[g], h)
-            expected += np.exp(self.ease) * held.sum()
-            self.ease += np.log((seen + held) / np.maximum(expected, 1e-12))
-            self.settle()
+                    expected += np.outer(np.exp(few @ h - self.log_z[g]) * text[g], h)
+            moved = np.log((own + held) / np.maximum(expected, 1e-12))
+            self.ease[some] += moved[: int(some.sum())]
+            if len(few) > int(some.sum()):
+                self.ease[~some] += moved[-1]
+            self.settle(some)
 
 
 def posterior(log_likelihood: np.ndarray) -> np.ndarray:
