@@ -254,9 +254,7 @@ def q38_window_select_quota(spark: SparkSession, d: str) -> DataFrame:
 def _window_outputs(spark: SparkSession, d: str) -> DataFrame:
     """Planned windows of training sources with their own words and the lines a perfect model would write for them; the source itself stays behind."""
     w = win(spark, d).select("window_id", T.words(F.coalesce("source", F.lit(""))).alias("ws"), "edits")
-    planned = W.plan(w.select("window_id", F.size("ws").alias("_count")), "window_id", F.col("_count"))
-    per = planned.groupBy("window_id").agg(F.collect_list(F.struct("start_word", "end_word", "core_start", "core_end")).alias("p"))
-    each = w.join(per, "window_id").select("window_id", "ws", "edits", F.explode("p").alias("p")).select("window_id", "ws", "edits", "p.*")
+    each = w.select("window_id", "ws", "edits", F.explode(W.plan_array(F.size("ws"))).alias("p")).select("window_id", "ws", "edits", "p.*")
     inside = lambda e: (e["start_word"] >= F.col("start_word")) & (e["end_word"] <= F.col("end_word"))
     shifted = F.transform(F.filter("edits", inside), lambda e: F.struct((e["start_word"] - F.col("start_word")).alias("start_word"), (e["end_word"] - F.col("start_word")).alias("end_word"), e["original"].alias("original"), e["replacement"].alias("replacement")))
     return each.select(F.col("window_id").alias("key"), "start_word", "core_start", "core_end", F.slice("ws", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")).alias("words"), W.render_target(shifted).alias("output"))
