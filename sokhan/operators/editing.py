@@ -56,16 +56,15 @@ def fold_edits(words: Column, edits: Column, allow_numbers: bool = False) -> Col
 
 
 def applied(words: Column, taken: Column) -> Column:
-    """The text of ``words`` with edits done that don't overlap: at each word what is put in before it, then what stands in its place. Of two insertions at one place the later comes first."""
+    """The text of ``words`` with edits done that don't overlap. What is put in at a word comes before what the word becomes; of two insertions at one place the later comes first.
 
-    def piece(i: Column) -> Column:
-        added = F.flatten(F.transform(F.filter(F.reverse(taken), lambda t: (t["s"] == i) & (t["e"] == i)), lambda t: t["r"]))
-        put = F.flatten(F.transform(F.filter(taken, lambda t: (t["s"] == i) & (t["e"] > i)), lambda t: t["r"]))
-        kept = F.when((i < F.size(words)) & ~F.exists(taken, lambda t: (t["s"] <= i) & (i < t["e"])), F.slice(words, i + 1, 1)).otherwise(F.array().cast("array<string>"))
-        return F.concat(added, put, kept)
-
-    changed = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words)), piece)), " ")
-    return F.when(F.size(taken) == 0, F.array_join(words, " ")).otherwise(changed)
+    A fold over the edits in order of place: the words up to the edit as they are, then what it puts there.
+    """
+    ordered = F.array_sort(F.transform(taken, lambda t, i: F.struct(t["s"].alias("s"), t["e"].alias("e"), (-i).alias("i"), t["r"].alias("r"))))
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
+    upto = lambda acc, end: F.slice(words, acc["at"] + 1, F.greatest(end - acc["at"], F.lit(0)))
+    done = F.aggregate(ordered, start, lambda acc, t: F.struct(F.concat(acc["out"], upto(acc, t["s"]), t["r"]).alias("out"), t["e"].alias("at")), lambda acc: F.concat(acc["out"], upto(acc, F.size(words))))
+    return F.array_join(F.when(F.size(taken) == 0, words).otherwise(done), " ")
 
 
 def as_arrays(edits: Column) -> Column:
