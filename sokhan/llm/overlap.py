@@ -137,15 +137,16 @@ def passage_hashes(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray,
     return which[:n][ok], at[:n][ok], acc[ok]
 
 
-def _folded_rows(df: DataFrame) -> DataFrame:
-    """(key, source, text) -> (key, source, norm, norm_id, n_words); blank texts are dropped, for they have no words to compare."""
+def _folded_rows(df: DataFrame, *more: str) -> DataFrame:
+    """(key, source, text, more texts) -> (key, source, more, norm, norm_id, n_words); blank texts are dropped, for they have no words to compare."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b["norm"] = [comparable(t) for t in b.text]
-            yield b.loc[b.norm != "", ["key", "source", "norm"]]
+            yield b.loc[b.norm != "", ["key", "source", *more, "norm"]]
 
-    return df.select("key", "source", "text").filter("key is not null and text is not null").mapInPandas(fold, "key string, source string, norm string").withColumns(
+    schema = ", ".join(f"{c} string" for c in ("key", "source", *more, "norm"))
+    return df.select("key", "source", *more, "text").filter("key is not null and text is not null").mapInPandas(fold, schema).withColumns(
         {"norm_id": F.xxhash64("norm"), "n_words": F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1}
     )
 
@@ -451,7 +452,10 @@ class Overlaps:
     """
 
     def __init__(self, evaluation: DataFrame, training: DataFrame, size: int = PASSAGE, shard: int = SHARD, chunk: int = CHUNK, share: float = SHARE):
-        self.ev, self.tr = materialize(_folded_rows(evaluation)), materialize(_folded_rows(training))
+        # both sides are folded in one job, and each is read from its own files again
+        side = lambda df, name: df.select(F.col("key").cast("string").alias("key"), "source", "text", F.lit(name).alias("side"))
+        both = materialize(_folded_rows(side(evaluation, "e").unionByName(side(training, "t")), "side"))
+        self.ev, self.tr = (both.filter(F.col("side") == x).drop("side") for x in "et")
         self.size = size
         self.texts = self.ev.select("norm_id", "norm").distinct()
         self.train_texts = self.tr.select("norm_id", "norm").distinct()
