@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 _PATH = "_cut_path"
 _own: dict[str, str] = {}
+_ours: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,14 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when this process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _ours:
+        atexit.register(_sweep)
+    _ours.add(path)
+    return path
+
+
+def _delete(path: str, spark: SparkSession | None) -> None:
+    if path.startswith("file:"):
+        shutil.rmtree(re.sub(r"^file:/*", "/", path), ignore_errors=True)
+    elif spark is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sweep() -> None:
+    """Deletes what is left of this process's cuts; results may read them until then."""
+    for path in _ours:
+        try:
+            _delete(path, SparkSession.getActiveSession())
+        except Exception:  # noqa: BLE001  the session may be gone
+            pass
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back.
 
     The copy is on storage that all executors share, so a lost executor costs a re-read, never a recomputation, and plans
-    that use ``df`` more than once compute it once. ``discard`` deletes it.
+    that use ``df`` more than once compute it once. ``discard`` deletes it, or else the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = scratch(spark, "cut")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     setattr(out, _PATH, path)
@@ -48,5 +75,5 @@ def discard(*cuts: DataFrame | None) -> None:
     for df in cuts:
         path = getattr(df, _PATH, None)
         if path:
-            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path, df.sparkSession)
+            _ours.discard(path)

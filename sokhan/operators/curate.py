@@ -46,11 +46,21 @@ def ratio_targets(n_a: int, n_b: int, share: float) -> tuple[int, int]:
     return (a, n_b) if a <= n_a else (n_a, min(round((1 - share) / share * n_a), n_b))
 
 
-def row_frequencies(rows: DataFrame, key: str, words: Column, freq: DataFrame) -> DataFrame:
-    """``rows`` with ``known``, an array of (word, freq) of those of the row's ``words`` that are in ``freq`` (word, freq); keys are unique. Joins only."""
-    said = rows.select(key, F.explode(F.array_distinct(words)).alias("word"))
-    known = said.join(freq.select("word", "freq"), "word").groupBy(key).agg(F.collect_list(F.struct("word", "freq")).alias("known"))
-    return rows.join(known, key, "left")
+#: Words so common that they are told from a table of this size, which is sent to the tasks.
+HOT = 10_000
+
+
+def row_rare_words(rows: DataFrame, key: str, words: Column, freq: DataFrame, common: int) -> DataFrame:
+    """``rows`` with ``rare``, an array of those of the row's ``words`` that ``freq`` (word, freq) has no more than ``common`` times or not at all; keys are unique.
+
+    The most frequent words, ``HOT`` of them, are set aside in the tasks, and only words that are rare at all are joined, so no hot word is shuffled row by row.
+    """
+    usual = freq.filter(F.col("freq") > common).select("word", "freq")
+    hot = usual.orderBy(F.desc("freq"), "word").limit(HOT).select("word")
+    said = rows.select(key, F.explode(F.array_distinct(words)).alias("word")).join(F.broadcast(hot), "word", "left_anti")
+    rare = said.select("word").distinct().join(usual.select("word"), "word", "left_anti")
+    per = said.join(rare, "word").groupBy(key).agg(F.collect_list("word").alias("rare"))
+    return rows.join(per, key, "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<string>")))
 
 
 def word_frequency(df: DataFrame, words: Column) -> DataFrame:

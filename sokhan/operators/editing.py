@@ -148,23 +148,25 @@ def snap_names(rows: DataFrame, freq: DataFrame, least: float = 0.75, rare: int
 
     Two neighbours, neither of them a name, that make a name when written together, the rarer said at most ``pair_rare`` times. A word of three letters or more, no name,
     said at most ``rare`` times, whose sound is at least ``least`` like that of a name it doesn't spell; the likeliest name, of equals the last. A parted name takes its two words.
-    ``freq``: (word, freq) of the words said more than ``rare`` times; a row's words meet it in a join, all else stays in the row.
+    ``freq``: (word, freq) of the words said more than ``rare`` times; words that look like a name meet it in a join, all else stays in the row.
     """
     none = F.array().cast("array<string>")
     named = rows.select("key", T.words(F.coalesce("source", F.lit(""))).alias("ws"), F.array_distinct(F.coalesce("names", none)).alias("names")).filter(F.size("names") > 0)
     said = named.select("key", "ws", "names", F.posexplode("ws").alias("i", "word")).withColumn("next", F.get("ws", F.col("i") + 1)).drop("ws")
-    told = freq.select(F.col("word").alias("_w"), F.col("freq").alias("_f"))
-    said = said.join(told, F.col("word") == F.col("_w"), "left").drop("_w").withColumnRenamed("_f", "f")
-    said = said.join(told, F.col("next") == F.col("_w"), "left").select("key", "i", "word", "next", "names", F.coalesce("f", F.lit(0)).alias("f"), F.coalesce("_f", F.lit(0)).alias("g"))
     # a later name of the same letters stands for the earlier
     both = T.squash(F.concat("word", "next"))
     whole = F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter("names", lambda n: T.squash(n) == both)), -1)
-    free = ~F.array_contains("names", F.col("word")) & ~F.array_contains("names", F.col("next")) & (F.least("f", "g") <= pair_rare)
+    free = ~F.array_contains("names", F.col("word")) & ~F.array_contains("names", F.col("next"))
     alike = F.filter(F.transform("names", lambda n: F.struct(T.span_similarity(F.col("word"), n).alias("like"), n.alias("name"))), lambda x: T.squash(x["name"]) != T.squash(F.col("word")))
     best = F.array_max(F.transform(alike, lambda x: F.struct(x["like"].alias("like"), x["name"].alias("name"))))
-    near = ~F.array_contains("names", F.col("word")) & (F.length("word") >= 3) & (F.col("f") <= rare)
-    hits = said.select("key", "i", "word", "next", F.when(F.col("next").isNotNull() & free, whole).alias("pair"), F.when(near, best).alias("best"))
-    hits = hits.select("key", "i", "word", "next", "pair", F.when(F.col("best.like") >= least, F.col("best")).alias("best")).filter("pair is not null or best is not null")
+    near = ~F.array_contains("names", F.col("word")) & (F.length("word") >= 3)
+    said = said.select("key", "i", "word", "next", F.when(F.col("next").isNotNull() & free, whole).alias("pair"), F.when(near, best).alias("best"))
+    # only what looks like a name is looked up, so no hot word reaches the joins
+    said = said.withColumn("best", F.when(F.col("best.like") >= least, F.col("best"))).filter("pair is not null or best is not null")
+    told = freq.select(F.col("word").alias("_w"), F.col("freq").alias("_f"))
+    said = said.join(told, F.col("word") == F.col("_w"), "left").drop("_w").withColumnRenamed("_f", "f")
+    said = said.join(told, F.col("next") == F.col("_w"), "left").withColumns({"f": F.coalesce("f", F.lit(0)), "g": F.coalesce("_f", F.lit(0))})
+    hits = said.select("key", "i", "word", "next", F.when(F.least("f", "g") <= pair_rare, F.col("pair")).alias("pair"), F.when(F.col("f") <= rare, F.col("best")).alias("best")).filter("pair is not null or best is not null")
     # in a row of overlapping parted names every other one counts, and a word taken by one is no near miss
     by = Window.partitionBy("key").orderBy("i")
     run = hits.withColumn("fresh", F.coalesce(F.col("pair").isNotNull() & ~((F.lag("pair").over(by).isNotNull()) & (F.lag("i").over(by) == F.col("i") - 1)), F.lit(False)))

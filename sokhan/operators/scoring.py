@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,40 +25,39 @@ def in_scope(source: str, ref: str, most: int = 4) -> set[int]:
     return out
 
 
-def categories(source: str, ref: str, freq: dict[str, int] | None = None, least: float = 0.75, common: int = 1) -> list[int]:
+def categories(source: str, ref: str, usual: Callable[[str], bool] | None = None, least: float = 0.75) -> list[int]:
     """For each reference word 1: right in the source, 2: wrong, but to be recovered, 3: wrong without a clue.
 
-    A wrong word can be recovered if it sounds like what the source has in the whole run, if it, or each of the parts that half-spaces make of it, is said more than ``common`` times
-    (not asked without ``freq``), or if the source has it anywhere.
+    A wrong word can be recovered if it sounds like what the source has in the whole run, if it, or each of the parts that half-spaces make of it, is ``usual`` (not asked without
+    that), or if the source has it anywhere.
     """
     s, r = source.split(), ref.split()
     out, given = [1] * len(r), set(s)
 
-    def usual(w: str) -> bool:
-        return freq.get(w, 0) > common or T.ZWNJ in w and all(freq.get(p, 0) > common for p in w.split(T.ZWNJ))
+    def common(w: str) -> bool:
+        return usual is not None and (usual(w) or T.ZWNJ in w and all(p and usual(p) for p in w.split(T.ZWNJ)))
 
     for op, a, b, c, d in A.chunks(r, s):
         if op in ("substitute", "delete"):
             for k in range(a, b):
-                clue = A.sound_similarity(r[k], " ".join(s[c:d])) >= least or freq is not None and usual(r[k]) or r[k] in given
+                clue = A.sound_similarity(r[k], " ".join(s[c:d])) >= least or common(r[k]) or r[k] in given
                 out[k] = 2 if clue else 3
     return out
 
 
-def unrecoverable(source: str, ref: str, freq: dict[str, int]) -> set[int]:
+def unrecoverable(source: str, ref: str, usual: Callable[[str], bool]) -> set[int]:
     """Lenient reference positions that the source gives no clue to."""
-    return {k for k, c in enumerate(categories(A.lenient(source), A.lenient(ref), freq)) if c == 3}
+    return {k for k, c in enumerate(categories(A.lenient(source), A.lenient(ref), usual)) if c == 3}
 
 
 def word_categories(rows: DataFrame, key: str) -> DataFrame:
-    """(key, categories array) of (key, source, target, known): the category of each target word; see ``categories``."""
+    """(key, categories array) of (key, source, target, rare): the category of each target word; see ``categories``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            known = ({x["word"]: x["freq"] for x in (ks if ks is not None else ())} for ks in b.known)
-            yield pd.DataFrame({key: b[key], "categories": [categories(s or "", t or "", f) for s, t, f in zip(b.source, b.target, known)]})
+            yield pd.DataFrame({key: b[key], "categories": [categories(s or "", t or "", _not_in(r)) for s, t, r in zip(b.source, b.target, b.rare)]})
 
-    return rows.select(key, "source", "target", "known").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, categories array<int>")
+    return rows.select(key, "source", "target", "rare").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, categories array<int>")
 
 
 def category_spans(spans: Column, cats: Column, wanted: int) -> Column:
@@ -66,7 +65,12 @@ def category_spans(spans: Column, cats: Column, wanted: int) -> Column:
     return F.transform(F.filter(F.arrays_zip(spans.alias("s"), cats.alias("c")), lambda x: x["c"] == wanted), lambda x: x["s"])
 
 
-def count_row(source: str, hyp: str, ref: str, freq: dict[str, int] | None = None) -> tuple[int, ...]:
+def _not_in(rare: Iterable[str]) -> Callable[[str], bool]:
+    known = frozenset(rare)
+    return lambda w: w not in known
+
+
+def count_row(source: str, hyp: str, ref: str, usual: Callable[[str], bool] | None = None) -> tuple[int, ...]:
     """All counters of one row, in the order of COUNTERS."""
     s, h, r = source.split(), hyp.split(), ref.split()
     zw = [t.replace(T.ZWNJ, "").split() for t in (hyp, ref)]
@@ -76,7 +80,7 @@ def count_row(source: str, hyp: str, ref: str, freq: dict[str, int] | None = Non
     clitic = [" ".join(A.join_clitics([A.canonical(w) for w in t.split()])) for t in (source, hyp, ref)]
     tc, ac, sc = A.lenient_positions(*clitic)
     scope = in_scope(source, ref) & tl
-    lost = unrecoverable(source, ref, freq) & tl if freq is not None else set()
+    lost = unrecoverable(source, ref, usual) & tl if usual is not None else set()
     return (
         len(r), A.distance(r, h), A.distance(r, s), A.distance(zw[1], zw[0]), len(zw[1]), len(target), len(target & still), len(already), len(already & still),
         len(tl), len(tl & sl), len(al), len(al & sl), len(tc), len(tc & sc), len(ac), len(ac & sc), len(scope), len(scope & sl), len(tl - lost), len((tl - lost) & sl), len(lost),
@@ -84,20 +88,20 @@ def count_row(source: str, hyp: str, ref: str, freq: dict[str, int] | None = Non
 
 
 def row_counters(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and COUNTERS for each row of (keys, source, hyp, ref) and, for the recoverable rates, known (array of word and freq); null texts count as empty.
+    """``keys`` and COUNTERS for each row of (keys, source, hyp, ref) and, for the recoverable rates, rare (the reference's rare words); null texts count as empty.
 
     Every pair is aligned in one pass over its texts; frequencies come with the row, so no vocabulary is sent to the tasks.
     """
-    with_freq = "known" in rows.columns
+    with_rare = "rare" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            known = [{x["word"]: x["freq"] for x in (ks if ks is not None else ())} for ks in b.known] if with_freq else [None] * len(b)
-            got = [count_row(s or "", h or "", r or "", f) for s, h, r, f in zip(b.source, b.hyp, b.ref, known)]
+            usual = map(_not_in, b.rare) if with_rare else [None] * len(b)
+            got = [count_row(s or "", h or "", r or "", u) for s, h, r, u in zip(b.source, b.hyp, b.ref, usual)]
             yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(got, columns=COUNTERS)], axis=1)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "source", "hyp", "ref", *["known"] * with_freq).mapInPandas(run, kinds + ", " + ", ".join(f"{c} long" for c in COUNTERS))
+    return rows.select(*keys, "source", "hyp", "ref", *["rare"] * with_rare).mapInPandas(run, kinds + ", " + ", ".join(f"{c} long" for c in COUNTERS))
 
 
 def rates(counted: DataFrame, by: list[str], weight: float = 0.5) -> DataFrame:

@@ -86,7 +86,7 @@ def q17_score_all(spark: SparkSession, d: str) -> DataFrame:
     rows = _corrections(spark, d)
     ws = T.words(T.normalize_lenient(F.coalesce(F.col("ref"), F.lit(""))))
     parts = F.concat(ws, F.flatten(F.transform(ws, lambda w: F.split(w, T.ZWNJ))))
-    return K.rates(K.row_counters(C.row_frequencies(rows, "pred_id", parts, _frequent(spark, d, 1)), ["run", "eval_slice"]), ["run", "eval_slice"])
+    return K.rates(K.row_counters(C.row_rare_words(rows, "pred_id", parts, _frequent(spark, d, 1), 1), ["run", "eval_slice"]), ["run", "eval_slice"])
 
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
@@ -361,7 +361,7 @@ def q73_word_categories(spark: SparkSession, d: str) -> DataFrame:
     w = win(spark, d).select(F.col("window_id").alias("key"), "source", F.col("target_text").alias("target"))
     ws = T.words(F.coalesce("target", F.lit("")))
     parts = F.concat(ws, F.flatten(F.transform(ws, lambda x: F.split(x, T.ZWNJ))))
-    c = K.word_categories(C.row_frequencies(w, "key", parts, _frequent(spark, d, 1)), "key").join(w.select("key", M.char_spans(ws).alias("spans")), "key")
+    c = K.word_categories(C.row_rare_words(w, "key", parts, _frequent(spark, d, 1), 1), "key").join(w.select("key", M.char_spans(ws).alias("spans")), "key")
     n = lambda k: F.size(F.filter("categories", lambda x: x == k))
     masked = F.aggregate(K.category_spans(F.col("spans"), F.col("categories"), 3), F.lit(0), lambda acc, x: acc + x["z"] - x["a"])
     return c.select(F.col("key").alias("window_id"), n(1).alias("right"), n(2).alias("recoverable"), n(3).alias("lost"), masked.alias("masked_chars"))
@@ -370,7 +370,8 @@ def q73_word_categories(spark: SparkSession, d: str) -> DataFrame:
 def q73b_categories_forced(spark: SparkSession, d: str) -> DataFrame:
     """q73 over references with words made wrong: those said elsewhere in the source or often can be recovered."""
     r = _forced(spark, d).select(F.col("pred_id").alias("key"), "source", F.col("ref").alias("target")).filter(~F.col("target").rlike("[A-Za-z0-9]"))
-    c = K.word_categories(r.withColumn("known", F.array().cast("array<struct<word:string,freq:bigint>>")), "key")
+    ws = T.words(F.col("target"))
+    c = K.word_categories(r.withColumn("rare", F.concat(ws, F.flatten(F.transform(ws, lambda x: F.split(x, T.ZWNJ))))), "key")
     n = lambda k: F.size(F.filter("categories", lambda x: x == k))
     return c.select(F.col("key").alias("pred_id"), n(1).alias("right"), n(2).alias("recoverable"), n(3).alias("lost"))
 

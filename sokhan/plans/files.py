@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sokhan.functions import text as T
-from sokhan.materialize import shared_folder
+from sokhan.materialize import scratch
 from sokhan.operators import assemble as S
 from sokhan.operators import curate as C
 from sokhan.operators import editing as E
@@ -27,13 +25,9 @@ from sokhan.sources.tables import table
 from sokhan.streaming import digest as D
 
 
-def _new(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def q80_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Answers written as JSON lines and read again, some columns only."""
-    path = _new(spark, "jsonl")
+    path = scratch(spark, "jsonl")
     rows = pred(spark, d).select("pred_id", "run", "input", "output", "rejected_lines")
     W.write_jsonl(rows, path)
     return W.read_jsonl(spark, path, rows.schema, ["pred_id", "run", "output"])
@@ -41,7 +35,7 @@ def q80_jsonl_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def q81_token_files(spark: SparkSession, d: str) -> DataFrame:
     """Words of low confidence from token files, a record per call, that a recognizer might have written."""
-    path = _new(spark, "tokens")
+    path = scratch(spark, "tokens")
     t = S.token_stream(S.usable(seg(spark, d)))
     per = t.groupBy("call_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token", "conf"))), lambda x: F.struct(x["token"].alias("text"), x["conf"].alias("conf"))).alias("tokens"))
     calls = per.groupBy("call_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("channel").cast("string"), F.struct("tokens")))).alias("channels"))
@@ -63,7 +57,7 @@ def q82b_lowest_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def q83_published_frequency(spark: SparkSession, d: str) -> DataFrame:
     """Word counts of the unique rows, published once and read from there."""
-    path = _new(spark, "published")
+    path = scratch(spark, "published")
     rows = table(spark, d, "segments").filter("coalesce(text_whisper, '') <> '' and coalesce(text, '') <> ''")
     unique = S.keep_one(rows, ["call_id", "channel", "text_whisper"], [F.asc("ingested_at"), F.asc("id"), F.asc("text")])
     W.publish(C.word_frequency(unique, T.words(F.col("text"))), path)
@@ -113,7 +107,7 @@ def q86b_judge_progress(spark: SparkSession, d: str) -> DataFrame:
 
 def q87_stream_router(spark: SparkSession, d: str) -> DataFrame:
     """The cheap judge's answers as a stream: which items go on to the main judge."""
-    where = _new(spark, "router")
+    where = scratch(spark, "router")
     a = G._of(G._answers(spark, d), G.CHEAP).select("id", "label")
     a.write.parquet(f"{where}/in")
     D.route_answers(spark.readStream.schema("id string, label string").parquet(f"{where}/in"), table(spark, d, "judge_items"), J.REJECTS, f"{where}/out", f"{where}/state")

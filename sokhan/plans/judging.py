@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sokhan.functions import text as T
-from sokhan.materialize import shared_folder
+from sokhan.materialize import scratch
 from sokhan.operators import judging as J
 from sokhan.operators import reports as R
 from sokhan.operators import scoring as K
@@ -227,9 +227,7 @@ def q69_pending(spark: SparkSession, d: str) -> DataFrame:
 
 def q63_stream_digest(spark: SparkSession, d: str) -> DataFrame:
     """Events read as a stream, hour by hour, all of them: the table of windows is the answer so far, written anew as it changes."""
-    import uuid
-
-    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark, "stream")
     # a file source takes a folder and a pattern, so it sees the events table alone
     stream = G.readings(spark, f"{d}/events.parque[t]", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double", "ts")
     G.latest_windows(G.window_digest(stream, "ts", "1 hour", "event_type"), ["window_start", "event_type"], f"{where}/out", f"{where}/state")
