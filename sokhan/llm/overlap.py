@@ -38,6 +38,8 @@ PASSAGE = 6
 SHARE = 0.2
 #: Evaluation texts of an automaton, training texts that stream past one, bands of lengths for every e-fold length.
 SHARD, CHUNK, BANDS = 25_000, 50_000, 3
+#: Bits of the sieve for runs that evaluation texts have, a power of two; 8 MB.
+BITMAP = 1 << 26
 #: Passages for the search: words of the longest, training texts that tell how usual a run is, slots for their counts, words that are planned at once.
 LONGEST, SAMPLE, SLOTS, BLOCK = 8, 5_000, 1 << 22, 128
 
@@ -285,17 +287,44 @@ def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE
                 ok = np.array([(a, a + q) in edges[w] for w, a in zip(which.tolist(), at.tolist())], bool)
                 yield pd.DataFrame({"h": h[ok], "eval_id": b.norm_id[short].to_numpy()[which[ok]], "a": at[ok], "z": at[ok] + q})
 
+    own = materialize(evaluation.mapInPandas(runs, "h long, eval_id long, a int, z int"))
+    lengths = sorted(r.q for r in own.select((F.col("z") - F.col("a")).alias("q")).distinct().collect())
+    bits = evaluation.sparkSession.sparkContext.broadcast(bitmap(own.select("h")))
+
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
             for q in lengths:
-                yield pd.DataFrame({"h": np.unique(passage_hashes(b.norm, q)[2])})
+                h = np.unique(passage_hashes(b.norm, q)[2])
+                at = h & (BITMAP - 1)
+                # runs that no evaluation text has stay behind, but for those that share a bit with one
+                yield pd.DataFrame({"h": h[(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]})
 
-    own = materialize(evaluation.mapInPandas(runs, "h long, eval_id long, a int, z int"))
-    lengths = sorted(r.q for r in own.select((F.col("z") - F.col("a")).alias("q")).distinct().collect())
     seen = training.select("norm").mapInPandas(known, "h long").distinct()
     return own.join(seen, "h", "left_semi").groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans"))
 
 
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for the low bits of each ``h``, ``BITMAP`` of them whatever the number of hashes: a sieve that lets through too much, never too little. Tasks make their own and they are joined part by part."""
+    parts, size = 64, BITMAP // 8 // 64
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = np.zeros(BITMAP // 8, np.uint8)
+        for b in batches:
+            at = np.unique(b.h.to_numpy() & (BITMAP - 1))
+            np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        cut = own.reshape(parts, size)
+        some = [i for i in range(parts) if cut[i].any()]
+        yield pd.DataFrame({"part": pd.array(some, dtype="int32"), "bits": pd.Series([cut[i].tobytes() for i in some], dtype=object)})
+
+    def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.bits]).tobytes()]})
+
+    out = np.zeros((parts, size), np.uint8)
+    for r in hashes.mapInPandas(mark, "part int, bits binary").groupBy("part").applyInPandas(join, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 HITS = "eval_id long, train_id long"
 
 
