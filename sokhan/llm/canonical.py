@@ -86,7 +86,8 @@ _SURE = "ء-غفقل-وپچژکگیۀ۰-۹ -~\n\r\t،؛؟«»À-ÖØ-öø-ÿ"
 STABLE = f"^(?:[{_SURE}]++|(?<=[{_LETTER}]){ZWNJ}(?=[{_LETTER}])|[ً-ْٰ](?![\\p{{Mn}}]))*+$"
 
 _quick = re.compile(f"{UNSTABLE}|[{_ranges(_marks)}]{{2}}|{ZWNJ}(?!\\w)|(?<![\\wً-ٰٕ]){ZWNJ}")
-_run = re.compile(r"[^ \n\r\t]+")
+# the same for Python, as far as the check by properties goes
+_sure = re.compile(f"(?:[{_SURE}]++|(?<=[\\wً-ٰٕ]){ZWNJ}(?=\\w)|[ً-ْٰ](?![{_ranges(_marks)}]))*+")
 _compat = re.compile(f"[{COMPAT}{SPACES}]+")
 _invisible = re.compile(f"[{INVISIBLE}]+")
 _arabic = str.maketrans(LOOKALIKE_ARABIC)
@@ -144,7 +145,7 @@ def _settle(run: str, context: str) -> str:
 
 def canonicalize(text: str | None) -> str | None:
     """``text`` in its one consistent form; null stays null, text without unstable characters is returned as it is."""
-    if not text:
+    if not text or _sure.fullmatch(text):
         return text
     out, done, size = [], 0, len(text)
     while (m := _quick.search(text, done)) is not None:
