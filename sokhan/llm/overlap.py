@@ -1,11 +1,11 @@
 """Problem 1: the same or near-same records across splits.
 
-Method: Aho-Corasick automata over sharded, normalised evaluation passages scan all training texts, and a training text is set against
-an evaluation record where a passage matches; the runs of evaluation words that occur in any training text are merged into coverage.
+Method: passages of sharded, normalised evaluation texts are looked up in all training texts by their hashes, and a training text is set
+against an evaluation record where enough passages match in fitting places; the runs of evaluation words that occur in any training text are merged into coverage.
 
-Passages. A text is searched for by disjoint runs of up to ``LONGEST`` words, one more than the differences allowed, so that every near-same text
-holds at least one of them unchanged, however common they are: no partner is ever left out. Since more differences are allowed from a
-longer text, there are two sets, one for training texts that aren't longer and one for longer ones. Of all such sets the one is taken that
+Passages. A text is searched for by disjoint runs of up to ``LONGEST`` words, ``SPARE`` more than the differences that the longest near-same text allows.
+A difference spoils one of them at most, so a near-same text holds all but as many as the pair has differences, however common they are, and each at a
+place that as many insertions and deletions can move it to: no partner is ever left out. Of all such sets the one is taken that
 matches the fewest texts of a sample of the training texts; the sample bears on the effort alone.
 
 Coverage. Every run of ``PASSAGE`` words of an evaluation text that occurs in a training text counts, however common. Texts of fewer than
@@ -13,18 +13,16 @@ Coverage. Every run of ``PASSAGE`` words of an evaluation text that occurs in a
 
 Scale. Equal texts are one row with its members kept aside, so a text that fills a third of a table is scanned once. Near-same texts have
 similar lengths, so evaluation texts are sharded by their length and, where a length has many, by hash, and a training text is sent to
-the shards of its lengths only, in chunks of bounded size. Each automaton is built from the rows at the head of its unit and the training texts stream
+the shards of its lengths only, in chunks of bounded size. Each index is an array built from the rows at the head of its unit and the training texts stream
 past it, so memory is bounded by the shard and a task by shard and chunk. Only the sample, of bounded size, is collected, and its
-counts broadcast. Text pairs with a common passage are compared, and their number grows with the product of the tables.
+counts broadcast. Passages met are counted in arrays, and their number grows with the product of the tables; texts are compared only where enough of them are met.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -36,8 +34,10 @@ from sokhan.materialize import materialize
 
 PASSAGE = 6
 SHARE = 0.2
-#: Evaluation texts of an automaton, training texts that stream past one, bands of lengths for every e-fold length.
-SHARD, CHUNK, BANDS = 25_000, 50_000, 3
+#: Evaluation texts of an index, most training texts that stream past one, bands of lengths for every e-fold length.
+SHARD, CHUNK, BANDS = 150_000, 400_000, 3
+#: Training texts that are worth an index of their own, passages beyond one more than the differences, passages met that are counted at once.
+LEAST, SPARE, AT_ONCE = 20_000, 2, 1 << 20
 #: Bits of the sieve for runs that evaluation texts have, a power of two; 8 MB.
 BITMAP = 1 << 26
 #: Passages for the search: words of the longest, training texts that tell how usual a run is, slots for their counts, words that are planned at once.
@@ -118,14 +118,21 @@ def _word_hashes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return lengths, pd.util.hash_array(vocabulary.astype(object), categorize=False)[codes]
 
 
+def _all_runs(h: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each size from 1 to ``longest`` a 64-bit hash of every run of so many neighbours of ``h``, across the ends of texts too."""
+    acc, mixed = np.zeros(len(h), np.uint64), h ^ (h >> np.uint64(29))
+    for k in range(longest):
+        n = max(0, len(h) - k)
+        x, acc = mixed[k : k + n] * _PRIMES[k % 8], acc[:n]
+        acc = (acc << np.uint64(7) | acc >> np.uint64(57)) ^ x ^ (x >> np.uint64(32))
+        yield acc.view(np.int64)
+
+
 def _run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every run of ``size`` neighbours of ``h``, across the ends of texts too."""
-    n = max(0, len(h) - size + 1)
-    acc = np.zeros(n, np.uint64)
-    for k in range(size):
-        x = (h[k : k + n] ^ (h[k : k + n] >> np.uint64(29))) * _PRIMES[k % 8]
-        acc = (acc << np.uint64(7) | acc >> np.uint64(57)) ^ x ^ (x >> np.uint64(32))
-    return acc.view(np.int64)
+    for acc in _all_runs(h, size):
+        pass
+    return acc
 
 
 def passage_hashes(texts: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,29 +167,28 @@ def _slices(batches: Iterator[pd.DataFrame], rows: int = 2_000) -> Iterator[pd.D
             yield b.iloc[i : i + rows]
 
 
-def allowed(n: int, share: float = SHARE) -> tuple[int, int]:
-    """Most differences of a text of ``n`` words from a near-same one: from one that isn't longer, from a longer one."""
+def allowed(n: int, share: float = SHARE) -> int:
+    """Most differences of a text of ``n`` words from any near-same one, which may be longer."""
     m = n
     while m + 1 - int(share * (m + 1) + 1e-9) <= n:
         m += 1
-    return int(share * n + 1e-9), int(share * m + 1e-9)
+    return int(share * m + 1e-9)
 
 
 def usual_runs(sample: pd.Series, longest: int = LONGEST) -> np.ndarray:
     """How often runs of 1 .. ``longest`` words occur in ``sample``, by the low bits of their hash: an estimate."""
     lengths, h = _word_hashes(sample)
     which, out = np.repeat(np.arange(len(lengths)), lengths), np.zeros(SLOTS, np.int64)
-    for q in range(1, longest + 1):
-        acc = _run_hashes(h, q)
+    for q, acc in enumerate(_all_runs(h, longest), 1):
         n = len(acc)
         out += np.bincount(acc[which[:n] == which[q - 1 : q - 1 + n]] & (SLOTS - 1), minlength=SLOTS)
     return np.minimum(out, 65_535).astype(np.uint16)
 
 
-def cheapest_runs(costs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, needs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For stretches of ``sizes`` words from ``starts`` on, the disjoint runs of the least sum of costs, as many as each of ``needs`` says.
+def cheapest_runs(costs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches of ``sizes`` words from ``starts`` on, the disjoint runs of the least sum of costs, ``need`` of them each.
 
-    ``costs[q - 1, i]`` is that of the ``q`` words from word i on. For each of ``needs`` (the stretch, the run's first word in it, its length).
+    ``costs[q - 1, i]`` is that of the ``q`` words from word i on. Gives the stretch, the run's first word in it, its length.
     """
     rows, width = np.arange(len(sizes)), int(sizes.max())
     end = np.arange(width + 1)
@@ -191,7 +197,7 @@ def cheapest_runs(costs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need
         first = (starts[:, None] + end - q).clip(0, costs.shape[1] - 1)
         cost.append(np.where((end >= q) & (end <= sizes[:, None]), costs[q - 1][first], np.float32(np.inf)))
     best, took, where = np.zeros((len(sizes), width + 1), np.float32), [None], [None]
-    for _ in range(max(int(n.max()) for n in needs)):
+    for _ in range(int(need.max())):
         new, how = np.full_like(best, np.inf), np.zeros(best.shape, np.int8)
         for q, c in enumerate(cost[:width], 1):
             x = best[:, : width + 1 - q] + c[:, q:]
@@ -202,59 +208,54 @@ def cheapest_runs(costs: np.ndarray, starts: np.ndarray, sizes: np.ndarray, need
         how[best < new] = 0
         took.append(how)
         where.append(np.maximum.accumulate(np.where(how > 0, end, 0).astype(np.int16), axis=1))
-    out = []
-    for need in needs:
-        at, found = sizes.astype(np.int64), []
-        for p in range(int(need.max()), 0, -1):
-            on = rows[need >= p]
-            last = where[p][on, at[on]].astype(np.int64)
-            q = took[p][on, last].astype(np.int64)
-            at[on] = last - q
-            found.append((on, last - q, q))
-        out.append(tuple(map(np.concatenate, zip(*found))))
-    return out
-
-
-def pick(texts: pd.Series, usual: np.ndarray, share: float = SHARE, longest: int = LONGEST) -> list[tuple[list, list]]:
-    """Passages (starts, lengths) of every text, first to be sought in texts that aren't longer, then in longer ones.
-
-    They are disjoint and one more than the differences allowed, so a near-same text holds one of them unchanged.
+    at, found = sizes.astype(np.int64), []
+    for p in range(int(need.max()), 0, -1):
+        on = rows[need >= p]
+        last = where[p][on, at[on]].astype(np.int64)
+        q = took[p][on, last].astype(np.int64)
+        at[on] = last - q
+        found.append((on, last - q, q))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def pick(texts: pd.Series, usual: np.ndarray, share: float = SHARE, longest: int = LONGEST) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The passages of every text: their first words and their hashes.
+
+    They are disjoint and more than the differences allowed, by ``1 + SPARE`` where the text has words enough.
     """
     lengths, h = _word_hashes(texts)
-    costs = np.full((longest, len(h)), 0, np.float32)
-    for q in range(1, longest + 1):
-        acc = _run_hashes(h, q)
+    costs, hashes = np.full((longest, len(h)), 0, np.float32), np.zeros((longest, len(h)), np.int64)
+    for q, acc in enumerate(_all_runs(h, longest), 1):
         # of runs that the sample lacks the longer is the rarer
         costs[q - 1, : len(acc)] = usual[acc & (SLOTS - 1)] + np.float32(0.5 / q)
-    wanted = {n: [k + 1 for k in allowed(n, share)] for n in set(lengths.tolist())}
-    text, start, size, needs = [], [], [], ([], [])
-    for i, (n, first) in enumerate(zip(lengths.tolist(), (np.cumsum(lengths) - lengths).tolist())):
-        parts = -(-n // BLOCK)
+        hashes[q - 1, : len(acc)] = acc
+    wanted = {n: min(n, allowed(n, share) + 1 + SPARE) for n in set(lengths.tolist())}
+    firsts = np.cumsum(lengths) - lengths
+    text, start, size, need = [], [], [], []
+    for i, (n, first) in enumerate(zip(lengths.tolist(), firsts.tolist())):
+        parts, whole = -(-n // BLOCK), wanted[n]
         for k in range(parts):
             a, z = n * k // parts, n * (k + 1) // parts
             text.append(i)
-            start.append((first, a))
+            start.append(first + a)
             size.append(z - a)
-            for need, whole in zip(needs, wanted[n]):
-                need.append(whole * (k + 1) // parts - whole * k // parts)
-    text, start, size, needs = np.array(text), np.array(start).reshape(-1, 2), np.array(size), [np.array(x) for x in needs]
-    found = [[], []]
+            need.append(whole * (k + 1) // parts - whole * k // parts)
+    text, start, size, need = (np.array(x, np.int64) for x in (text, start, size, need))
+    found = [(np.empty(0, np.int64),) * 3]
     order = np.argsort(size, kind="stable")
     for k in range(0, len(order), 256):
         some = order[k : k + 256]
-        for kind, (row, at, q) in enumerate(cheapest_runs(costs, start[some].sum(1), size[some], [x[some] for x in needs])):
-            found[kind].append((text[some][row], start[some][row, 1] + at, q))
-    out = []
-    for parts in found:
-        which, at, q = map(np.concatenate, zip(*parts)) if parts else (np.empty(0, np.int64),) * 3
-        order = np.lexsort((at, which))
-        cuts = np.cumsum(np.bincount(which, minlength=len(texts)))[:-1] if len(texts) else []
-        out.append((np.split(at[order], cuts), np.split(q[order], cuts)))
-    return out
+        row, at, q = cheapest_runs(costs, start[some], size[some], need[some])
+        found.append((text[some][row], start[some][row] + at, q))
+    which, at, q = map(np.concatenate, zip(*found))
+    order = np.lexsort((at, which))
+    which, at, q = which[order], at[order], q[order]
+    cuts = np.cumsum(np.bincount(which, minlength=len(texts)))[:-1] if len(texts) else []
+    return np.split((at - firsts[which]).astype(np.int32), cuts), np.split(hashes[q - 1, at], cuts)
 
 
 def passages(evaluation: DataFrame, training: DataFrame, share: float = SHARE) -> DataFrame:
-    """(norm_id, norm, n_words, starts, lengths, more_starts, more_lengths): the passages of each evaluation text; inputs are (norm_id, norm), the evaluation's distinct."""
+    """(norm_id, norm, n_words, starts, hashes): the passages of each evaluation text; inputs are (norm_id, norm), the evaluation's distinct."""
     total = training.count()
     # a bounded sample tells how usual a run is; that decides on the effort alone, never on what is found
     few = training.select("norm_id", "norm").filter(F.pmod(F.xxhash64("norm_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, SAMPLE / max(total, 1)))))
@@ -263,10 +264,10 @@ def passages(evaluation: DataFrame, training: DataFrame, share: float = SHARE) -
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            (starts, lengths), (more_starts, more_lengths) = pick(b.norm, usual.value, share)
-            yield b[["norm_id", "norm"]].assign(n_words=b.norm.str.count(" ") + 1, starts=starts, lengths=lengths, more_starts=more_starts, more_lengths=more_lengths)
+            starts, hashes = pick(b.norm, usual.value, share)
+            yield b[["norm_id", "norm"]].assign(n_words=b.norm.str.count(" ") + 1, starts=starts, hashes=hashes)
 
-    return evaluation.select("norm_id", "norm").mapInPandas(cut, "norm_id long, norm string, n_words int, starts array<int>, lengths array<int>, more_starts array<int>, more_lengths array<int>")
+    return evaluation.select("norm_id", "norm").mapInPandas(cut, "norm_id long, norm string, n_words int, starts array<int>, hashes array<long>")
 
 
 def covered_runs(evaluation: DataFrame, training: DataFrame, size: int = PASSAGE) -> DataFrame:
@@ -328,25 +329,6 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 HITS = "eval_id long, train_id long"
 
 
-class _Codes(dict):
-    """A character for each word, the same for the same word; other words may share it, so what codes tell is checked in words."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) > _KEPT:
-            self.clear()
-        at = 256 + crc32(word.encode("utf-8", "surrogatepass")) % 1_000_000
-        self[word] = out = chr(at + (at >= 0xD800) * 0x800)
-        return out
-
-
-def _pair_bits(code: str, width: int) -> int:
-    """The neighbouring words of a text as a set of bits: no more bits of one text are lacking in another than pairs of words are."""
-    out = 0
-    for pair in {code[i : i + 2] for i in range(len(code) - 1)}:
-        out |= 1 << (hash(pair) % width)
-    return out
-
-
 def length_band(n: Column) -> Column:
     """Texts whose numbers of words are within about 40 % of one another."""
     return F.floor(F.log(n.cast("double")) * BANDS).cast("int")
@@ -354,77 +336,127 @@ def length_band(n: Column) -> Column:
 
 def plan_units(n_eval: dict[int, int], reach: list[tuple[int, int, int]], shard: int = SHARD, chunk: int = CHUNK) -> dict[int, tuple[int, int, int]]:
     """{band: (first unit, shards, chunks)}: evaluation texts of a band are hashed into shards, the training texts that reach it into chunks, each pair of them a unit.
+    Chunks are as large as ``chunk`` where that leaves work for several tasks, for each chunk gets a copy of the shard.
 
     ``reach``: (lowest band, highest band, training texts). Bands are numbered from the most laborious, so units of a like effort are neighbours.
     """
     n_train = {b: sum(n for low, high, n in reach if low <= b <= high) for b in n_eval}
     plan, first = {}, 0
     for b in sorted(n_eval, key=lambda b: (-n_eval[b] * n_train[b], b)):
-        shards, chunks = -(-n_eval[b] // shard), max(1, -(-n_train[b] // chunk))
+        shards = -(-n_eval[b] // shard)
+        chunks = max(1, -(-n_train[b] // min(chunk, max(LEAST, n_eval[b] // shards, n_train[b] * shards // 6))))
         plan[b] = (first, shards, chunks)
         first += shards * chunks
     return plan
 
 
 class _Unit:
-    """The evaluation texts of a shard, from short to long, and their automaton."""
-
-    def __init__(self, share: float, codes: dict[str, str]):
-        self.share, self.codes = share, codes
-        self.ids, self.norms, self.packed, self.sizes, self.least = [], [], [], [], []
-        self.posts: dict[str, tuple[list[int], list[int]]] = {}
-        self.auto = None
-
-    def add(self, ident: int, norm: str, passages: list) -> None:
-        code = "".join(map(self.codes.__getitem__, norm.split(" ")))
-        k, size = len(self.ids), len(code)
-        self.ids.append(ident)
-        self.norms.append(norm)
-        self.packed.append(code)
-        self.sizes.append(size)
-        self.least.append(size - int(self.share * size + 1e-9))
-        for longer in (0, 1):
-            for word in {code[a : a + n] for a, n in zip(passages[2 * longer].tolist(), passages[2 * longer + 1].tolist())}:
-                self.posts.setdefault(word, ([], []))[longer].append(k)
+    """The evaluation texts of a shard and an index of their passages by hash."""
+
+    def __init__(self, share: float):
+        self.share, self.rows, self.keys = share, [], None
+
+    def add(self, rows: pd.DataFrame) -> None:
+        self.rows.append(rows)
 
     def close(self) -> None:
-        """All evaluation texts are there: build the automaton."""
-        import ahocorasick
-
-        self.auto = ahocorasick.Automaton()
-        while self.posts:
-            self.auto.add_word(*self.posts.popitem())
-        if self.ids:
-            self.auto.make_automaton()
-            self.width = 1 << max(8, (8 * self.sizes[-1]).bit_length())
-            self.bits = [_pair_bits(c, self.width) for c in self.packed]
-
-    def matches(self, norm: str) -> list[int]:
-        """Ids of the evaluation texts that are near-same to a training text."""
-        if self.auto is None:
+        """All evaluation texts are there: sort their passages."""
+        rows, self.rows = self.rows, []
+        self.ids = np.concatenate([r.norm_id.to_numpy(np.int64) for r in rows] or [np.empty(0, np.int64)])
+        self.sizes = np.concatenate([r.n_words.to_numpy(np.int32) for r in rows] or [np.empty(0, np.int32)])
+        self.least = self.sizes - self._most(self.sizes)
+        # of texts longer than these lengths none is in reach
+        self.most = self._most(np.arange(2 * int(self.sizes.max(initial=0) / (1 - self.share)) + 2))
+        self.norms = [t for r in rows for t in r.norm]
+        self.counts = np.array([len(x) for r in rows for x in r.hashes], np.int64)
+        keys = np.concatenate([x for r in rows for x in r.hashes] or [np.empty(0, np.int64)])
+        before = np.concatenate([x for r in rows for x in r.starts] or [np.empty(0, np.int32)]).astype(np.int32)
+        del rows
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        self.who, self.before = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.counts)[order], before[order]
+        self.keys, first = np.unique(keys, return_index=True)
+        self.first = np.append(first, len(keys))
+        # a sieve, as in ``bitmap``, that lets through too much, never too little
+        self.mask = (1 << max(16, (16 * len(self.keys)).bit_length())) - 1
+        self.bits = np.zeros((self.mask + 1) >> 3, np.uint8)
+        at = self.keys & self.mask
+        np.bitwise_or.at(self.bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+
+    def _most(self, n: np.ndarray) -> np.ndarray:
+        """Differences allowed of texts whose longer one has ``n`` words."""
+        return (self.share * n + 1e-9).astype(np.int32)
+
+    def passages_of(self, norms: pd.Series) -> tuple[np.ndarray, ...]:
+        """Numbers of words of training texts, and of each passage that one has: the text, the passage's number here, its first and its last place."""
+        lengths, h = _word_hashes(norms)
+        which, begin = np.repeat(np.arange(len(lengths)), lengths), np.cumsum(lengths) - lengths
+        found = []
+        for q, acc in enumerate(_all_runs(h, LONGEST), 1):
+            at = acc & self.mask
+            at = np.flatnonzero((self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+            at = at[which[at] == which[at + q - 1]]
+            key = np.searchsorted(self.keys, acc[at])
+            key[key == len(self.keys)] = 0
+            ok = self.keys[key] == acc[at]
+            found.append((key[ok], at[ok]))
+        key, at = map(np.concatenate, zip(*found))
+        text = which[at]
+        order = np.lexsort((at, key, text))
+        key, at, text = key[order], at[order] - begin[text[order]], text[order]
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.empty(0, np.int64)
+        return lengths, text[new], key[new], at[new], at[np.append(new[1:], len(key)) - 1] if len(key) else at
+
+    def matches(self, ids: np.ndarray, norms: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the evaluation texts and of the training texts ``norms`` that are near-same."""
+        if self.keys is None:
             self.close()
-        if not self.ids:
-            return []
-        share, sizes = self.share, self.sizes
-        code = "".join(map(self.codes.__getitem__, norm.split(" ")))
-        size = len(code)
-        low, mid, high = bisect_left(sizes, size - int(share * size + 1e-9)), bisect_left(sizes, size), bisect_right(self.least, size)
-        met: set[int] = set()
-        for _, (same, longer) in self.auto.iter(code):
-            if same and same[-1] >= mid:
-                met.update(same[bisect_left(same, mid) : bisect_left(same, high)])
-            if longer and longer[0] < mid:
-                met.update(longer[bisect_left(longer, low) : bisect_left(longer, mid)])
-        if not met:
-            return []
-        mine, bits, found = _pair_bits(code, self.width), self.bits, []
-        lack = ~mine
-        for k in met:
-            # a difference spoils two pairs of neighbours at most
-            theirs, most = bits[k], 2 * int(share * max(size, sizes[k]) + 1e-9)
-            if (theirs & lack).bit_count() <= most and (mine & ~theirs).bit_count() <= most and near_same(norm, self.norms[k], share):
-                found.append(self.ids[k])
-        return found
+        none = np.empty(0, np.int64)
+        if not len(self.keys):
+            return none, none
+        lengths, text, key, low, high = self.passages_of(norms)
+        # texts whose passages are met AT_ONCE times are counted together, and what a single one has beyond that in parts
+        ends = np.cumsum(self.first[key + 1] - self.first[key])
+        found, a = [], 0
+        while a < len(key):
+            done = ends[a - 1] if a else 0
+            z = np.searchsorted(ends, done + AT_ONCE, "right")
+            z = np.searchsorted(text, text[z]) if z < len(key) else z
+            if z <= a:
+                z = np.searchsorted(text, text[a], "right")
+            parts, size = [], max(1, AT_ONCE // (int(ends[z - 1] - done) // (z - a) + 1))
+            for k in range(a, z, size):
+                s = slice(k, min(k + size, z))
+                parts.append(self._met(lengths, text[s], key[s], low[s], high[s]))
+            pair, n = parts[0] if len(parts) == 1 else self._sum(parts)
+            e, t = pair % len(self.ids), pair // len(self.ids)
+            ok = n >= self.counts[e] - self._most(np.maximum(self.sizes[e], lengths[t]))
+            found += [(self.ids[i], ids[j]) for i, j in zip(e[ok].tolist(), t[ok].tolist()) if near_same(norms.iat[j], self.norms[i], self.share)]
+            a = z
+        return tuple(np.array(x, np.int64) for x in zip(*found)) if found else (none, none)
+
+    def _met(self, lengths: np.ndarray, text: np.ndarray, key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (training text's number times evaluation texts, plus the evaluation text's) and how many passages they share in fitting places."""
+        n, size = self.first[key + 1] - self.first[key], lengths[text]
+        hit = np.repeat(np.arange(len(key), dtype=np.int32), n)
+        at = np.arange(len(hit)) + np.repeat(self.first[key] - (np.cumsum(n) - n), n)
+        e = self.who[at]
+        # evaluation texts stand in order of length
+        ok = e >= np.searchsorted(self.sizes, size - self._most(size)).astype(np.int32)[hit]
+        ok &= e < np.searchsorted(self.least, size, "right").astype(np.int32)[hit]
+        ok = np.flatnonzero(ok)
+        e, hit, a = e[ok], hit[ok], self.before[at[ok]]
+        own, theirs, low, high = self.sizes[e], size.astype(np.int32)[hit], low.astype(np.int32)[hit], high.astype(np.int32)[hit]
+        # the words before a passage and those behind it differ at least by their numbers; a passage that a text repeats fits anywhere between
+        tail = theirs - own + a
+        shift = np.maximum(low - a, 0) + np.maximum(a - high, 0) + np.maximum(low - tail, 0) + np.maximum(tail - high, 0)
+        ok = shift <= self.most[np.maximum(own, theirs)]
+        return np.unique(text[hit[ok]] * len(self.ids) + e[ok], return_counts=True)
+
+    @staticmethod
+    def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        pair, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+        return pair, np.bincount(where, np.concatenate([n for _, n in parts]), len(pair)).astype(np.int64)
 
 
 def scan(picked: DataFrame, training: DataFrame, shard: int = SHARD, chunk: int = CHUNK, share: float = SHARE) -> DataFrame:
@@ -440,7 +472,7 @@ def scan(picked: DataFrame, training: DataFrame, shard: int = SHARD, chunk: int
     tasks = max(1, min(units, max(int(picked.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8, units // 8)))
     # a row per band of lengths: some ten for every tenfold length
     bands = F.broadcast(picked.sparkSession.createDataFrame([(b, *x) for b, x in plan.items()] or [(-1, 0, 1, 1)], "band int, first long, shards long, chunks long"))
-    lists = ("starts", "lengths", "more_starts", "more_lengths")
+    lists = {"starts": "array<int>", "hashes": "array<long>"}
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     place = (F.col("first") + F.col("shard") * F.col("chunks") + F.col("chunk")).alias("unit")
     part = lambda key, c: F.pmod(F.xxhash64(key, F.lit(c)), F.col(c)).alias(c.removesuffix("s"))
@@ -448,21 +480,23 @@ def scan(picked: DataFrame, training: DataFrame, shard: int = SHARD, chunk: int
     ev = ev.select(place, F.lit(0).alias("kind"), "norm_id", "norm", "n_words", *lists)
     tr = training.select("norm_id", "norm", "n_words").distinct()
     tr = tr.select("*", F.explode(F.sequence(low, high)).alias("band")).join(bands, "band").select("*", part("norm_id", "chunks"), upto("shards").alias("shard"))
-    tr = tr.select(place, F.lit(1).alias("kind"), "norm_id", "norm", "n_words", *(F.lit(None).cast("array<int>").alias(c) for c in lists))
+    tr = tr.select(place, F.lit(1).alias("kind"), "norm_id", "norm", "n_words", *(F.lit(None).cast(t).alias(c) for c, t in lists.items()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = _Codes()
         here, unit = None, None
         for b in batches:
-            out = []
-            for u, kind, i, norm, *passages in zip(b.unit, b.kind, b.norm_id, b.norm, *(b[x] for x in lists)):
-                if u != here:
-                    here, unit = u, _Unit(share, codes)
-                if kind == 0:
-                    unit.add(i, norm, passages)
-                else:
-                    out += [(k, i) for k in unit.matches(norm)]
-            yield pd.DataFrame(out, columns=["eval_id", "train_id"]).astype("int64")
+            same = (b.unit.to_numpy() * 2 + b.kind.to_numpy()).tolist()
+            edges = [0, *(i for i in range(1, len(same)) if same[i] != same[i - 1]), len(same)] if same else [0]
+            for a, z in zip(edges, edges[1:]):
+                if same[a] // 2 != here:
+                    here, unit = same[a] // 2, _Unit(share)
+                part = b.iloc[a:z]
+                if same[a] % 2 == 0:
+                    unit.add(part[["norm_id", "norm", "n_words", *lists]])
+                    continue
+                for some in _slices([part], 1_000):
+                    eval_id, train_id = unit.matches(some.norm_id.to_numpy(np.int64), some.norm)
+                    yield pd.DataFrame({"eval_id": eval_id, "train_id": train_id})
 
     return ev.unionByName(tr).repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int")).sortWithinPartitions("unit", "kind", "n_words").mapInPandas(run, HITS)
 

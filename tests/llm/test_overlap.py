@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sokhan.llm.overlap import Overlaps, comparable, near_same, word_distance
+from sokhan.llm import overlap
+from sokhan.llm.overlap import Overlaps, comparable, near_same, plan_units, word_distance
 
 S = "key string, source string, text string"
 
@@ -129,3 +132,37 @@ def test_texts_equal_but_for_spacing(spark):
     want = {(a, b) for a, _, s in train for b, _, t in ev if near_same(comparable(s), comparable(t))}
     got = {(r.train_key, r.eval_key) for r in Overlaps(spark.createDataFrame(ev, S), spark.createDataFrame(train, S)).pairs().collect()}
     assert got == want == {("t1", "e1"), ("t2", "e2"), ("t3", "e2"), ("t4", "e4")}
+
+
+def test_rows_sent_grow_slower_than_the_product():
+    # a million evaluation and two million training texts, each of the latter in reach of two of five bands: an 8 GB table
+    n_eval, reach = dict.fromkeys(range(11, 16), 200_000), [(b, b + 1, 500_000) for b in range(11, 15)]
+    plan = plan_units(n_eval, reach)
+    n_train = {b: sum(n for low, high, n in reach if low <= b <= high) for b in n_eval}
+    sent = sum(n_eval[b] * chunks + n_train[b] * shards for b, (_, shards, chunks) in plan.items())
+    assert sent <= 5 * (sum(n_eval.values()) + sum(n_train.values())) and sum(s * c for _, s, c in plan.values()) >= 20
+
+
+def test_a_shard_finds_what_comparing_all_finds(monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(30)]
+    base = [rng.choices(words, k=rng.choice([1, 2, 3, 5, 9, 20, 60, 300])) for _ in range(80)] + [["w0"] * n for n in (7, 8, 40, 48)]
+    train = []
+    for w in base * 3:
+        w = list(w)
+        for _ in range(rng.randint(0, len(w) // 4)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], ["zz"], [w[at], "yy"], [w[at]] * 2]) if len(w) > 1 else ["zz"]
+        train.append(" ".join(w))
+    ev = sorted((" ".join(w) for w in base), key=lambda t: t.count(" "))
+    starts, hashes = overlap.pick(pd.Series(ev), overlap.usual_runs(pd.Series(train)))
+    want = {(i, j) for i, a in enumerate(ev) for j, b in enumerate(train) if near_same(a, b)}
+    compared = []
+    monkeypatch.setattr(overlap, "near_same", lambda a, b, share: compared.append(a) or near_same(a, b, share))
+    for at_once in (1 << 20, 50):
+        monkeypatch.setattr(overlap, "AT_ONCE", at_once)
+        unit = overlap._Unit(0.2)
+        unit.add(pd.DataFrame({"norm_id": range(len(ev)), "norm": ev, "n_words": [t.count(" ") + 1 for t in ev], "starts": starts, "hashes": hashes}))
+        compared.clear()
+        got = set(zip(*(x.tolist() for x in unit.matches(np.arange(len(train)), pd.Series(train)))))
+        assert len(want) > 200 and got == want and len(compared) < 3 * len(want)
