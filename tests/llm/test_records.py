@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sokhan.llm.consensus import Consensus
-from sokhan.llm.defects import DEFECTS, Defects, LabelModel, Learnt, damaged, votes
+from sokhan.llm.defects import DEFECTS, Defects, LabelModel, Learnt, choose_cutoffs, damaged, votes
 from sokhan.llm.grouping import allot, call_groups, call_splits, components, difference, group_splits, plan_bins
 from sokhan.llm.names import link_names, mentions
 from sokhan.operators.ranking import rank_within
@@ -96,6 +96,25 @@ def test_refusals_are_learnt_from_rejected_lines():
     assert Learnt([]).surprise("") == 0.0 and not Learnt([]).refuses(["a"] * 9)
 
 
+def test_all_rows_are_learnt_from_and_validated_on(spark):
+    rng, words = random.Random(8), SOUND[0].split()
+    pairs = [(" ".join(rng.choices(words, k=6)) + f" {i}", " ".join(rng.choices(words, k=12)), [f"I must pass on {i // 2}"] * (i % 2)) for i in range(2_400)]
+    rows = [(f"p{i}", s, r, r, [(x, "odd") for x in lines]) for i, (s, r, lines) in enumerate(pairs)] + [("n", None, "x", SOUND[1], None), ("m", SOUND[0], "x", None, [(None, None)])]
+    df = spark.createDataFrame(rows, ANSWERS)
+    d = Defects(df)
+    # more than 2,000 rows to learn from, more than 200 to validate on
+    learnt = Learnt.of(df.withColumn("lines", F.transform("rejected_lines", lambda x: x["line"])))
+    whole = Learnt([(s, lines) for s, _, lines in pairs] + [(SOUND[0], [None])])
+    assert learnt.grams == whole.grams and learnt.odds == whole.odds and learnt.rare == whole.rare
+    want = {x: Counter() for x in DEFECTS}
+    for s, r, _ in pairs:
+        for truth, a, b in damaged(s, r):
+            for x, v in votes(a, b, r, [], whole).items():
+                want[x][v, truth == x] += 1
+    assert d.tried == want and d.cutoffs == choose_cutoffs(d.models, want)
+    assert sum(n for (_, t), n in d.tried["empty"].items() if t) == len(pairs)
+
+
 def test_label_model_finds_the_rare_class():
     rng, counts = random.Random(5), Counter()
     for _ in range(4000):
